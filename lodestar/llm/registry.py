@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestar.llm import quality_rules
+from lodestar.llm import packing, quality_rules
 
-MODULES = [quality_rules]
+MODULES = [quality_rules, packing]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
