@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestar.llm import packing, quality_rules, secret_scan
+from lodestar.llm import line_dedup, packing, quality_rules, secret_scan
 
-MODULES = [quality_rules, packing, secret_scan]
+MODULES = [quality_rules, packing, secret_scan, line_dedup]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
