@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestar.llm import language_id, line_dedup, packing, quality_rules, secret_scan
+from lodestar.llm import language_id, line_dedup, packing, quality_rules, secret_scan, segment_sampling
 
-MODULES = [quality_rules, packing, secret_scan, line_dedup, language_id]
+MODULES = [quality_rules, packing, secret_scan, line_dedup, language_id, segment_sampling]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
