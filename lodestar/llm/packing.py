@@ -17,6 +17,7 @@ gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections import defaultdict
@@ -32,7 +33,9 @@ from lodestar.llm.common import documents, map_batches, stored, worker_cache
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a task remembers; beyond that it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+#: ASCII marks that the tokeniser takes as a token of their own behind letters.
+MARKS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
 
 def default_tokenizer() -> str:
@@ -177,6 +180,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores dealt out already
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -184,42 +188,45 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.stops = {b".": self.encode(b"."), b",": self.encode(b",")}
+        self.tails = {b"": b""}
 
     def encode(self, word: bytes) -> bytes:
         return array("I", self.model.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def encode_letters(self, words: list[bytes]) -> None:
-        ids = np.array(self.model.encode(b" ".join(words).decode(), add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):  # these are not what the tokeniser takes for letters
-            self.known.update((w, self.encode(w)) for w in words)
-            return
-        data, lo = ids.tobytes(), 0
-        for word, hi in zip(words, (4 * cuts).tolist()):
-            self.known[word] = data[lo:hi]
-            lo = hi
+        groups = [words[lo : lo + 1000] for lo in range(0, len(words), 1000)]
+        for group, got in zip(groups, self.model.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group):  # these are not what the tokeniser takes for letters
+                self.known.update((w, self.encode(w)) for w in group)
+                continue
+            data, at = ids.tobytes(), (4 * cuts).tolist()
+            self.known.update((w, data[lo:hi]) for w, lo, hi in zip(group, [0, *at], at))
 
     def learn(self, words: set[bytes]) -> None:
+        """Makes self.known hold all of words. A word of letters with marks behind is its letters' ids and the
+        marks' ids, as the tokeniser parts letters from marks; apostrophes and ``<`` may be more than marks."""
         if len(self.known) + len(words) > CACHED_WORDS:
             self.known.clear()
-        new = words - self.known.keys()
-        stopped = []
+        known = self.known
+        marked = []
         letters = set()
-        for word in new:
-            stem = word[:-1] if word[-1:] in self.stops else word
-            text = stem.decode() if b"<|" not in stem else ""
-            if not text.isalpha():
-                self.known[word] = self.encode(word)
+        for word in words - known.keys():
+            stem = word.rstrip(MARKS)
+            if not (stem.isalpha() or stem.decode().isalpha()):
+                known[word] = self.encode(word)
                 continue
             letters.add(stem)
-            if stem is not word:
-                stopped.append((word, stem))
-        letters = list(letters - self.known.keys())
-        for lo in range(0, len(letters), 1000):
-            self.encode_letters(letters[lo : lo + 1000])
-        for word, stem in stopped:
-            self.known[word] = self.known[stem] + self.stops[word[-1:]]
+            if len(stem) < len(word):
+                marked.append((word, stem, word[len(stem) :]))
+        self.encode_letters(list(letters - known.keys()))
+        for word, stem, tail in marked:
+            if tail not in self.tails:
+                self.tails[tail] = self.encode(tail)
+            known[word] = known[stem] + self.tails[tail]
+        if len(self.tails) > CACHED_WORDS:
+            self.tails = {b"": b""}
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
