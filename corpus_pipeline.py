@@ -1,5 +1,69 @@
-"""placeholder"""
+"""The corpus pipeline: documents to packed sequences in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame that is written as Parquet
+and reread as the next one's docs. All but the last return the columns of documents; the last returns the
+packed pieces with their token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm.common import documents, stored
+from lodestar.llm.line_dedup import line_dedup
+from lodestar.llm.near_dedup import keep_one
+from lodestar.llm.packing import pack
+from lodestar.llm.pii import redact
+from lodestar.llm.quality_rules import quality_rules
+
+#: Hashes and boosted trees have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars of the text as it is now."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. Verdicts travel in the rows they judge, so no join is needed."""
+    return quality_rules(docs, carried=docs.columns).where("kept").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated multi-line chunks; documents of which nothing is left go."""
+    cut = line_dedup(docs)
+    return _counted(cut.where("removed_chunks = 0 OR length(trim(text)) > 0").select(*docs.columns))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, 80 percent."""
+    return keep_one(docs).select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced."""
+    return _counted(redact(docs).select(*docs.columns))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 4096 tokens, with the token ids."""
+    return pack(docs, with_ids=True)
+
+
+STAGES = [
+    ("op1_quality_rules", quality_stage),
+    ("op4_line_dedup", line_stage),
+    ("op9_near_dedup", near_stage),
+    ("op10_pii", pii_stage),
+    ("op2_best_fit_packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what lies between two stages is a table in the shared folder."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -185,9 +185,9 @@ def references(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFra
     return parts.groupBy("lang", "bin").agg(F.sum("mass").alias("mass"))
 
 
-def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Per row of docs: doc_id, the base counts, both distances to the nearest language (null where
-    not applied), base_failed and kept."""
+def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), carried: list[str] | None = None) -> DataFrame:
+    """Per row of docs: doc_id (or the columns carried), the base counts, both distances to the nearest language (null
+    where not applied), base_failed and kept. Carried columns of these names give way."""
     index = {w.encode(): k for k, w in enumerate(rules.vocabulary())}
     width = N_CLASSES + len(index) + 1
     # A row per language and bin: languages times a constant, whatever the number of documents.
@@ -196,6 +196,12 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
         sums.setdefault(lang, np.zeros(width + 1))[bin_] = mass
     refs = [(lang, *scaled(at[:width])) for lang, at in sorted(sums.items()) if at[width] >= rules.min_reference_docs]
 
+    results = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "nearest_lang": "string", "char_distance": "double", "word_distance": "double", "kept": "boolean"}
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    columns = [c for c in carried or ["doc_id"] if c not in results]
+    texts = [c for c in columns if kinds[c] == "string"]
+    read = list(dict.fromkeys([*columns, "text"]))
+
     def work(chunks):
         for chunk in chunks:
             counts, hists = [], []
@@ -217,13 +223,16 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
                 nearer = (excess < best) & (chars >= rules.min_chars) & ~failed
                 best[nearer], by_char[nearer], by_word[nearer], nearest[nearer] = excess[nearer], dc[nearer], dw[nearer], lang
             kept = ~failed & ((best <= 1) | np.isinf(best))
-            yield {
-                "doc_id": chunk["doc_id"], "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat,
+            yield {c: _as_text(chunk[c]) if c in texts else chunk[c] for c in columns} | {
+                "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat,
                 "base_failed": failed, "nearest_lang": nearest, "char_distance": pa.array(by_char, from_pandas=True), "word_distance": pa.array(by_word, from_pandas=True), "kept": kept,
             }
 
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, nearest_lang string, char_distance double, word_distance double, kept boolean"
-    return map_batches(docs, ["doc_id", "text"], schema, work)
+    return map_batches(docs, read, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), *(f"{c} {kind}" for c, kind in results.items())]), work)
+
+
+def _as_text(values: list) -> list:
+    return [None if v is None else v.decode() for v in values]
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
