@@ -17,6 +17,7 @@ gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -33,7 +34,7 @@ from lodestar.llm.common import documents, map_batches, stored, worker_cache
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a task remembers; beyond that it starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 #: ASCII marks that the tokeniser takes as a token of their own behind letters.
 MARKS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
@@ -184,6 +185,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        # For words of letters alone the same model without the pattern that parts letters from marks.
+        plain = json.loads(self.model.to_str())
+        plain["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        self.letters = Tokenizer.from_str(json.dumps(plain))
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -195,7 +200,7 @@ class WordIds:
 
     def encode_letters(self, words: list[bytes]) -> None:
         groups = [words[lo : lo + 1000] for lo in range(0, len(words), 1000)]
-        for group, got in zip(groups, self.model.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+        for group, got in zip(groups, self.letters.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
             ids = np.array(got.ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(group):  # these are not what the tokeniser takes for letters
