@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 from array import array
 from collections import defaultdict
@@ -173,6 +174,13 @@ def layout(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
 # ---------------------------------------------------------------- Spark
 
 
+def _plain_letters(text: str) -> bool:
+    """Whether the tokeniser, which composes and lower-cases a text first, is left with letters alone; only
+    for scripts whose letters no version of Unicode disputes."""
+    text = unicodedata.normalize("NFC", text).lower()
+    return text.isalpha() and max(text) < "\u0530"
+
+
 class WordIds:
     """Token ids of words between ASCII white space, as little-endian bytes.
 
@@ -219,7 +227,7 @@ class WordIds:
         letters = set()
         for word in words - known.keys():
             stem = word.rstrip(MARKS)
-            if not (stem.isalpha() or stem.decode().isalpha()):
+            if not (stem.isalpha() or _plain_letters(stem.decode())):
                 known[word] = self.encode(word)
                 continue
             letters.add(stem)
