@@ -106,6 +106,7 @@ def entity_doc_freq(spark: SparkSession, sf_dir: str, ratio: float = 0.5, least_
 
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+|\n+")
 _TOKEN = re.compile(r"\.?\w[\w+#]*(?:[.'’-]\w[\w+#]*)*[+#]*")
+_ARTICLES = {"the", "a", "an"}
 _JOINERS = {"of", "for", "de", "von", "van", "der", "la"}
 
 
@@ -122,6 +123,7 @@ def name_candidates(text: str | None, longest: int = 4) -> list[tuple[int, str,
             bare = re.sub(r"['’]s$", "", word)
             joined = not run or not re.search(r"[,;:()\[\]\"“”]", sentence[words[k - 1][2] : lo]) if k < len(words) else False
             name = bool(bare) and (bare[0].isupper() or bare[0] == "." or (any(c.isupper() for c in bare[1:]) and bare[0].isalpha()))
+            name = name and (bool(run) or bare.lower() not in _ARTICLES)
             if name and joined and len(run) + len(pending) < longest:
                 if not run:
                     start = k
