@@ -59,6 +59,10 @@ def _counts(chunk: Column, rules: LineDedup) -> Column:
     return (chunk["n"] >= rules.min_lines) & (F.char_length(chunk["body"]) >= rules.min_chars)
 
 
+def _chunk_hash(body: Column) -> Column:
+    return F.xxhash64(body)
+
+
 def line_dedup(docs: DataFrame, rules: LineDedup = LineDedup()) -> DataFrame:
     """docs with text without repeated chunks, and columns removed_chunks and removed_chars (existing
     ones of these names are replaced)."""
@@ -68,7 +72,7 @@ def line_dedup(docs: DataFrame, rules: LineDedup = LineDedup()) -> DataFrame:
 
     # Where each chunk stands, without its text.
     places = with_chunks(docs.select("doc_id", "text").where(F.col("text").isNotNull()), rules).select(
-        *key, F.posexplode(F.transform(f"{WORK}_chunks", lambda c: F.when(_counts(c, rules), F.xxhash64(c["body"])))).alias("pos", "h")
+        *key, F.posexplode(F.transform(f"{WORK}_chunks", lambda c: F.when(_counts(c, rules), _chunk_hash(c["body"])))).alias("pos", "h")
     )
     places = stored(places.where(F.col("h").isNotNull()), "line-chunks")
     repeated = places.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "pos")).alias("first")).where("n > 1")
