@@ -31,6 +31,8 @@ from lodestar.llm.common import documents, map_batches, stored
 
 #: Values of minhash arrays that are formed at a time.
 SLICE = 1 << 20
+#: 64-bit numbers of an odd sketch.
+SKETCH_LONGS = 16
 
 
 @dataclass(frozen=True)
@@ -94,8 +96,15 @@ def minhashes(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def odd_sketch(values: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * SKETCH_LONGS classes of hashes: whether it has an odd number of the values. Sketches of two sets
+    differ in as many bits at most as the sets differ in values."""
+    odd = np.bincount((values >> np.uint64(20)).astype(np.int64) % (64 * SKETCH_LONGS), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def signatures(docs: DataFrame, rules: NearDedup) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null: empty set) and the 2 * bands sub-keys, A before B."""
+    """doc_id, n_shingles, digest of the set (null: empty set), the 2 * bands sub-keys, A before B, and the odd sketch."""
     rng = np.random.default_rng(rules.seed)
     count = 2 * rules.bands * rules.half
     a = rng.integers(0, 1 << 63, size=count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,9 +121,9 @@ def signatures(docs: DataFrame, rules: NearDedup) -> DataFrame:
                     continue
                 with np.errstate(over="ignore"):
                     keys.append(_mixed((minhashes(s, a, b).reshape(-1, rules.half) * fold).sum(axis=1, dtype=np.uint64)).view(np.int64))
-            yield {"doc_id": chunk["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "keys": keys}
+            yield {"doc_id": chunk["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "keys": keys, "sketch": [odd_sketch(s) if len(s) else None for s in sets]}
 
-    return map_batches(docs, ["doc_id", "text"], "doc_id long, n_shingles long, digest binary, keys array<bigint>", work)
+    return map_batches(docs, ["doc_id", "text"], "doc_id long, n_shingles long, digest binary, keys array<bigint>, sketch array<bigint>", work)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, rules: NearDedup) -> DataFrame:
@@ -130,9 +139,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, rules: NearDedup) -> DataFrame
     return map_batches(rows, ["node", "text", "digest"], "node long, shingles array<bigint>", work)
 
 
-def long_enough(n: Column, m: Column, percent: int) -> Column:
-    """Whether sets of n and m shingles can be similar enough."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def can_link(x: str, y: str, percent: int) -> Column:
+    """Whether the sets of two nodes, with columns n and sketch under the prefixes x and y, can be similar enough. Exact: sets
+    that are differ in (100 - percent) / (100 + percent) of their shingles at most, and sketches in no more bits."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    apart = sum((F.bit_count(F.get(f"{x}sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}sketch", F.lit(i)))) for i in range(SKETCH_LONGS)), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rules: NearDedup) -> DataFrame:
@@ -176,8 +188,8 @@ def near_dedup(docs: DataFrame, rules: NearDedup = NearDedup()) -> DataFrame:
     signed = stored(signatures(docs, rules), "signatures")
     has = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     # Equal sets are one node from here on.
-    nodes = stored(has.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "nodes")
-    size = nodes.select("node", "n")
+    nodes = stored(has.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
+    size = nodes.select("node", "n", "sketch")
     rows = stored(table_rows(nodes, rules), "tables")
 
     # First round: leaders by the number of tables shared.
@@ -186,7 +198,7 @@ def near_dedup(docs: DataFrame, rules: NearDedup = NearDedup()) -> DataFrame:
     wanted = stars.select("node").union(stars.select("leader")).distinct().join(nodes.select("node", "digest"), "node")
     sets = stored(full_sets(docs, wanted, rules), "sets")
     by_tables = Window.partitionBy("node").orderBy(F.desc("tables"), "leader")
-    fit = stars.join(size, "node").join(size.select(F.col("node").alias("leader"), F.col("n").alias("m")), "leader").where(long_enough(F.col("n"), F.col("m"), rules.percent))
+    fit = stars.join(size, "node").join(size.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("sketch").alias("leader_sketch")), "leader").where(can_link("", "leader_", rules.percent))
     first = fit.withColumn("place", F.row_number().over(by_tables)).where(F.col("place") <= rules.first_leaders).select(F.col("leader").alias("a"), F.col("node").alias("b"))
     links = stored(verified(first, sets, rules), "links-1")
     found = components(links)
@@ -195,13 +207,13 @@ def near_dedup(docs: DataFrame, rules: NearDedup = NearDedup()) -> DataFrame:
     placed = rows.join(found, "node", "left").select("key", "i", "j", "node", F.coalesce("component", "node").alias("of"))
     held = placed.groupBy("key", "of").agg(F.count("*").alias("n"))
     largest = held.groupBy("key").agg(F.max_by("of", F.struct("n", "of")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("key", "largest")
-    with_keys = nodes.select("node", "n", F.slice("keys", 1, rules.bands).alias("ka"), F.slice("keys", rules.bands + 1, rules.bands).alias("kb"))
+    with_keys = nodes.select("node", "n", "sketch", F.slice("keys", 1, rules.bands).alias("ka"), F.slice("keys", rules.bands + 1, rules.bands).alias("kb"))
     mixed = stored(placed.join(largest, "key").join(with_keys, "node"), "mixed")
     # One side leaves out the table's largest component, so that is never paired with itself.
     x, y = mixed.where("of <> largest").alias("x"), mixed.alias("y")
     same = lambda c, at: F.array_position(F.zip_with(f"x.{c}", f"y.{c}", lambda p, q: p == q), True) == F.col(f"x.{at}") + 1
     once = (F.col("y.of") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.of") != F.col("y.of")) & once & long_enough(F.col("x.n"), F.col("y.n"), rules.percent) & same("ka", "i") & same("kb", "j"))
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.of") != F.col("y.of")) & once & can_link("x.", "y.", rules.percent) & same("ka", "i") & same("kb", "j"))
     pairs = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = stored(verified(pairs.join(first, ["a", "b"], "left_anti"), sets, rules), "links-2")
     if not more.isEmpty():
