@@ -33,8 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated multi-line chunks; documents of which nothing is left go."""
-    cut = line_dedup(docs)
-    return _counted(cut.where("removed_chunks = 0 OR length(trim(text)) > 0").select(*docs.columns))
+    return _counted(line_dedup(docs, drop_emptied=True).select(*docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,9 +63,9 @@ def _chunk_hash(body: Column) -> Column:
     return F.xxhash64(body)
 
 
-def line_dedup(docs: DataFrame, rules: LineDedup = LineDedup()) -> DataFrame:
+def line_dedup(docs: DataFrame, rules: LineDedup = LineDedup(), drop_emptied: bool = False) -> DataFrame:
     """docs with text without repeated chunks, and columns removed_chunks and removed_chars (existing
-    ones of these names are replaced)."""
+    ones of these names are replaced). With drop_emptied, rows go of which removal leaves spaces at most."""
     names = [c for c in docs.columns if c not in ("removed_chunks", "removed_chars")]
     docs = docs.select(*names)
     key = [F.col("doc_id").alias("d"), F.xxhash64("text").alias("t")]
@@ -109,7 +109,12 @@ def line_dedup(docs: DataFrame, rules: LineDedup = LineDedup()) -> DataFrame:
     clean = judged.where(untouched).select(*names, F.lit(0).alias("removed_chunks"), F.lit(0).alias("removed_chars"))
     short = with_chunks(judged.where(~untouched), rules)
     kept = F.concat_ws("\n", F.transform(F.filter(f"{WORK}_chunks", lambda c, i: ~F.array_contains(f"{WORK}_gone", i)), lambda c: c["body"]))
-    short = short.withColumn(f"{WORK}_kept", kept).select(
+    if drop_emptied:
+        # A generator, as Catalyst would push a filter below the steps above and evaluate them anew for each line.
+        short = short.select(*short.columns, F.explode(F.filter(F.array(kept), lambda t: F.char_length(F.trim(t)) > 0)).alias(f"{WORK}_kept"))
+    else:
+        short = short.withColumn(f"{WORK}_kept", kept)
+    short = short.select(
         *[F.col(f"{WORK}_kept").alias("text") if c == "text" else F.col(c) for c in names],
         F.size(f"{WORK}_gone").alias("removed_chunks"),
         (F.char_length("text") - F.char_length(f"{WORK}_kept")).alias("removed_chars"),
