@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import documents, stored
-from lodestar.llm.line_dedup import line_dedup
+from lodestar.llm.line_dedup import run_dedup
 from lodestar.llm.near_dedup import keep_one
 from lodestar.llm.packing import pack
 from lodestar.llm.pii import redact
@@ -32,8 +32,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated multi-line chunks; documents of which nothing is left go."""
-    return _counted(line_dedup(docs, drop_emptied=True).select(*docs.columns))
+    """Texts without repeated runs of lines; documents of which nothing is left go."""
+    return _counted(run_dedup(docs, drop_emptied=True).select(*docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,13 @@
 """Line dedup by content-defined chunks; DataFrame operations only.
 
-Each text is cut into lines; a rolling hash over the hashes of two neighbouring lines ends a chunk
+``op4_line_dedup`` and the pipeline remove whole runs (``run_dedup``): every two neighbouring lines are an anchor, and a line
+goes if an anchor that holds it stands at an earlier place (lowest doc_id, then position) too. So a repeated passage of two lines
+or more goes from its first line to its last, however it is cut, and its lines stay where they stand first. A run of such lines
+with under ``min_chars`` characters stays. Anchors are pairs of line hashes; the bytes of all lines they name are compared, and if
+two lines share a hash the lines themselves take the place of hashes. Rows of equal doc_id and text come in no order: one
+of them is the first, and the others repeat it.
+
+``line_dedup`` is the coarser step that removes equal chunks alone. Each text is cut into lines; a rolling hash over the hashes of two neighbouring lines ends a chunk
 where it is 0 modulo ``modulus``, so a boundary depends on nearby lines alone and shared passages fall
 into equal chunks wherever they stand. Chunks of ``min_lines`` lines or more that occur more than once
 in the corpus are removed from all places but the first (lowest doc_id, then position).
@@ -10,7 +17,7 @@ two different texts is told apart by its bytes. Blank lines never count as lines
 their own: a chunk must hold ``min_chars`` characters.
 
 Null texts have no chunks and stay null; empty texts stay empty; a text whose chunks all stand
-elsewhere first becomes empty. Of repeated rows (equal doc_ids too) the chunks of the first stay. An
+elsewhere first becomes empty. Of repeated rows the chunks of the first stay. An
 empty table gives no rows. All columns of docs are returned; working columns have a prefix of their own.
 """
 
@@ -122,9 +129,94 @@ def line_dedup(docs: DataFrame, rules: LineDedup = LineDedup(), drop_emptied: bo
     return clean.unionByName(short)
 
 
+# ---------------------------------------------------------------- whole runs
+
+
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def _anchors(docs: DataFrame, line_key) -> DataFrame:
+    """(d, t, pos, a, b): the keys of the lines pos and pos + 1 of each text."""
+    keys = f"{WORK}_keys"
+    df = docs.select("doc_id", "text").where(F.col("text").contains("\n")).withColumn(f"{WORK}_lines", F.split("text", "\n", -1))
+    df = df.withColumn(keys, F.transform(f"{WORK}_lines", line_key))
+    pairs = F.zip_with(F.slice(keys, 1, F.size(keys) - 1), F.slice(keys, 2, F.size(keys) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return df.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(pairs).alias("pos", "x")).select("d", "t", "pos", "x.a", "x.b")
+
+
+def _with_repeats(docs: DataFrame, line_key) -> DataFrame:
+    """docs with WORK_named (first lines of anchors that stand in several places), WORK_gone (lines of those that stand earlier
+    too, rising) and WORK_copies (rows of this doc_id and text); null without such anchors."""
+    places = stored(_anchors(docs, line_key), "line-anchors")
+    repeated = places.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "pos")).alias("first")).where("n > 1").drop("n")
+    # Of three equal lines the middle one belongs to the first anchor, which stays.
+    inside = F.col("first") == F.struct("d", "t", (F.col("pos") - 1).alias("pos"))
+    is_first = F.col("first") == F.struct("d", "t", "pos")
+    gone = F.when(is_first, F.array().cast("array<int>")).when(inside, F.array(F.col("pos") + 1)).otherwise(F.array("pos", F.col("pos") + 1))
+    named = (
+        places.join(repeated, ["a", "b"])
+        .select("d", "t", "pos", gone.alias("gone"))
+        .groupBy("d", "t")
+        .agg(F.collect_set("pos").alias(f"{WORK}_named"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias(f"{WORK}_gone"), F.count_if(F.col("pos") == 0).alias(f"{WORK}_copies"))
+    )
+    # The one shuffle of the texts.
+    on = docs["doc_id"].eqNullSafe(named["d"]) & (F.xxhash64(docs["text"]) == named["t"])
+    return stored(docs.join(named.hint("shuffle_hash"), on, "left").drop("d", "t"), "line-marked")
+
+
+def _hashes_collide(marked: DataFrame) -> bool:
+    """Whether two lines that anchors name differ in bytes but not by hash."""
+    df = marked.where(F.col(f"{WORK}_named").isNotNull()).select("text", f"{WORK}_named").withColumn(f"{WORK}_lines", F.split("text", "\n", -1))
+    at = F.array_distinct(F.concat(f"{WORK}_named", F.transform(f"{WORK}_named", lambda i: i + 1)))
+    lines = df.select(F.explode(F.transform(at, lambda i: F.get(F.col(f"{WORK}_lines"), i))).alias("line"))
+    return not lines.select(_line_hash(F.col("line")).alias("h"), "line").distinct().groupBy("h").count().where("count > 1").isEmpty()
+
+
+def run_dedup(docs: DataFrame, rules: LineDedup = LineDedup(), drop_emptied: bool = False) -> DataFrame:
+    """docs with text without repeated runs of lines, and columns removed_chunks (runs) and removed_chars (existing
+    ones of these names are replaced). With drop_emptied, rows go of which removal leaves spaces at most."""
+    names = [c for c in docs.columns if c not in ("removed_chunks", "removed_chars")]
+    docs = docs.select(*names)
+    marked = _with_repeats(docs, _line_hash)
+    if _hashes_collide(marked):
+        marked = _with_repeats(docs, lambda line: line)
+
+    gone, lines, edges, runs = (f"{WORK}_{x}" for x in ("gone", "lines", "edges", "runs"))
+    copies = F.coalesce(f"{WORK}_copies", F.lit(0))
+    clean = marked.where((copies < 2) & (F.coalesce(F.size(gone), F.lit(0)) <= 0)).select(*names, F.lit(0).alias("removed_chunks"), F.lit(0).alias("removed_chars"))
+    single = marked.where((copies < 2) & (F.size(gone) > 0))
+    # All lines of the second of two equal rows stand earlier.
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(0)))
+    several = marked.where(copies >= 2).withColumn(f"{WORK}_nth", nth)
+    several = several.withColumn(gone, F.when(F.col(f"{WORK}_nth") > 1, F.sequence(F.lit(0), F.size(F.split("text", "\n", -1)) - 1)).otherwise(F.col(gone))).drop(f"{WORK}_nth")
+    short = single.unionByName(several).withColumn(lines, F.split("text", "\n", -1))
+    starts = F.filter(gone, lambda x, i: (i == 0) | (F.get(F.col(gone), i - 1) != x - 1))
+    ends = F.filter(gone, lambda x, i: (i == F.size(gone) - 1) | (F.get(F.col(gone), i + 1) != x + 1))
+    short = short.withColumn(edges, F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    long_enough = lambda r: F.char_length(F.concat_ws("\n", F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1))) >= rules.min_chars
+    short = short.withColumn(runs, F.filter(edges, long_enough))
+
+    def piece(k: Column) -> Column:
+        start = F.when(k == 0, 0).otherwise(F.get(F.col(runs), k - 1)["b"] + 1)
+        end = F.when(k == F.size(runs), F.size(lines)).otherwise(F.get(F.col(runs), k)["a"])
+        return F.slice(lines, start + 1, end - start)
+
+    kept = F.concat_ws("\n", F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), piece)))
+    # A generator, as Catalyst would push a filter below the steps above and evaluate them anew for each line.
+    left = F.array(kept) if not drop_emptied else F.filter(F.array(kept), lambda t: (F.size(runs) == 0) | (F.char_length(F.trim(t)) > 0))
+    short = short.select(*short.columns, F.explode(left).alias(f"{WORK}_kept"))
+    short = short.select(
+        *[F.col(f"{WORK}_kept").alias("text") if c == "text" else F.col(c) for c in names],
+        F.size(runs).alias("removed_chunks"),
+        (F.char_length("text") - F.char_length(f"{WORK}_kept")).alias("removed_chars"),
+    )
+    return clean.unionByName(short)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with production limits."""
-    return line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return run_dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 QUERIES = {"op4_line_dedup": op4_line_dedup}

@@ -214,6 +214,52 @@ def test_line_dedup(spark, sf):
     assert removed > 50
 
 
+def whole_runs(rows):
+    """Brute force: (doc_id, text) in order to the texts without runs of lines whose neighbouring pairs stand earlier."""
+    first, out = {}, []
+    for row, (i, text) in enumerate(rows):
+        lines = text.split("\n")
+        gone = set()
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            at = first.setdefault(pair, (row, k))
+            if at != (row, k):
+                gone |= {k + 1} if at == (row, k - 1) else {k, k + 1}
+        k, kept, runs = 0, [], 0
+        while k < len(lines):
+            end = k
+            while end in gone:
+                end += 1
+            if end > k and len("\n".join(lines[k:end])) >= 40:
+                runs += 1
+            else:
+                end = max(end, k + 1)
+                kept += lines[k:end]
+            k = end
+        out.append((i, "\n".join(kept), runs))
+    return out
+
+
+def test_whole_runs(spark, sf):
+    d = sf.replace("0.001", "0.01")
+    got = table(line_dedup.op4_line_dedup(spark, d))
+    want = whole_runs(sorted((r.doc_id, r.text) for r in documents(spark, d).collect()))
+    assert {i: (text, runs) for i, text, runs in want} == {i: (r.text, r.removed_chunks) for i, r in got.items()}
+    assert sum(runs for _, _, runs in want) > 50
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_runs_of_any_length(spark, monkeypatch, collide):
+    """A passage of two lines or more goes whole from between other lines, also if all hashes collide."""
+    if collide:
+        monkeypatch.setattr(line_dedup, "_line_hash", lambda line: line_dedup.F.lit(7).cast("long"))
+    passages = {n: "\n".join(f"passage {n} has a line {k} that stands in both" for k in range(n)) for n in (2, 3, 5, 12)}
+    rows = [(n, f"head {n}\n{p}\ntail {n}") for n, p in passages.items()] + [(100 + n, f"other {n}\n\n{p}\nend {n}") for n, p in passages.items()]
+    rows += [(200, "x" * 50 + "\n" + "x" * 50 + "\n" + "x" * 50 + "\n" + "x" * 50), (201, None), (202, ""), (203, "one line")]
+    got = table(line_dedup.run_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(got[n].text == dict(rows)[n] and got[100 + n].text == f"other {n}\n\nend {n}" for n in passages)
+    assert [got[i].text for i in (200, 201, 202, 203)] == ["x" * 50 + "\n" + "x" * 50, None, "", "one line"]
+
+
 @pytest.mark.xfail(reason="this passage has one boundary inside, so no whole chunk of it stands in both texts: a miss of the method, open")
 def test_chunks_resist_shifts(spark):
     passage = "\n".join(f"line number {k} of a shared passage that stands in both" for k in range(12))
