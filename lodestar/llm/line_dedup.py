@@ -17,7 +17,7 @@ two different texts is told apart by its bytes. Blank lines never count as lines
 their own: a chunk must hold ``min_chars`` characters.
 
 Null texts have no chunks and stay null; empty texts stay empty; a text whose chunks all stand
-elsewhere first becomes empty. Of repeated rows the chunks of the first stay. An
+elsewhere first becomes empty. Rows of equal doc_id and text count as one place here. An
 empty table gives no rows. All columns of docs are returned; working columns have a prefix of their own.
 """
 

@@ -260,6 +260,13 @@ def test_runs_of_any_length(spark, monkeypatch, collide):
     assert [got[i].text for i in (200, 201, 202, 203)] == ["x" * 50 + "\n" + "x" * 50, None, "", "one line"]
 
 
+def test_runs_of_equal_rows(spark):
+    """Rows of equal doc_id and text that nothing else holds: one keeps its text."""
+    text = "a first line of some length that counts\nand a second line of it"
+    got = line_dedup.run_dedup(spark.createDataFrame([(1, text), (1, text), (1, text), (2, "z")], "doc_id long, text string")).collect()
+    assert sorted(r.text for r in got) == ["", "", text, "z"]
+
+
 @pytest.mark.xfail(reason="this passage has one boundary inside, so no whole chunk of it stands in both texts: a miss of the method, open")
 def test_chunks_resist_shifts(spark):
     passage = "\n".join(f"line number {k} of a shared passage that stands in both" for k in range(12))
