@@ -2,10 +2,11 @@
 
 Text that people write takes few tokens of a byte-pair vocabulary per character; random strings
 fall apart into short pieces. A candidate is a run of ``[A-Za-z0-9+/_=-]`` of ``min_chars`` or more with
-a digit and a letter; it is reported as ``random`` if it has fewer than ``max_chars_per_token``
-characters per token. Known digests (hexadecimal of a usual digest length, UUIDs) and identifiers
-(words joined by ``_``, ``-`` or camel case, dates and numbers) are excluded first, as is all that
-overlaps a span of a fixed format.
+a letter; it is reported as ``random`` if it has fewer than ``max_chars_per_token`` characters per token
+(``max_chars_per_token_letters`` without a digit, as rare long words come near the other). Only then is it looked at
+whether the low efficiency comes from marks and numbers between words: an identifier (words joined by ``_``, ``-``, camel case,
+dates and numbers) has letters that are efficient for themselves. Known digests (hexadecimal of a usual digest length,
+UUIDs) and all that overlaps a span of a fixed format are left out.
 
 Null text counts as empty (no spans). Rows are judged one by one, so repeated rows get equal results;
 an empty table gives no rows. Only doc_id and text are read. Offsets are code points, ends exclusive.
@@ -26,19 +27,19 @@ KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run, as [0-9a-f]+ would take it
-#: Only looked for around a digit, so that prose is passed over quickly.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})\Z|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-#: Parts are a capital or not and small letters, capitals, or up to six digits; words of three letters on average.
+#: Parts are a capital or not and small letters, capitals, or digits.
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 @dataclass(frozen=True)
 class SecretScan:
-    """min_chars: shortest candidate; max_chars_per_token: efficiency below which it is random."""
+    """min_chars: shortest candidate; max_chars_per_token: efficiency below which it is random; max_chars_per_token_letters: the
+    same for a run without a digit."""
 
     min_chars: int = 16
     max_chars_per_token: float = 2.2
+    max_chars_per_token_letters: float = 1.8
     vocabulary: str | None = None
 
 
@@ -57,15 +58,15 @@ def load_encoding(path: str):
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_identifier(run: str) -> bool:
-    """Whether run reads as words and numbers: letters in parts of three or more on average, few changes
-    between letters and digits."""
+def is_identifier(run: str, least: float, encode) -> bool:
+    """Whether run reads as words and numbers: letter parts of three or more on average, each taken for itself of ``least``
+    characters per token together, and few changes between letters and digits."""
     parts = PART.findall(run)
     letters = [p for p in parts if p[0].isalpha()]
-    numbers = len(parts) - len(letters)
-    if not letters:
-        return True
-    return sum(map(len, letters)) >= 3 * len(letters) and numbers <= max(2, len(letters))
+    n_letters = sum(map(len, letters))
+    if n_letters < 3 * len(letters) or len(parts) - len(letters) > max(2, len(letters)):
+        return False
+    return n_letters >= least * sum(len(encode(p)) for p in letters)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -86,16 +87,18 @@ def joined(spans) -> str:
 def random_spans(text: str, taken: list[tuple[int, int, int]], rules: SecretScan, encode) -> list[tuple[int, int, int]]:
     """Candidates of low token efficiency that overlap no taken span."""
     found = []
-    for m in CANDIDATE.finditer(text):
+    for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{rules.min_chars},}}", text):
         run = m[0].strip("=-_/+")
-        if len(run) < rules.min_chars or run.isalpha() or run.isdigit() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+        if len(run) < rules.min_chars or not any(c.isalpha() for c in run):
+            continue
+        least = rules.max_chars_per_token if any(c.isdigit() for c in run) else rules.max_chars_per_token_letters
+        if len(run) >= least * len(encode(run)):
             continue
         start = m.start() + m[0].index(run)
         end = start + len(run)
-        if DIGEST.match(run) or is_identifier(run) or any(s < end and start < e for s, _, e in taken):
+        if DIGEST.match(run) or is_identifier(run, least, encode) or any(s < end and start < e for s, _, e in taken):
             continue
-        if len(run) < rules.max_chars_per_token * len(encode(run)):
-            found.append((start, 3, end))
+        found.append((start, 3, end))
     return found
 
 
@@ -113,7 +116,7 @@ def secret_scan(docs: DataFrame, rules: SecretScan = SecretScan()) -> DataFrame:
             for text in chunk["text"]:
                 text = (text or b"").decode()
                 base = base_spans(text)
-                more = random_spans(text, base, rules, encode) if LONG_WITH_DIGIT.search(text) else []
+                more = random_spans(text, base, rules, encode)
                 counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
                 rows.append((*counts, len(more), hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more))))
             yield {"doc_id": chunk["doc_id"]} | dict(zip(["n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"], map(list, zip(*rows))))
@@ -121,10 +124,6 @@ def secret_scan(docs: DataFrame, rules: SecretScan = SecretScan()) -> DataFrame:
     return map_batches(docs, ["doc_id", "text"], "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string", work)
 
 
-#: A text without this has no candidate.
-LONG_WITH_DIGIT = re.compile(r"[0-9]")
-
-
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with production limits."""
     return secret_scan(documents(spark, sf_dir))

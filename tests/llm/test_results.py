@@ -190,6 +190,17 @@ def test_secrets(spark, docs):
     assert [got[10**6 + k].n_random for k in (5, 6, 7, 8, 9)] == [1, 0, 0, 0, 0]
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+@pytest.mark.parametrize("length", [16, 20, 32, 40])
+def test_random_strings(letters, length):
+    """Random strings of any alphabet are found, with or without digits; identifiers are not."""
+    encode = secret_scan.load_encoding(secret_scan.default_vocabulary()).encode_ordinary
+    found = lambda text: secret_scan.random_spans(text, [], secret_scan.SecretScan(), encode)
+    draws = np.random.default_rng(length).choice(list(letters), (1000, length))
+    assert np.mean([found(f"is {''.join(d)} here") == [(3, 3, 3 + length)] for d in draws]) > 0.97
+    assert not any(map(found, ["get_http_response_code_2", "AbstractSingletonProxyFactoryBean", "version-2024-01-02-release-notes-final", "internationalization", "test_case_17_large_input_v2"]))
+
+
 # ---------------------------------------------------------------- op4
 
 
