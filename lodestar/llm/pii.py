@@ -6,11 +6,14 @@ redacted as they stand. All other candidates are judged by boosted trees over th
 letters before and behind, check sums, words such as "call" or "card" in front), and the ones over a threshold that is calibrated per
 generator on held-out candidates are added, unless they overlap a span already taken.
 
-The trees are trained here, on a bounded sample (``sample_rows``) of the candidates of all documents, the ones of least hash; a
-candidate is labelled 1 if it is a strict span of its text and 0 if not. Half the sample fits the trees, the other half sets each
-generator's threshold: the least score at which precision reaches ``precision`` with ``least_rows`` candidates or more. A generator for
-which no score does adds nothing. The trees are then written out as one Column expression, so scoring is a projection without a
-shuffle, and no text leaves its row.
+The trees learn what the strict rules can't see: strict spans serve as positives in forms that the rules don't take (``VARIANTS``: an
+address without ``@``, a telephone number without plus and country code, a card with dots), in the context of the strict span and for each generator that would
+propose the form whole. Negatives are the candidates that the trees would judge, those that overlap no strict span, apart from
+ones whose context or form speaks for personal data (``_unsure``): these have no label. Addresses whose host lost its
+domain are negatives too. Half of all rows by hash fit the trees, of these ``sample_rows`` of least hash; the other half, all of it, sets each
+generator's threshold: the least score at which precision reaches ``precision`` with ``least_rows`` rows or more. A generator for
+which no score does, or that has fewer than ``least_rows`` held-out negatives, adds nothing. The trees are then written out as one Column expression, so scoring is a
+projection without a shuffle, and no text leaves its row.
 
 Null text counts as empty; texts without candidates have no spans. With nothing to learn from (an empty table, one class
 alone) only strict spans are found. Rows are judged one by one, so repeated rows get equal results. Offsets are code points, ends
@@ -137,7 +140,22 @@ def strict_array(kinds: list[str] = KINDS) -> Column:
     return F.concat(*[F.transform(f"{WORK}_{k}", of(i)) for i, k in enumerate(kinds)])
 
 
-FEATURES = ["n_chars", "n_digits", "n_marks", "n_letters", "n_at", "n_dots", "n_spaces", "plus", "bracket", "luhn", "octets", "before_word", "before_letter", "behind_letter", "generator"]
+FEATURES = ["n_chars", "n_digits", "n_marks", "n_letters", "n_at", "n_dots", "n_spaces", "plus", "bracket", "luhn", "octets", "before_word", "before_letter", "behind_letter", "domain", "generator"]
+DOMAIN = r"(?:@|[(\[]at[)\]]) ?[^\s@]+\.\p{L}{2,}$"
+#: Kind, pattern in a strict span and what stands for it in a form that the strict rules don't take, and the label of that form.
+VARIANTS = [
+    ("email", "@", " (at) ", 1.0),
+    ("email", "@", "[at]", 1.0),
+    ("email", "@([A-Za-z0-9-]+).*", " (at) $1", 0.0),
+    ("email", "@([A-Za-z0-9-]+).*", "@$1", 0.0),
+    # As many dots with a domain as without one, so that their number doesn't stand for it.
+    ("email", r"^(?:.*[^A-Za-z0-9])?([A-Za-z0-9]+)@.*?([A-Za-z0-9-]+\.[A-Za-z]{2,})$", "$1 (at) $2", 1.0),
+    ("email", r"^(?:.*[^A-Za-z0-9])?([A-Za-z0-9]+)@([A-Za-z0-9-]+).*", "$1 (at) $2", 0.0),
+    ("phone", r"^\+[0-9]{1,3}[ .-]+(?=\()", "", 1.0),
+    ("phone", r"^\+[0-9]{1,3}[ .-]+(?=[1-9])", "0", 1.0),
+    ("phone", r"^\+[0-9]{1,3}[ .-]*\(0?([0-9]+)\)", "0$1", 1.0),
+    ("card", "[ -]", ".", 1.0),
+]
 
 
 def _features(s: Column, text: Column, loose: int, rules: PiiRules) -> Column:
@@ -154,18 +172,18 @@ def _features(s: Column, text: Column, loose: int, rules: PiiRules) -> Column:
 
     values = [
         n.cast("double"), count("[0-9]"), count(r"[^\p{L}0-9\s]"), count(r"\p{L}"), count("@"), count(r"\."), count(r"\s"), flag(span.startswith("+")), flag(span.contains("(")),
-        luhn_rest(digits(span)).cast("double"), flag(octets_fit(span)), flag(before.rlike(WORDS_BEFORE)), flag(before.rlike(r"\p{L}$")), flag(behind.rlike(r"^\p{L}")), F.lit(float(loose)),
+        luhn_rest(digits(span)).cast("double"), flag(octets_fit(span)), flag(before.rlike(WORDS_BEFORE)), flag(before.rlike(r"\p{L}$")), flag(behind.rlike(r"^\p{L}")), flag(span.rlike(DOMAIN)), F.lit(float(loose)),
     ]
     return F.array(*values)
 
 
-def with_candidates(df: DataFrame, text: str, rules: PiiRules) -> DataFrame:
-    """df with WORK_candidates: array<struct<loose, start, end, features>> of all generators."""
+def with_candidates(df: DataFrame, text: str, rules: PiiRules, unsure: bool = False) -> DataFrame:
+    """df with WORK_candidates: array<struct<loose, start, end, features>> of all generators; with unsure, that flag too."""
     for name in LOOSE:
         df = _matches(df, text, LOOSE[name], LOOSE_NEEDS[name], f"{WORK}_{name}")
 
     def of(i: int):
-        return lambda s: F.struct(F.lit(i).alias("loose"), s["start"].alias("start"), s["end"].alias("end"), _features(s, F.col(text), i, rules).alias("features"))
+        return lambda s: F.struct(F.lit(i).alias("loose"), s["start"].alias("start"), s["end"].alias("end"), _features(s, F.col(text), i, rules).alias("features"), *([_unsure(s, F.col(text), rules).alias("unsure")] if unsure else []))
 
     every = F.concat(*[F.transform(f"{WORK}_{name}", of(i)) for i, name in enumerate(LOOSE)])
     return df.withColumn(f"{WORK}_candidates", every).drop(*[f"{WORK}_{name}" for name in LOOSE])
@@ -201,23 +219,44 @@ class Judge:
         return out
 
 
+def _unsure(s: Column, text: Column, rules: PiiRules) -> Column:
+    """Whether a candidate outside the strict rules may be personal data by form or context."""
+    before = F.substring(text, F.greatest(s["start"] - rules.context + 1, F.lit(1)), F.least(s["start"], F.lit(rules.context)))
+    n = F.length(digits(s["span"]))
+    return s["span"].rlike(DOMAIN) | (before.rlike(WORDS_BEFORE) & n.between(7, 19)) | (n.between(13, 19) & (luhn_rest(digits(s["span"])) == 0))
+
+
+def _variant_rows(text: Column, rules: PiiRules) -> Column:
+    """array<struct<loose, start, end, label, features>> of the strict spans in other forms, by generator that takes the form whole."""
+    found = []
+    for kind, pattern, instead, label in VARIANTS:
+        for i, (name, loose) in enumerate(LOOSE.items()):
+            if (kind == "email") == (name == "address"):
+                forms = F.transform(f"{WORK}_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["span"].alias("old"), F.regexp_replace(s["span"], pattern, instead).alias("span")))
+                forms = F.filter(forms, lambda s: (s["span"] != s["old"]) & s["span"].rlike(f"^(?:{loose})$"))
+                found.append(F.transform(forms, lambda s: F.struct(F.lit(i).alias("loose"), s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label"), _features(s, text, i, rules).alias("features"))))
+    return F.concat(*found)
+
+
 def train(docs: DataFrame, rules: PiiRules) -> Judge:
-    """Fits the trees and their thresholds on a bounded sample of docs' candidates."""
+    """Fits the trees on a bounded sample of docs' rows, and their thresholds on all that are held out."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike("[0-9@]|[(\\[]at[)\\]]"))
-    df = with_candidates(with_strict_spans(df, "text"), "text", rules).withColumn(f"{WORK}_strict", strict_array())
-    rows = df.select("doc_id", f"{WORK}_strict", F.explode(f"{WORK}_candidates").alias("c")).select(
-        "c.loose", "c.features", F.exists(f"{WORK}_strict", lambda s: (s["start"] == F.col("c.start")) & (s["end"] == F.col("c.end"))).cast("double").alias("label"), F.xxhash64("doc_id", "c.start", "c.end", "c.loose").alias("h"),
-    )
-    # Equal candidates of copies have different hashes by doc_id; the least hashes are a fair sample of all.
-    sample = stored(rows.orderBy("h").limit(rules.sample_rows).select("loose", "label", (F.pmod("h", F.lit(2)) == 0).alias("fits"), *[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(FEATURES)]), "pii-sample")
-    if sample.where("fits").agg(F.count_distinct("label")).first()[0] < 2:
+    df = with_strict_spans(df, "text").withColumn(f"{WORK}_strict", strict_array()).withColumn(f"{WORK}_variants", _variant_rows(F.col("text"), rules))
+    df = with_candidates(df, "text", rules, unsure=True)
+    free = F.filter(f"{WORK}_candidates", lambda c: ~c["unsure"] & ~F.exists(f"{WORK}_strict", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+    negatives = F.transform(free, lambda c: F.struct(c["loose"].alias("loose"), c["start"].alias("start"), c["end"].alias("end"), F.lit(0.0).alias("label"), c["features"].alias("features")))
+    rows = df.select("doc_id", F.explode(F.concat(f"{WORK}_variants", negatives)).alias("c")).select("c.loose", "c.features", "c.label", F.xxhash64("doc_id", "c.start", "c.end").alias("h"))
+    # By place, so that the forms of one span are all fitted or all held out. Equal candidates of copies have different hashes by doc_id; the least hashes are a fair sample of all.
+    fits = F.pmod("h", F.lit(2)) == 0
+    sample = stored(rows.where(fits).orderBy("h").limit(rules.sample_rows).select("loose", "label", *[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(FEATURES)]), "pii-sample")
+    if sample.agg(F.count_distinct("label")).first()[0] < 2:
         return Judge()
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="x")
-    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=rules.rounds, maxDepth=rules.depth, seed=7).fit(vectors.transform(sample.where("fits")))
+    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=rules.rounds, maxDepth=rules.depth, seed=7).fit(vectors.transform(sample))
     java = model._java_obj
     judge = Judge(tuple(java.trees()), tuple(java.treeWeights()))
-    scored = sample.where("NOT fits").select("loose", "label", judge.score(F.array(*FEATURES)).alias("score"))
-    # A row per generator and leaf combination at most; the sample bounds it.
+    scored = rows.where(~fits).select("loose", "label", judge.score(F.col("features")).alias("score"))
+    # A row per generator and leaf combination at most.
     by_score: dict[int, list] = {}
     for r in scored.groupBy("loose", "score").agg(F.count("*").alias("n"), F.sum("label").alias("hits")).collect():
         by_score.setdefault(r.loose, []).append((r.score, r.n, r.hits))
@@ -229,7 +268,7 @@ def train(docs: DataFrame, rules: PiiRules) -> Judge:
             n, hits = n + k, hits + good
             if n >= rules.least_rows and hits >= rules.precision * n:
                 least = score
-        thresholds.append(least)
+        thresholds.append(least if n - hits >= rules.least_rows else None)
     return Judge(judge.trees, judge.weights, tuple(thresholds))
 
 

@@ -572,6 +572,17 @@ def test_trees_add_spans(spark):
     assert judge.trees and any(t is not None for t in judge.thresholds)
 
 
+def test_trees_add_hidden_forms(spark):
+    """An address without @ and a national number, which the strict rules don't take, are added and redacted; plain numbers stay."""
+    rows = [(i, f"call +1 ({200 + i}) 555-{1000 + i} or mail some.one{i}@host{i}.example.com today and pay {100 + i} 000 000 for {1000 + i}-{10 + i % 80}-{10 + i % 20} parts") for i in range(400)]
+    odd = [(1000, "call (988) 555-2485 now"), (1001, "write to jo.doe (at) mail.example.org please"), (1002, "we meet (at) noon and pay 200 000 000 for 1234-56-78 parts")]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string")
+    got = table(pii.pii(df))
+    assert [got[i].n_boosted for i in (1000, 1001, 1002)] == [1, 1, 0]
+    text = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert text[1000] == "call <PII> now" and text[1001] == "write to <PII> please" and text[1002] == odd[2][1]
+
+
 # ---------------------------------------------------------------- pipeline
 
 
