@@ -9,7 +9,8 @@ for a language without a list of common words.
 
 Null text counts as empty; empty and very short texts fail the base rules (n_words < 50). Rows
 are judged one by one, so repeated rows get equal verdicts; an empty table gives no rows. Null
-``lang`` gives no reference. Only doc_id, text and lang are read.
+``lang`` gives no reference. A document of a named language that has no reference, or with letters of scripts that none of the
+references holds, can't be judged by them: both tests are left out, and the base rules alone decide. Only doc_id, text and lang are read.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ COMMON_WORDS = {
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits of the rules. min_words guards the word test, min_chars the character test."""
+    """Limits of the rules. min_words guards the word test, min_chars the character test; max_foreign: share of
+    lead bytes of scripts outside the references from which a text isn't judged."""
 
     min_base_words: int = 50
     max_repeat_percent: int = 50
@@ -48,6 +50,7 @@ class QualityRules:
     max_word_distance: float = 0.40
     max_sum: float = 0.50
     min_reference_docs: int = 20
+    max_foreign: float = 0.1
     common_words: dict = field(default_factory=lambda: COMMON_WORDS)
 
     def vocabulary(self) -> list[str]:
@@ -90,6 +93,8 @@ def _byte_classes() -> tuple[np.ndarray, int]:
 
 BYTE_CLASS, DROPPED = _byte_classes()
 N_CLASSES = int(BYTE_CLASS.max()) + 1
+#: Lead bytes of two and three bytes tell scripts apart; those of four are mostly pictures.
+SCRIPTS = np.unique(BYTE_CLASS[0xC0:0xF0])
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -195,12 +200,15 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), carried
     for lang, bin_, mass in references(docs, rules).collect():
         sums.setdefault(lang, np.zeros(width + 1))[bin_] = mass
     refs = [(lang, *scaled(at[:width])) for lang, at in sorted(sums.items()) if at[width] >= rules.min_reference_docs]
+    referred = {lang.encode() for lang, *_ in refs}
+    # A script of which a reference has less than one byte in a thousand isn't covered by it.
+    foreign = [c for c in SCRIPTS if not any(char_ref[c] >= 0.001 for _, char_ref, _ in refs)]
 
     results = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "nearest_lang": "string", "char_distance": "double", "word_distance": "double", "kept": "boolean"}
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     columns = [c for c in carried or ["doc_id"] if c not in results]
     texts = [c for c in columns if kinds[c] == "string"]
-    read = list(dict.fromkeys([*columns, "text"]))
+    read = list(dict.fromkeys([*columns, "text", "lang"]))
 
     def work(chunks):
         for chunk in chunks:
@@ -212,6 +220,7 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), carried
             n_words, chars, symbols, dup_lines, repeat = np.array(counts, dtype=np.int64).T
             failed = (n_words < rules.min_base_words) | (100 * repeat > rules.max_repeat_percent * n_words)
             char, word = scaled(np.array(hists))
+            applies = np.array([lang is None or lang in referred for lang in chunk["lang"]]) & (char[:, foreign].sum(axis=1) <= rules.max_foreign)
             best = np.full(len(counts), np.inf)
             by_char, by_word = np.full((2, len(counts)), np.nan)
             nearest = np.full(len(counts), None, dtype=object)
@@ -220,7 +229,7 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), carried
                 dw = np.where(n_words >= rules.min_words, js_distance(word, word_ref), np.nan) if lang in rules.common_words else np.full(len(dc), np.nan)
                 # A text far off in both at once is worse than one far off in either.
                 excess = np.fmax(np.fmax(dc / rules.max_char_distance, dw / rules.max_word_distance), (dc + dw) / rules.max_sum)
-                nearer = (excess < best) & (chars >= rules.min_chars) & ~failed
+                nearer = (excess < best) & (chars >= rules.min_chars) & ~failed & applies
                 best[nearer], by_char[nearer], by_word[nearer], nearest[nearer] = excess[nearer], dc[nearer], dw[nearer], lang
             kept = ~failed & ((best <= 1) | np.isinf(best))
             yield {c: _as_text(chunk[c]) if c in texts else chunk[c] for c in columns} | {

@@ -59,6 +59,18 @@ def test_quality_verdicts(spark, sf):
     assert sum(bad) <= 0.3 * len(bad)
 
 
+def test_rare_languages(spark):
+    """A clean text whose language or script has no reference is kept; junk of a language with one is not."""
+    english = "the cat of the house is on the mat and it was not there for that man at all, but they have this from him"
+    russian = "кошка из этого дома лежит на ковре и не хочет идти домой потому что там нет никого кроме старого пса"
+    italian = "il gatto della casa dorme sul tappeto perché non vuole uscire con questa pioggia e nemmeno il cane gli parla"
+    longer = lambda text, k: " ".join(w for j in range(4) for w in np.random.default_rng([k, j]).permutation(text.split()))
+    rows = [(i, longer(english, 1 + i), "en") for i in range(25)] + [(100, longer(russian, 1), "ru"), (101, longer(russian, 1), None), (102, longer(italian, 1), "it"), (103, " ".join(f"#{k}$%&!!" for k in range(90)), "en")]
+    got = table(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert not any(r.base_failed for r in got.values())
+    assert [got[i].kept for i in (0, 100, 101, 102, 103)] == [True, True, True, True, False]
+
+
 def test_js_distance():
     p, q = np.array([[0.5, 0.5, 0.0]]), np.array([0.0, 0.0, 1.0])
     assert quality_rules.js_distance(p, q)[0] == pytest.approx(1) and quality_rules.js_distance(p, p[0])[0] == 0
