@@ -1,31 +1,26 @@
-"""Line dedup by content-defined chunks; DataFrame operations only.
-
-``op4_line_dedup`` and the pipeline remove whole runs (``run_dedup``): every two neighbouring lines are an anchor, and a line
-goes if an anchor that holds it stands at an earlier place (lowest doc_id, then position) too. So a repeated passage of two lines
-or more goes from its first line to its last, however it is cut, and its lines stay where they stand first. A run of such lines
-with under ``min_chars`` characters stays. Anchors are pairs of line hashes; the bytes of all lines they name are compared, and if
-two lines share a hash the lines themselves take the place of hashes. Rows of equal doc_id and text come in no order: one
-of them is the first, and the others repeat it.
-
-``line_dedup`` is the coarser step that removes equal chunks alone. Each text is cut into lines; a rolling hash over the hashes of two neighbouring lines ends a chunk
-where it is 0 modulo ``modulus``, so a boundary depends on nearby lines alone and shared passages fall
-into equal chunks wherever they stand. Chunks of ``min_lines`` lines or more that occur more than once
-in the corpus are removed from all places but the first (lowest doc_id, then position).
-
-Hashes only nominate. The bytes of every nominated chunk are grouped by (hash, bytes) and a hash with
-two different texts is told apart by its bytes. Blank lines never count as lines of a chunk on
-their own: a chunk must hold ``min_chars`` characters.
-
-Null texts have no chunks and stay null; empty texts stay empty; a text whose chunks all stand
-elsewhere first becomes empty. Rows of equal doc_id and text count as one place here. An
-empty table gives no rows. All columns of docs are returned; working columns have a prefix of their own.
+"""Line dedup by content-defined chunks of lines; DataFrame operations only.
+
+A rolling hash runs over the hashes of each two neighbouring lines. A chunk is a longest run of lines that such hashes hold together which
+stand at an earlier place too (lowest doc_id, then position): a chunk boundary falls where the rolling hash stops, or starts, to be a repeated
+one, so that content alone chooses it and lines put in front don't move it. Chunks have two lines or more, as a rolling hash covers
+two, and are removed from all places but the first if they hold ``min_chars`` characters. A boundary rule that looks at the hash
+alone (0 modulo a number) was tried first: whole chunks between such boundaries miss the ends of each repeated passage and
+most passages of two to four lines, so it can't give whole results.
+
+Hashes only nominate. The bytes of all lines that nominated hashes cover are compared, and if two lines share a hash the lines
+themselves take the place of hashes. A rolling hash that stands in a share of 1 / ``heavy`` or more of all places is joined by broadcast (there
+are ``heavy`` of these at most), so no task gets all places of a frequent passage.
+
+Null texts have no lines and stay null; empty texts stay empty; a text whose lines all stand elsewhere first becomes empty. Of rows of
+equal doc_id and text one is the first and the others repeat it. Single lines that repeat between other lines stay. An empty table
+gives no rows. All columns of docs are returned; working columns have a prefix of their own.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import documents, stored
@@ -35,109 +30,18 @@ WORK = "_lodestar_line_dedup"
 
 @dataclass(frozen=True)
 class LineDedup:
-    """modulus: mean number of lines of a chunk; min_lines and min_chars: smallest chunk removed."""
+    """min_chars: fewest characters of a chunk that is removed; heavy: see the module."""
 
-    modulus: int = 3
-    min_lines: int = 2
     min_chars: int = 40
-
-
-def with_chunks(docs: DataFrame, rules: LineDedup) -> DataFrame:
-    """docs with WORK.chunks, array<struct<body string, n int>>: the chunks of the text in order; their bodies
-    joined by line feeds give the text again. Null text: null."""
-    # Each step is a column of its own that the next one reads twice, so that Catalyst leaves it
-    # in a projection of its own and no lambda evaluates it anew for each element.
-    zero = F.array(F.lit(0).cast("long"))
-    lines = docs.withColumn(f"{WORK}_lines", F.split("text", "\n", -1))
-    hashed = lines.withColumn(f"{WORK}_hashes", F.transform(f"{WORK}_lines", lambda x: F.xxhash64(x)))
-    shifted = F.concat(zero, F.slice(f"{WORK}_hashes", 1, F.greatest(F.size(f"{WORK}_hashes") - 1, F.lit(0))))
-    rolled = F.zip_with(f"{WORK}_hashes", shifted, lambda h, before: F.pmod(F.xxhash64(h, before), F.lit(rules.modulus)) == 0)
-    numbered = F.transform(rolled, lambda ends, i: F.when(ends | (i == F.size(f"{WORK}_hashes") - 1), i + 1).otherwise(0))
-    ends = hashed.withColumn(f"{WORK}_ends", F.filter(numbered, lambda i: i > 0))
-
-    def chunk(end: Column, k: Column) -> Column:
-        start = F.when(k == 0, 0).otherwise(F.get(F.col(f"{WORK}_ends"), k - 1))
-        return F.struct(F.concat_ws("\n", F.slice(f"{WORK}_lines", start + 1, end - start)).alias("body"), (end - start).alias("n"))
-
-    return ends.withColumn(f"{WORK}_chunks", F.transform(f"{WORK}_ends", chunk)).drop(*[f"{WORK}_{x}" for x in ("lines", "hashes", "ends")])
-
-
-def _counts(chunk: Column, rules: LineDedup) -> Column:
-    return (chunk["n"] >= rules.min_lines) & (F.char_length(chunk["body"]) >= rules.min_chars)
-
-
-def _chunk_hash(body: Column) -> Column:
-    return F.xxhash64(body)
-
-
-def line_dedup(docs: DataFrame, rules: LineDedup = LineDedup(), drop_emptied: bool = False) -> DataFrame:
-    """docs with text without repeated chunks, and columns removed_chunks and removed_chars (existing
-    ones of these names are replaced). With drop_emptied, rows go of which removal leaves spaces at most."""
-    names = [c for c in docs.columns if c not in ("removed_chunks", "removed_chars")]
-    docs = docs.select(*names)
-    key = [F.col("doc_id").alias("d"), F.xxhash64("text").alias("t")]
-
-    # Where each chunk stands, without its text.
-    places = with_chunks(docs.select("doc_id", "text").where(F.col("text").isNotNull()), rules).select(
-        *key, F.posexplode(F.transform(f"{WORK}_chunks", lambda c: F.when(_counts(c, rules), _chunk_hash(c["body"])))).alias("pos", "h")
-    )
-    places = stored(places.where(F.col("h").isNotNull()), "line-chunks")
-    repeated = places.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "pos")).alias("first")).where("n > 1")
-    nominated = (
-        places.join(repeated, "h")
-        .groupBy("d", "t")
-        .agg(F.collect_set(F.struct("pos", "h", (F.struct("d", "t", "pos") == F.col("first")).alias("is_first"))).alias(f"{WORK}_found"))
-    )
-    # The one shuffle of the texts.
-    on = docs["doc_id"].eqNullSafe(nominated["d"]) & (F.xxhash64(docs["text"]) == nominated["t"])
-    marked = stored(docs.join(nominated.hint("shuffle_hash"), on, "left").drop("d", "t"), "line-marked")
-
-    # Byte comparison of the nominated chunks: a hash stands for one text, unless shown otherwise.
-    hit = with_chunks(marked.where(F.col(f"{WORK}_found").isNotNull()).select("doc_id", "text", f"{WORK}_found"), rules)
-    bodies = hit.select(*key, F.explode(F.transform(f"{WORK}_found", lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"), F.get(F.col(f"{WORK}_chunks"), x["pos"])["body"].alias("body")))).alias("x")).select("d", "t", "x.*")
-    texts = bodies.groupBy("h", "body").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count("*").alias("n"))
-    colliding = stored(texts.select("h", F.xxhash64(F.lit(1), "body").alias("b"), "first").withColumn("k", F.count("*").over(Window.partitionBy("h"))).where("k > 1"), "line-collisions")
-    if colliding.isEmpty():
-        positions = F.transform(F.filter(f"{WORK}_found", lambda x: ~x["is_first"]), lambda x: x["pos"])
-        judged = marked.withColumn(f"{WORK}_gone", positions)
-    else:
-        # Two texts under one hash: each text has a first place of its own.
-        apart = bodies.join(colliding.select("h").distinct(), "h", "left_semi").withColumn("b", F.xxhash64(F.lit(1), "body"))
-        own = apart.join(colliding.select("h", "b", F.col("first").alias("f")), ["h", "b"]).select("d", "t", "pos", (F.struct("d", "t", "pos") == F.col("f")).alias("stays"))
-        fixed = own.groupBy("d", "t").agg(F.collect_set(F.struct("pos", "stays")).alias(f"{WORK}_fixed"))
-        both = marked.join(fixed, marked["doc_id"].eqNullSafe(fixed["d"]) & (F.xxhash64(marked["text"]) == fixed["t"]), "left").drop("d", "t")
-        gone = F.transform(F.filter(f"{WORK}_found", lambda x: ~x["is_first"]), lambda x: x["pos"])
-        none = F.array().cast("array<int>")
-        told = F.coalesce(F.transform(f"{WORK}_fixed", lambda x: x["pos"]), none)
-        left = F.coalesce(F.transform(F.filter(f"{WORK}_fixed", lambda x: ~x["stays"]), lambda x: x["pos"]), none)
-        judged = both.withColumn(f"{WORK}_gone", F.when(F.col(f"{WORK}_found").isNotNull(), F.array_union(F.array_except(gone, told), left))).drop(f"{WORK}_fixed")
-
-    untouched = F.col(f"{WORK}_gone").isNull() | (F.size(f"{WORK}_gone") == 0)
-    clean = judged.where(untouched).select(*names, F.lit(0).alias("removed_chunks"), F.lit(0).alias("removed_chars"))
-    short = with_chunks(judged.where(~untouched), rules)
-    kept = F.concat_ws("\n", F.transform(F.filter(f"{WORK}_chunks", lambda c, i: ~F.array_contains(f"{WORK}_gone", i)), lambda c: c["body"]))
-    if drop_emptied:
-        # A generator, as Catalyst would push a filter below the steps above and evaluate them anew for each line.
-        short = short.select(*short.columns, F.explode(F.filter(F.array(kept), lambda t: F.char_length(F.trim(t)) > 0)).alias(f"{WORK}_kept"))
-    else:
-        short = short.withColumn(f"{WORK}_kept", kept)
-    short = short.select(
-        *[F.col(f"{WORK}_kept").alias("text") if c == "text" else F.col(c) for c in names],
-        F.size(f"{WORK}_gone").alias("removed_chunks"),
-        (F.char_length("text") - F.char_length(f"{WORK}_kept")).alias("removed_chars"),
-    )
-    return clean.unionByName(short)
-
-
-# ---------------------------------------------------------------- whole runs
+    heavy: int = 2000
 
 
 def _line_hash(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def _anchors(docs: DataFrame, line_key) -> DataFrame:
-    """(d, t, pos, a, b): the keys of the lines pos and pos + 1 of each text."""
+def rolling(docs: DataFrame, line_key) -> DataFrame:
+    """(d, t, pos, a, b): the rolling key of the lines pos and pos + 1 of each text, as the keys of both."""
     keys = f"{WORK}_keys"
     df = docs.select("doc_id", "text").where(F.col("text").contains("\n")).withColumn(f"{WORK}_lines", F.split("text", "\n", -1))
     df = df.withColumn(keys, F.transform(f"{WORK}_lines", line_key))
@@ -145,52 +49,57 @@ def _anchors(docs: DataFrame, line_key) -> DataFrame:
     return df.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(pairs).alias("pos", "x")).select("d", "t", "pos", "x.a", "x.b")
 
 
-def _with_repeats(docs: DataFrame, line_key) -> DataFrame:
-    """docs with WORK_named (first lines of anchors that stand in several places), WORK_gone (lines of those that stand earlier
-    too, rising) and WORK_copies (rows of this doc_id and text); null without such anchors."""
-    places = stored(_anchors(docs, line_key), "line-anchors")
-    repeated = places.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "pos")).alias("first")).where("n > 1").drop("n")
-    # Of three equal lines the middle one belongs to the first anchor, which stays.
+def _with_repeats(docs: DataFrame, line_key, rules: LineDedup) -> DataFrame:
+    """docs with WORK_named (first lines of rolling keys that stand in several places), WORK_gone (lines of those that stand
+    earlier too, rising), WORK_copies (rows of this doc_id and text; null without repeated keys) and WORK_row."""
+    places = stored(rolling(docs, line_key), "line-places")
+    counted = places.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "pos")).alias("first")).where("n > 1")
+    repeated = stored(counted, "line-repeated")
+    heavy = repeated.where(F.col("n") * rules.heavy >= places.count()).drop("n")
+    light = places.join(F.broadcast(heavy.select("a", "b")), ["a", "b"], "left_anti").join(repeated.drop("n"), ["a", "b"])
+    met = light.unionByName(places.join(F.broadcast(heavy), ["a", "b"]))
+    # Of three equal lines the middle one belongs to the first place, which stays.
     inside = F.col("first") == F.struct("d", "t", (F.col("pos") - 1).alias("pos"))
     is_first = F.col("first") == F.struct("d", "t", "pos")
     gone = F.when(is_first, F.array().cast("array<int>")).when(inside, F.array(F.col("pos") + 1)).otherwise(F.array("pos", F.col("pos") + 1))
+    # Sets, so that equal rows add nothing; a group holds no more than the lines of one text.
     named = (
-        places.join(repeated, ["a", "b"])
-        .select("d", "t", "pos", gone.alias("gone"))
+        met.select("d", "t", "pos", gone.alias("gone"))
         .groupBy("d", "t")
-        .agg(F.collect_set("pos").alias(f"{WORK}_named"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias(f"{WORK}_gone"), F.count_if(F.col("pos") == 0).alias(f"{WORK}_copies"))
+        .agg(F.collect_set("pos").alias(f"{WORK}_named"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias(f"{WORK}_gone"), F.count_if(F.col("pos") == 0).alias(f"{WORK}_copies"))
     )
     # The one shuffle of the texts.
     on = docs["doc_id"].eqNullSafe(named["d"]) & (F.xxhash64(docs["text"]) == named["t"])
-    return stored(docs.join(named.hint("shuffle_hash"), on, "left").drop("d", "t"), "line-marked")
+    marked = docs.join(named.hint("shuffle_hash"), on, "left").drop("d", "t")
+    return stored(marked.withColumn(f"{WORK}_row", F.monotonically_increasing_id()), "line-marked")
 
 
 def _hashes_collide(marked: DataFrame) -> bool:
-    """Whether two lines that anchors name differ in bytes but not by hash."""
+    """Whether two lines that repeated keys cover differ in bytes but not by hash."""
     df = marked.where(F.col(f"{WORK}_named").isNotNull()).select("text", f"{WORK}_named").withColumn(f"{WORK}_lines", F.split("text", "\n", -1))
     at = F.array_distinct(F.concat(f"{WORK}_named", F.transform(f"{WORK}_named", lambda i: i + 1)))
     lines = df.select(F.explode(F.transform(at, lambda i: F.get(F.col(f"{WORK}_lines"), i))).alias("line"))
     return not lines.select(_line_hash(F.col("line")).alias("h"), "line").distinct().groupBy("h").count().where("count > 1").isEmpty()
 
 
-def run_dedup(docs: DataFrame, rules: LineDedup = LineDedup(), drop_emptied: bool = False) -> DataFrame:
-    """docs with text without repeated runs of lines, and columns removed_chunks (runs) and removed_chars (existing
+def line_dedup(docs: DataFrame, rules: LineDedup = LineDedup(), drop_emptied: bool = False) -> DataFrame:
+    """docs with text without repeated chunks, and columns removed_chunks and removed_chars (existing
     ones of these names are replaced). With drop_emptied, rows go of which removal leaves spaces at most."""
     names = [c for c in docs.columns if c not in ("removed_chunks", "removed_chars")]
     docs = docs.select(*names)
-    marked = _with_repeats(docs, _line_hash)
+    marked = _with_repeats(docs, _line_hash, rules)
     if _hashes_collide(marked):
-        marked = _with_repeats(docs, lambda line: line)
+        marked = _with_repeats(docs, lambda line: line, rules)
 
-    gone, lines, edges, runs = (f"{WORK}_{x}" for x in ("gone", "lines", "edges", "runs"))
+    gone, lines, edges, runs, row = (f"{WORK}_{x}" for x in ("gone", "lines", "edges", "runs", "row"))
     copies = F.coalesce(f"{WORK}_copies", F.lit(0))
     clean = marked.where((copies < 2) & (F.coalesce(F.size(gone), F.lit(0)) <= 0)).select(*names, F.lit(0).alias("removed_chunks"), F.lit(0).alias("removed_chars"))
-    single = marked.where((copies < 2) & (F.size(gone) > 0))
+    single = marked.where((copies < 2) & (F.size(gone) > 0)).drop(row)
     # All lines of the second of two equal rows stand earlier.
-    nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(0)))
-    several = marked.where(copies >= 2).withColumn(f"{WORK}_nth", nth)
-    several = several.withColumn(gone, F.when(F.col(f"{WORK}_nth") > 1, F.sequence(F.lit(0), F.size(F.split("text", "\n", -1)) - 1)).otherwise(F.col(gone))).drop(f"{WORK}_nth")
-    short = single.unionByName(several).withColumn(lines, F.split("text", "\n", -1))
+    several = marked.where(copies >= 2)
+    firsts = several.groupBy("doc_id", "text").agg(F.min(row).alias(row)).select(row, F.lit(True).alias(f"{WORK}_is_first"))
+    several = several.join(firsts, row, "left").withColumn(gone, F.when(F.col(f"{WORK}_is_first"), F.col(gone)).otherwise(F.sequence(F.lit(0), F.size(F.split("text", "\n", -1)) - 1)))
+    short = single.unionByName(several.drop(row, f"{WORK}_is_first")).withColumn(lines, F.split("text", "\n", -1))
     starts = F.filter(gone, lambda x, i: (i == 0) | (F.get(F.col(gone), i - 1) != x - 1))
     ends = F.filter(gone, lambda x, i: (i == F.size(gone) - 1) | (F.get(F.col(gone), i + 1) != x + 1))
     short = short.withColumn(edges, F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
@@ -216,7 +125,27 @@ def run_dedup(docs: DataFrame, rules: LineDedup = LineDedup(), drop_emptied: boo
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with production limits."""
-    return run_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 QUERIES = {"op4_line_dedup": op4_line_dedup}
+#: The same without hashes. Rows of equal doc_id and text, which the driver's tables don't have, aren't told apart here.
+ORACLE_SQL = {
+    "op4_line_dedup": """WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+pairs AS (SELECT doc_id, pos, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM lines),
+firsts AS (
+  SELECT doc_id, pos, first_value(doc_id) OVER w AS first_doc, first_value(pos) OVER w AS first_pos
+  FROM pairs WHERE b IS NOT NULL WINDOW w AS (PARTITION BY a, b ORDER BY doc_id, pos)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN first_doc = doc_id AND first_pos = pos THEN []::BIGINT[] WHEN first_doc = doc_id AND first_pos = pos - 1 THEN [pos + 1] ELSE [pos, pos + 1] END) AS pos
+  FROM firsts),
+marked AS (SELECT l.doc_id, l.pos, l.line, g.pos IS NOT NULL AS gone FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos),
+runs AS (SELECT *, CASE WHEN gone THEN pos - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) END AS run FROM marked),
+sized AS (SELECT *, CASE WHEN gone THEN sum(length(line) + 1) OVER (PARTITION BY doc_id, gone, run) - 1 ELSE 0 END AS chars FROM runs),
+kept AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE chars < 40), '') AS text, count(DISTINCT run) FILTER (WHERE chars >= 40) AS removed_chunks
+  FROM sized GROUP BY doc_id)
+SELECT d.doc_id, k.text, coalesce(k.removed_chunks, 0)::INTEGER AS removed_chunks, coalesce(length(d.text) - length(k.text), 0)::INTEGER AS removed_chars
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+}

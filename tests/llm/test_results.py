@@ -216,27 +216,6 @@ def test_random_strings(letters, length):
 # ---------------------------------------------------------------- op4
 
 
-def test_line_dedup(spark, sf):
-    d = documents(spark, sf.replace("0.001", "0.01"))
-    rules = line_dedup.LineDedup()
-    chunks = {r.doc_id: r for r in line_dedup.with_chunks(d, rules).select("doc_id", "text", f"{line_dedup.WORK}_chunks").collect()}
-    got = table(line_dedup.line_dedup(d))
-    seen, removed = set(), 0
-    for i in sorted(chunks):
-        own = chunks[i][2]
-        assert "\n".join(c.body for c in own) == chunks[i].text
-        kept = []
-        for c in own:
-            if c.n >= rules.min_lines and len(c.body) >= rules.min_chars:
-                if c.body in seen:
-                    removed += 1
-                    continue
-                seen.add(c.body)
-            kept.append(c.body)
-        assert got[i].text == "\n".join(kept)
-    assert removed > 50
-
-
 def whole_runs(rows):
     """Brute force: (doc_id, text) in order to the texts without runs of lines whose neighbouring pairs stand earlier."""
     first, out = {}, []
@@ -278,7 +257,7 @@ def test_runs_of_any_length(spark, monkeypatch, collide):
     passages = {n: "\n".join(f"passage {n} has a line {k} that stands in both" for k in range(n)) for n in (2, 3, 5, 12)}
     rows = [(n, f"head {n}\n{p}\ntail {n}") for n, p in passages.items()] + [(100 + n, f"other {n}\n\n{p}\nend {n}") for n, p in passages.items()]
     rows += [(200, "x" * 50 + "\n" + "x" * 50 + "\n" + "x" * 50 + "\n" + "x" * 50), (201, None), (202, ""), (203, "one line")]
-    got = table(line_dedup.run_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = table(line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
     assert all(got[n].text == dict(rows)[n] and got[100 + n].text == f"other {n}\n\nend {n}" for n in passages)
     assert [got[i].text for i in (200, 201, 202, 203)] == ["x" * 50 + "\n" + "x" * 50, None, "", "one line"]
 
@@ -286,27 +265,25 @@ def test_runs_of_any_length(spark, monkeypatch, collide):
 def test_runs_of_equal_rows(spark):
     """Rows of equal doc_id and text that nothing else holds: one keeps its text."""
     text = "a first line of some length that counts\nand a second line of it"
-    got = line_dedup.run_dedup(spark.createDataFrame([(1, text), (1, text), (1, text), (2, "z")], "doc_id long, text string")).collect()
+    got = line_dedup.line_dedup(spark.createDataFrame([(1, text), (1, text), (1, text), (2, "z")], "doc_id long, text string")).collect()
     assert sorted(r.text for r in got) == ["", "", text, "z"]
 
 
-@pytest.mark.xfail(reason="this passage has one boundary inside, so no whole chunk of it stands in both texts: a miss of the method, open")
 def test_chunks_resist_shifts(spark):
     passage = "\n".join(f"line number {k} of a shared passage that stands in both" for k in range(12))
     df = spark.createDataFrame([(1, "a head\n" + passage), (2, "another head\nof two lines\n" + passage + "\nand a tail")], "doc_id long, text string")
     got = table(line_dedup.line_dedup(df))
-    assert got[1].removed_chunks == 0 and got[2].removed_chunks >= 1 and got[2].text.startswith("another head")
+    assert got[1].removed_chunks == 0 and (got[2].removed_chunks, got[2].text) == (1, "another head\nof two lines\nand a tail")
 
 
-def test_colliding_hashes(spark, monkeypatch):
-    """With hashes that collide all the time, bytes still decide."""
-    real = line_dedup.F.xxhash64
-    monkeypatch.setattr(line_dedup, "_chunk_hash", lambda body: line_dedup.F.lit(7).cast("long"))
-    assert real
-    block = lambda c: "\n".join(f"{c} line {k} with enough letters to count" for k in range(9))
-    df = spark.createDataFrame([(1, block("a")), (2, block("b")), (3, block("a")), (4, block("c"))], "doc_id long, text string")
-    got = table(line_dedup.line_dedup(df))
-    assert [got[i].removed_chunks > 0 for i in (1, 2, 3, 4)] == [False, False, True, False]
+def test_frequent_passages(spark):
+    """A passage in every text is joined by broadcast, whatever the share from which it counts as frequent."""
+    passage = "this stands in every text there is\nand so does this second line of it"
+    df = spark.createDataFrame([(i, f"head {i}\n{passage}\ntail {i}") for i in range(200)] + [(i, f"rare {i // 2}\nand its second line, which stands twice {i // 2}") for i in range(500, 520)], "doc_id long, text string")
+    want = table(line_dedup.line_dedup(df))
+    assert sum(r.removed_chunks for r in want.values()) == 199 + 10 and want[5].text == "head 5\ntail 5"
+    for heavy in (1, 3, 10**9):
+        assert table(line_dedup.line_dedup(df, line_dedup.LineDedup(heavy=heavy))) == want
 
 
 # ---------------------------------------------------------------- op5
@@ -455,13 +432,59 @@ def test_fingerprints(spark, sf, docs):
     assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.3
 
 
-def test_neighbours_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
-    ids = [3 * k * k for k in range(200)]
-    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.next_text for r in fingerprint.with_next_text(df)[0].where("copy = 0").collect()}
-    order = sorted(ids, reverse=True)
-    assert got == {i: f"text {order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+def exact_likeness(x, y):
+    blocks = [Counter(re.findall(fingerprint.BLOCK, t)) for t in (x, y)]
+    dot = lambda a, b: sum(n * b[k] for k, n in a.items())
+    a, b = blocks
+    return 1.0 if a == b else dot(a, b) / ((dot(a, a) + dot(b, b) - dot(a, b)) or 1)
+
+
+def test_likeness(spark, sf):
+    """The estimate against the exact index, with and without repeated lines; a word in front changes little."""
+    d = sf.replace("0.001", "0.01")
+    texts = {r.doc_id: r.text for r in documents(spark, d).collect()}
+    got = table(fingerprint.op8_fingerprint(spark, d))
+    order = sorted(texts, reverse=True)
+    off = []
+    for k, i in enumerate(order):
+        text, after = texts[i], texts[order[(k + 1) % len(order)]]
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        off += [got[i].near_edited - exact_likeness(text, edited), got[i].near_next - exact_likeness(text, after)]
+    assert np.sqrt(np.mean(np.square(off))) < 0.1 and abs(np.mean(off)) < 0.03
+    words_ = " ".join(f"{c}ord{k}" for k in range(50) for c in "wmxpoq")
+    rows = [(1, "front " + words_, words_), (2, ("a line that repeats\n" * 30) + words_, ("a line that repeats\n" * 29) + words_), (3, "", "a"), (4, "", "")]
+    df = spark.createDataFrame(rows, "doc_id long, x string, y string")
+    for c in ("x", "y"):
+        df = fingerprint.with_fingerprint(df, c, f"f_{c}")
+    near = {r.doc_id: r.near for r in df.select("doc_id", fingerprint.likeness(df["f_x"], df["f_y"]).alias("near")).collect()}
+    assert near[1] > 0.95 and near[2] > 0.9 and (near[3], near[4]) == (0, 1)
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_neighbours_over_ranges(spark, monkeypatch, rows):
+    """Any number of ranges gives the same neighbours; equal doc_ids follow each other, those without come last."""
+    monkeypatch.setattr(fingerprint, "SMALL_RANGE_ROWS", rows)
+    ids = [3 * k * k for k in range(200)] + [300] * 5 + [None] * 5
+    df = spark.createDataFrame([(i, f"text {k} {i}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(5)
+    keys = fingerprint.keyed(df).withColumn("n_chars", fingerprint.F.char_length("text"))
+    text = {(r.d, r.t): (r.doc_id, r.n_chars) for r in keys.collect()}
+    links = fingerprint.chain(keys.select("doc_id", "d", "t", "n_chars")).collect()
+    assert len(links) == len({(r.d, r.t) for r in links}) == len({(r.before_d, r.before_t) for r in links}) == len(ids)
+    after = {(r.before_d, r.before_t): (r.d, r.t) for r in links}
+    assert all(text[r.before_d, r.before_t][1] == r.before_n for r in links)
+    at, walk = max(text, key=lambda k: (text[k][0] is not None, text[k][0] or 0, -k[1])), []
+    for _ in ids:
+        walk.append(text[at][0])
+        at = after[at]
+    assert walk == sorted((i for i in ids if i is not None), reverse=True) + [None] * 5 and text[at][0] == walk[0]
+
+
+def test_fingerprints_of_equal_rows(spark):
+    """Rows of equal doc_id and text are one document: all of them take the end from the next one."""
+    df = spark.createDataFrame([(2, "abcdef"), (2, "abcdef"), (2, "abcdef"), (1, "uvwxyz"), (None, None)], "doc_id long, text string")
+    got = fingerprint.edited_fingerprints(df).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((r.doc_id or 0, r.edited_sha256) for r in got) == sorted([(2, sha("abcduv"))] * 3 + [(1, sha("uvwx")), (0, sha(""))])
 
 
 def test_homomorphism(spark):
