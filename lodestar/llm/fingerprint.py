@@ -4,13 +4,20 @@ The fingerprint of a text is a vector that is the sum, modulo powers of two, of
 doesn't depend on their order, and paragraphs are put in or taken out by ``plus`` and ``minus`` without the rest of
 the text. A paragraph's vector has two parts:
 
-* ``lanes``: LANES 32-bit hashes of the whole paragraph, summed modulo 2**32: equality of the multisets.
-* ``sketch``: each block of up to BLOCK_WORDS words of the paragraph adds +1 or -1 to one of SLOTS * 3 counters (three
-  counters of 20 bits share a 64-bit number). The squared length of the difference of two sketches estimates how many
-  blocks the texts don't share, which gives a likeness between 0 and 1 (Jaccard's index of the blocks).
+* ``lanes``: LANES 60-bit hashes of the paragraph's SHA-256, summed modulo 2**60 (960 bits): equality of the multisets.
+* ``sketch``: each block of the paragraph adds +1 or -1 to one of SLOTS * 3 counters (three counters of 20 bits share a 64-bit number).
+  A block is a run of words that ends before a word with one of the letters of ``STARTS`` in front, or after MOST_WORDS words, so
+  words put in or taken out change the blocks around them alone. Squared lengths of sketches and of their difference estimate
+  those of the counts of blocks, so ``likeness`` estimates a.b / (a.a + b.b - a.b) of the two count vectors: Jaccard's index if
+  no block repeats, 1 for equal counts, 0 for nothing shared. 66 counters leave a standard error of about 0.1.
+
+The edited text of a document takes its end from the next document by falling doc_id (null last, equal doc_ids by a hash of the text; rows of
+equal doc_id and text are one document here). The order is made over keys alone, in ranges that grow in number with the rows and split equal
+doc_ids too; then one join by key brings each document the start of the next.
 
 Null text counts as empty: one empty paragraph and no blocks. Two texts without blocks have likeness 1 if
-their lanes are equal, else 0. Repeated rows have equal fingerprints. Texts are taken whole. Only doc_id and text are read.
+their lanes are equal, else 0. Repeated rows have equal results. Texts are taken whole. An empty table gives no rows. Only doc_id and
+text are read.
 """
 
 from __future__ import annotations
@@ -18,48 +25,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import documents
+from lodestar.llm.common import documents, stored
 
-LANES = 8
-BLOCK_WORDS = 8
+LANES = 16
 SLOTS = 22
-_LANE_MASK = (1 << 32) - 1
+MOST_WORDS = 16
+#: Letters (Latin and Cyrillic) before which a block ends, about one word in five.
+STARTS = "cmpsCMPSкмпсКМПС"
+_MASK = (1 << 60) - 1
 _COUNTER = 1 << 20
-#: Documents of a range of doc_ids that are put in order together, on average; and the most ranges.
-RANGE_ROWS = 1000
-MOST_RANGES = 4096
-_BLOCK = rf"(?:\S++[^\S\n]*+){{1,{BLOCK_WORDS}}}+"
+_GAP = r" \t\r\f\x0B"
+BLOCK = rf"[^{_GAP}\n]+(?:[{_GAP}]+[^{_GAP}\n{STARTS}][^{_GAP}\n]*){{0,{MOST_WORDS - 1}}}"
+#: Keys of a range that are put in order together: few where FEW_RANGES do, so that small tables are spread too.
+RANGE_ROWS = 200_000
+SMALL_RANGE_ROWS = 1000
+FEW_RANGES = 1000
+
+
+def _number(text: Column) -> Column:
+    """The first 60 bits of the MD5 of a text."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with out: struct<lanes array<bigint>, blocks bigint, sketch array<bigint>> of the text column."""
+    """df with out: struct<lanes array<bigint>, sketch array<bigint>> of the text column."""
     # The intermediate arrays are columns read twice by the next step, so that no lambda evaluates them anew.
-    paragraphs, units = f"{out}_paragraphs", f"{out}_units"
-    block_hash = F.transform(F.regexp_extract_all(text, F.lit(_BLOCK), 0), lambda b: F.xxhash64(b))
+    digests, units = f"{out}_digests", f"{out}_units"
+    hashes = F.transform(F.regexp_extract_all(text, F.lit(BLOCK), 0), _number)
     unit = F.transform(
-        block_hash,
+        hashes,
         lambda h: F.struct(
             F.pmod(h, F.lit(SLOTS)).cast("int").alias("slot"),
             (F.when(F.shiftright(h, 40).bitwiseAND(1) == 1, F.lit(1).cast("long")).otherwise(F.lit(-1).cast("long"))
              * F.element_at(F.lit([1, _COUNTER, _COUNTER**2]).cast("array<bigint>"), (F.pmod(F.shiftright(h, 42), F.lit(3)) + 1).cast("int"))).alias("value"),
         ),
     )
-    df = df.withColumn(paragraphs, F.split(text, "\n", -1)).withColumn(units, unit)
+    df = df.withColumn(digests, F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))).withColumn(units, unit)
     zero = F.lit(0).cast("long")
 
     def lane(j: int) -> Column:
-        return F.aggregate(paragraphs, zero, lambda acc, p: acc + F.xxhash64(F.lit(j), p).bitwiseAND(F.lit(_LANE_MASK)), lambda acc: acc.bitwiseAND(F.lit(_LANE_MASK)))
+        return F.aggregate(digests, zero, lambda acc, d: (acc + _number(F.concat(F.lit(str(j)), d))).bitwiseAND(F.lit(_MASK)))
 
     slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda j: F.aggregate(units, zero, lambda acc, u: acc + F.when(u["slot"] == j, u["value"]).otherwise(zero)))
-    vector = F.struct(F.array(*[lane(j) for j in range(LANES)]).alias("lanes"), F.size(units).cast("long").alias("blocks"), slots.alias("sketch"))
-    return df.withColumn(out, vector).drop(paragraphs, units)
+    return df.withColumn(out, F.struct(F.array(*[lane(j) for j in range(LANES)]).alias("lanes"), slots.alias("sketch"))).drop(digests, units)
 
 
 def plus(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of the paragraphs of both; with sign -1, of those of a without those of b."""
     return F.struct(
-        F.zip_with(a["lanes"], b["lanes"], lambda x, y: F.pmod(x + sign * y, F.lit(1 << 32))).alias("lanes"),
-        (a["blocks"] + sign * b["blocks"]).alias("blocks"),
+        F.zip_with(a["lanes"], b["lanes"], lambda x, y: (x + sign * y).bitwiseAND(F.lit(_MASK))).alias("lanes"),
         F.zip_with(a["sketch"], b["sketch"], lambda x, y: x + sign * y).alias("sketch"),
     )
 
@@ -69,106 +83,82 @@ def minus(a: Column, b: Column) -> Column:
 
 
 def as_text(fp: Column) -> Column:
-    """A fingerprint as hexadecimal text."""
-    return F.concat_ws("-", F.transform(fp["lanes"], lambda x: F.lpad(F.hex(x), 8, "0")), F.hex(fp["blocks"]), F.transform(fp["sketch"], lambda x: F.hex(x)))
+    """A fingerprint as text: lanes in hexadecimal, counters as numbers."""
+    return F.concat(F.concat_ws("", F.transform(fp["lanes"], lambda x: F.lpad(F.hex(x), 15, "0"))), F.lit(":"), F.concat_ws(",", F.transform(fp["sketch"], lambda x: x.cast("string"))))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """(S - D) / (S + D), where S counts the blocks of both and D estimates those that only one has."""
+def _squares(packed: Column) -> Column:
+    """Sum of the squares of the three counters of a number."""
+    half = _COUNTER // 2
 
-    def squares(d: Column) -> Column:
-        half = _COUNTER // 2
+    def low(x: Column) -> Column:
+        return (x + half).bitwiseAND(F.lit(_COUNTER - 1)) - half
 
-        def low(x: Column) -> Column:
-            return (x + half).bitwiseAND(F.lit(_COUNTER - 1)) - half
+    first = low(packed)
+    second = low(F.shiftright(packed - first, 20))
+    third = F.shiftright(F.shiftright(packed - first, 20) - second, 20)
+    return first * first + second * second + third * third
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """(S - D) / (S + D), at least 0: S adds up the squared lengths of both sketches, D is that of their difference."""
 
-        first = low(d)
-        second = low(F.shiftright(d - first, 20))
-        third = F.shiftright(F.shiftright(d - first, 20) - second, 20)
-        return first * first + second * second + third * third
+    def length(sketch: Column) -> Column:
+        return F.aggregate(sketch, F.lit(0).cast("long"), lambda acc, x: acc + _squares(x)).cast("double")
 
-    apart = F.aggregate(F.zip_with(a["sketch"], b["sketch"], lambda x, y: squares(x - y)), F.lit(0).cast("long"), lambda acc, x: acc + x).cast("double")
-    both = (a["blocks"] + b["blocks"]).cast("double")
-    same = a["lanes"] == b["lanes"]
-    return F.when(same, F.lit(1.0)).when(both + apart == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (both - apart) / (both + apart)))
+    apart = length(F.zip_with(a["sketch"], b["sketch"], lambda x, y: x - y))
+    both = length(a["sketch"]) + length(b["sketch"])
+    return F.when(a["lanes"] == b["lanes"], F.lit(1.0)).when(both + apart == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (both - apart) / (both + apart)))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars and fingerprint (the vector) of each row."""
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return with_fingerprint(df, "text", "fingerprint").select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fingerprint")
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, d, t, text): the keys d and t of a document have no nulls; null text becomes empty."""
+    df = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("text"))
+    return df.withColumn("t", F.xxhash64("text", F.col("doc_id").isNull()))
 
 
 # ---------------------------------------------------------------- neighbours by doc_id
 
 
-def _boundaries(docs: DataFrame) -> list[int]:
-    """Rising doc_ids that end ranges of near equal numbers of rows; the last is the largest doc_id."""
-    rows, most = docs.agg(F.count("*"), F.max("doc_id")).first()
-    if most is None:
-        return []
-    ranges = max(1, min(MOST_RANGES, rows // RANGE_ROWS))
-    found = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges + 1)], 10 * ranges)).first()[0]
-    return sorted({*found, most})
-
-
-def _range_of(doc_id: Column, boundaries: list[int]) -> Column:
-    """How many boundaries lie below doc_id, in two steps of about the root of their number."""
-    width = max(1, int(len(boundaries) ** 0.5))
-    blocks = [boundaries[i : i + width] for i in range(0, len(boundaries), width)]
-    ends = F.array(*[F.lit(b[-1]).cast("long") for b in blocks])
-    block = F.size(F.filter(ends, lambda e: e < doc_id))
-    inside = F.get(F.array(*[F.lit(b).cast("array<bigint>") for b in blocks]), block)
-    return F.coalesce(block * width + F.size(F.filter(inside, lambda e: e < doc_id)), F.lit(0))
-
-
-def with_next_text(docs: DataFrame) -> tuple[DataFrame, object]:
-    """(doc_id, text, next_text, copy) with next_text the text of the next row by falling doc_id, the first for the
-    last; rows of one doc_id by text, null doc_ids last. And the window that orders the rows.
-
-    Rows are dealt by ranges of doc_id. A range's last row needs the first of the range below, whose doc_id is that
-    range's end: rows with such a doc_id stand in both ranges, marked copy; those of the largest doc_id stand, behind
-    all others, in the lowest range too. So one shuffle by range does, without an order over all rows in one task.
-    """
-    boundaries = _boundaries(docs)
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    if not boundaries:
-        boundaries = [0]
-        is_last = F.lit(True)
-    else:
-        is_last = F.col("doc_id") == boundaries[-1]
-    inner = F.col("doc_id").isin(boundaries[:-1]) if len(boundaries) <= 16 else _is_boundary(F.col("doc_id"), boundaries)
-    own = _range_of(F.col("doc_id"), boundaries)
-    none = F.array().cast("array<struct<range:int,copy:int>>")
-
-    def at(range_: Column, copy: int) -> Column:
-        return F.array(F.struct(range_.cast("int").alias("range"), F.lit(copy).alias("copy")))
-
-    df = df.withColumn("own", own)
-    places = F.concat(at(F.col("own"), 0), F.when(inner & ~is_last, at(F.col("own") + 1, 1)).otherwise(none), F.when(is_last, at(F.lit(0), 2)).otherwise(none))
-    dealt = df.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.range", "at.copy")
-    order = Window.partitionBy("range").orderBy((F.col("copy") == 2).cast("int"), F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.withColumn("next_text", F.lead("text").over(order)), order
-
-
-def _is_boundary(doc_id: Column, boundaries: list[int]) -> Column:
-    width = max(1, int(len(boundaries) ** 0.5))
-    blocks = [boundaries[i : i + width] for i in range(0, len(boundaries), width)]
-    ends = F.array(*[F.lit(b[-1]).cast("long") for b in blocks])
-    inside = F.get(F.array(*[F.lit(b).cast("array<bigint>") for b in blocks]), F.size(F.filter(ends, lambda e: e < doc_id)))
-    return F.coalesce(F.array_contains(inside, doc_id), F.lit(False))
+def chain(ids: DataFrame) -> DataFrame:
+    """(d, t, before_d, before_t, before_n) of each row of ids (doc_id, d, t, n_chars), which are distinct: the row before it, by falling doc_id.
+    The last row is before the first."""
+    rows = ids.count()
+    ranges = max(1, rows // RANGE_ROWS, min(rows // SMALL_RANGE_ROWS, FEW_RANGES))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("t").asc()]
+    dealt = stored(ids.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "fingerprint-order")
+    row = F.struct("d", "t", "n_chars")
+    # A row for each range, so one task and a broadcast do.
+    ends = dealt.groupBy("range").agg(F.max(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("d").alias("falling"), "t", "d", "n_chars")).alias("end"))
+    ends = ends.select("range", F.struct("end.d", "end.t", "end.n_chars").alias("end"))
+    by_range = Window.orderBy("range")
+    of_all = F.last("end").over(by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = ends.select("range", F.coalesce(F.lag("end").over(by_range), of_all).alias("end"))
+    linked = dealt.withColumn("before", F.lag(row).over(Window.partitionBy("range").orderBy(*order))).join(F.broadcast(heads), "range")
+    before = F.coalesce("before", "end")
+    return linked.select("d", "t", before["d"].alias("before_d"), before["t"].alias("before_t"), before["n_chars"].alias("before_n"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The
     edited text has its last third replaced by the start of the next document's."""
-    df, order = with_next_text(docs)
-    n = F.char_length("text")
-    third = F.floor(n / 3).cast("int")
-    df = df.withColumn("n_chars", n).withColumn("edited", F.concat(F.left("text", F.col("n_chars") - third), F.left(F.coalesce("next_text", F.lit("")), third)))
-    df = with_fingerprint(df.drop("next_text"), "text", "fp")
-    df = df.withColumn("next_fp", F.lead("fp").over(order)).where("copy = 0")
-    df = with_fingerprint(df.select("doc_id", "n_chars", "edited", "fp", "next_fp"), "edited", "edited_fp")
+    own = keyed(docs)
+    texts = own.drop("doc_id")
+    printed = stored(with_fingerprint(own, "text", "fp").select("doc_id", "d", "t", F.char_length("text").alias("n_chars"), "fp"), "fingerprints")
+    ids = printed.select("doc_id", "d", "t", "n_chars").distinct()
+    links = stored(chain(ids), "fingerprint-chain")
+    once = printed.groupBy("d", "t").agg(F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("fp").alias("fp"))
+    of_next = once.join(links, ["d", "t"]).select(F.col("before_d").alias("d"), F.col("before_t").alias("t"), F.col("fp").alias("next_fp"))
+    known = once.join(of_next, ["d", "t"])
+    # The one shuffle of the texts serves both joins; what a document needs of the next is a third of its own length at most.
+    third = F.floor(F.col("before_n") / 3).cast("int")
+    heads = texts.join(links.hint("shuffle_hash"), ["d", "t"]).select(F.col("before_d").alias("d"), F.col("before_t").alias("t"), F.left("text", third).alias("head"))
+    if printed.count() > links.count():
+        heads = heads.groupBy("d", "t").agg(F.first("head").alias("head"))
+    df = texts.join(known.hint("shuffle_hash"), ["d", "t"]).join(heads.hint("shuffle_hash"), ["d", "t"])
+    keep = F.col("n_chars") - F.floor(F.col("n_chars") / 3).cast("int")
+    df = df.select("doc_id", "n_chars", "fp", "next_fp", F.concat(F.left("text", keep), "head").alias("edited"))
+    df = with_fingerprint(df, "edited", "edited_fp")
     return df.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
@@ -186,3 +176,39 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_fingerprint": op8_fingerprint}
+ORACLE_SQL = {
+    "op8_fingerprint": rf"""WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+pairs AS (
+  SELECT doc_id, text, n, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
+  FROM texts WINDOW w AS (ORDER BY doc_id DESC)),
+edits AS (SELECT doc_id, next_id, text, n, left(text, n - n // 3) || left(next_text, n // 3) AS edited FROM pairs),
+every AS (SELECT doc_id, 0 AS kind, text FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits),
+digests AS (SELECT doc_id, kind, sha256(unnest(string_split(text, chr(10)))) AS digest FROM every),
+lanes AS (
+  SELECT doc_id, kind, j, (sum(('0x' || substr(md5(j || digest), 1, 15))::BIGINT) % {1 << 60})::BIGINT AS lane
+  FROM digests, (SELECT unnest(range({LANES})) AS j) GROUP BY ALL),
+lane_texts AS (SELECT doc_id, kind, string_agg(upper(lpad(to_hex(lane), 15, '0')), '' ORDER BY j) AS lanes FROM lanes GROUP BY ALL),
+hashes AS (SELECT doc_id, kind, ('0x' || substr(md5(unnest(regexp_extract_all(text, '{BLOCK}'))), 1, 15))::BIGINT AS h FROM every),
+counters AS (
+  SELECT doc_id, kind, h % {SLOTS} AS slot, (h >> 42) % 3 AS field, sum(CASE WHEN (h >> 40) & 1 = 1 THEN 1 ELSE -1 END)::BIGINT AS c FROM hashes GROUP BY ALL),
+packed AS (SELECT doc_id, kind, slot, sum(c * [1, {1 << 20}, {1 << 40}][field + 1]) AS v FROM counters GROUP BY ALL),
+sketch_texts AS (
+  SELECT e.doc_id, e.kind, string_agg(coalesce(p.v, 0)::BIGINT::VARCHAR, ',' ORDER BY s.slot) AS sketch
+  FROM every e CROSS JOIN (SELECT unnest(range({SLOTS})) AS slot) s LEFT JOIN packed p ON p.doc_id = e.doc_id AND p.kind = e.kind AND p.slot = s.slot GROUP BY ALL),
+prints AS (SELECT doc_id, kind, lanes, lanes || ':' || sketch AS print FROM lane_texts JOIN sketch_texts USING (doc_id, kind)),
+sizes AS (SELECT doc_id, kind, sum(c * c) AS size FROM counters GROUP BY ALL),
+wanted AS (SELECT doc_id, 1 AS what, doc_id AS other, 1 AS other_kind FROM edits UNION ALL SELECT doc_id, 0, next_id, 0 FROM edits),
+dots AS (
+  SELECT w.doc_id, w.what, sum(a.c * b.c) AS dot
+  FROM wanted w JOIN counters a ON a.doc_id = w.doc_id AND a.kind = 0 JOIN counters b ON b.doc_id = w.other AND b.kind = w.other_kind AND b.slot = a.slot AND b.field = a.field GROUP BY ALL),
+likes AS (
+  SELECT w.doc_id, w.what, CASE WHEN p.lanes = q.lanes THEN 1.0::DOUBLE WHEN s + d = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, (s - d)::DOUBLE / (s + d)::DOUBLE) END AS near
+  FROM (SELECT w.*, coalesce(x.size, 0) + coalesce(y.size, 0) AS s, coalesce(x.size, 0) + coalesce(y.size, 0) - 2 * coalesce(dots.dot, 0) AS d
+    FROM wanted w LEFT JOIN sizes x ON x.doc_id = w.doc_id AND x.kind = 0 LEFT JOIN sizes y ON y.doc_id = w.other AND y.kind = w.other_kind
+    LEFT JOIN dots ON dots.doc_id = w.doc_id AND dots.what = w.what) w
+  JOIN prints p ON p.doc_id = w.doc_id AND p.kind = 0 JOIN prints q ON q.doc_id = w.other AND q.kind = w.other_kind)
+SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, o.print AS fingerprint, m.print AS edited_fingerprint, a.near AS near_edited, b.near AS near_next
+FROM edits e JOIN prints o ON o.doc_id = e.doc_id AND o.kind = 0 JOIN prints m ON m.doc_id = e.doc_id AND m.kind = 1
+JOIN likes a ON a.doc_id = e.doc_id AND a.what = 1 JOIN likes b ON b.doc_id = e.doc_id AND b.what = 0""",
+}
