@@ -27,6 +27,8 @@ from lodestar.llm.lattice import UNIT, UNKNOWN, Arcs, Vocabulary, default_model
 UNITS_AT_A_TIME = 20_000
 #: (language, unit) counts that a task holds before it turns them into counts of pieces.
 HELD_UNITS = 200_000
+#: Places of a forward pass between two scalings.
+RESCALE = 8
 
 
 @dataclass(frozen=True)
@@ -90,14 +92,17 @@ def piece_counts(docs: DataFrame, rules: LanguageId) -> DataFrame:
     return map_batches(train, ["text", "lang"], "lang string, piece int, n long", work).groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
-def forward(arcs: Arcs, probability: np.ndarray, unknown: np.ndarray) -> np.ndarray:
-    """Log-probability of each string of arcs by language: all segmentations summed.
+def forward(arcs: Arcs, probability: np.ndarray, unknown: np.ndarray, longest: int) -> np.ndarray:
+    """Log-probability of each string of arcs by language: all segmentations summed, whatever the string's length.
 
-    probability: piece by language; unknown: what a character outside the vocabulary has, by language.
+    probability: piece by language; unknown: what a character outside the vocabulary has, by language; longest: characters of
+    the longest piece. Every RESCALE places the sums that later arcs may start from are scaled to 1 at most, as the
+    sums of long strings would fall below the least double; the scales are kept as logarithms.
     """
     alpha = np.zeros((arcs.nodes, probability.shape[1]))
     alpha[arcs.first] = 1
-    for some in arcs.by_place():
+    scales = np.zeros((len(arcs.first), probability.shape[1]))
+    for place, some in enumerate(arcs.by_place(), 1):
         piece = arcs.piece[some]
         known = piece < UNKNOWN
         p = np.where(known[:, None], probability[np.where(known, piece, 0)], unknown)
@@ -106,8 +111,15 @@ def forward(arcs: Arcs, probability: np.ndarray, unknown: np.ndarray) -> np.ndar
         order = np.argsort(end, kind="stable")
         at = np.flatnonzero(np.diff(end[order], prepend=-1))
         alpha[end[order][at]] = np.add.reduceat(new[order], at)
+        if place % RESCALE == 0:
+            further = np.flatnonzero(arcs.length > place)
+            window = arcs.first[further][:, None] + np.arange(max(0, place - longest + 1), place + 1)
+            most = alpha[window].max(axis=1)
+            most[most == 0] = 1
+            alpha[window] /= most[:, None]
+            scales[further] += np.log(most)
     with np.errstate(divide="ignore"):
-        return np.log(alpha[arcs.first + arcs.length])
+        return np.log(alpha[arcs.first + arcs.length]) + scales
 
 
 def language_id(docs: DataFrame, rules: LanguageId = LanguageId()) -> DataFrame:
@@ -139,7 +151,7 @@ def language_id(docs: DataFrame, rules: LanguageId = LanguageId()) -> DataFrame:
             strings = list(index)
             logs = np.zeros((len(index), len(langs)))
             for lo in range(0, len(strings), UNITS_AT_A_TIME) if langs else ():
-                logs[lo : lo + UNITS_AT_A_TIME] = long_forward(strings[lo : lo + UNITS_AT_A_TIME], words, table, unknown)
+                logs[lo : lo + UNITS_AT_A_TIME] = forward(Arcs(strings[lo : lo + UNITS_AT_A_TIME], words), table, unknown, words.longest)
             preds, scores = [], []
             for text, mine in zip(texts, own):
                 if not langs or not any(map(str.isalpha, text)):
@@ -156,21 +168,6 @@ def language_id(docs: DataFrame, rules: LanguageId = LanguageId()) -> DataFrame:
     return map_batches(rows, ["doc_id", "text", "held_out"], "doc_id long, held_out boolean, lang_pred string, score double", work)
 
 
-#: Longer units are cut here before the forward pass, whose products would fall below the least double.
-LONGEST_UNIT = 40
-
-
-def long_forward(strings: list[str], words: Vocabulary, table: np.ndarray, unknown: np.ndarray) -> np.ndarray:
-    parts, owner = [], []
-    for k, s in enumerate(strings):
-        cut = [s[i : i + LONGEST_UNIT] for i in range(0, len(s), LONGEST_UNIT)]
-        parts += cut
-        owner += [k] * len(cut)
-    out = np.zeros((len(strings), table.shape[1]))
-    np.add.at(out, owner, forward(Arcs(parts, words), table, unknown))
-    return out
-
-
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, learned from four folds of five."""
     return language_id(documents(spark, sf_dir))

@@ -300,7 +300,38 @@ def test_forward():
         return sum((p[v.pieces[x[:n]]] if x[:n] in v.pieces else unknown if n == 1 else 0) * brute(x[n:]) for n in range(1, len(x) + 1))
 
     strings = ["▁hello", "▁", "xyz", "▁ñandú", "▁▁the", "日本\U0001f600"]
-    assert np.allclose(language_id.forward(Arcs(strings, v), p, unknown), [np.log(brute(s)) for s in strings])
+    assert np.allclose(language_id.forward(Arcs(strings, v), p, unknown, v.longest), [np.log(brute(s)) for s in strings])
+
+
+def test_forward_of_long_units():
+    """Units of any length are summed whole: against a recursion over places in exact fractions of logarithms."""
+    v = Vocabulary(default_model())
+    p = np.random.default_rng(0).random((v.size, 2)) / 1e6
+    unknown = np.array([1e-9, 1e-12])
+    letters = np.random.default_rng(1).choice(list("etaoinshrdlu😀"), 3000)
+    strings = ["▁" + "".join(letters[:n]) for n in (7, 8, 39, 61, 500, 3000)]
+    want = []
+    for x in strings:
+        logs = [np.zeros(2)]
+        for end in range(1, len(x) + 1):
+            ways = [logs[lo] + np.log(p[v.pieces[x[lo:end]]] if x[lo:end] in v.pieces else unknown) for lo in range(max(0, end - v.longest), end) if x[lo:end] in v.pieces or end - lo == 1]
+            logs.append(np.logaddexp.reduce(ways))
+        want.append(logs[-1])
+    assert np.allclose(language_id.forward(Arcs(strings, v), p, unknown, v.longest), want, rtol=1e-10)
+
+
+def test_piece_counts(spark, sf, docs):
+    """Counts over the training folds against the model's own segmentation, text by text."""
+    v = Vocabulary(default_model())
+    rows = documents(spark, sf).collect()
+    want = Counter()
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            want[r.lang, -1] += 1
+            for unit in re.findall(r"▁+[^▁\n]*|[^▁\n]+|\n", v.normalised(" ".join(r.text.lower().split()))):
+                want.update((r.lang, i) for i in v.model.encode(unit.removeprefix("▁")))
+    got = {(r.lang, r.piece): r.n for r in language_id.piece_counts(documents(spark, sf), language_id.LanguageId()).collect()}
+    assert got == dict(want)
 
 
 def test_languages(spark, sf):
