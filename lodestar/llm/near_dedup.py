@@ -6,8 +6,9 @@ tables would take. ``bands`` follows from the threshold: a pair just at it is mi
 
 Documents with equal sets are one node (their smallest doc_id) from the start. Keys that one node alone has are dropped
 before tables are formed. Candidates are verified in two rounds, so that a large group of near copies isn't expanded into all its
-pairs: first each node against the leaders (smallest nodes) it shares most tables with; then, within each table, only
-pairs that the links so far leave in different components, all of them. Components of the verified links are found by label
+pairs: first each node against the leaders (smallest nodes) it shares most tables with; then, within each table key, only
+pairs that the links so far leave in different components, all of them. A key of many nodes is dealt as pairs of blocks of ``block`` nodes,
+so no task gets all pairs of a key. Components of the verified links are found by label
 propagation with pointer jumping over stored tables. A link inside a component can't change it, so no link between components is lost
 but those that no table nominates.
 
@@ -38,13 +39,15 @@ SKETCH_LONGS = 16
 @dataclass(frozen=True)
 class NearDedup:
     """percent: least Jaccard similarity; half: minhashes of a sub-key; miss: chance to miss a pair at the threshold;
-    first_leaders: candidates of a node in the first round (the rest come in the second)."""
+    first_leaders: candidates of a node in the first round (the rest come in the second); block: nodes of a key that meet as
+    many others in one task."""
 
     words: int = 5
     percent: int = 80
     half: int = 3
     miss: float = 1e-5
     first_leaders: int = 2
+    block: int = 1000
     seed: int = 1
 
     @property
@@ -206,14 +209,16 @@ def near_dedup(docs: DataFrame, rules: NearDedup = NearDedup()) -> DataFrame:
     # Second round: in each table, pairs across the components so far.
     placed = rows.join(found, "node", "left").select("key", "i", "j", "node", F.coalesce("component", "node").alias("of"))
     held = placed.groupBy("key", "of").agg(F.count("*").alias("n"))
-    largest = held.groupBy("key").agg(F.max_by("of", F.struct("n", "of")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("key", "largest")
+    largest = held.groupBy("key").agg(F.max_by("of", F.struct("n", "of")).alias("largest"), F.count("*").alias("k"), F.sum("n").alias("nodes")).where("k > 1").select("key", "largest", F.ceil(F.col("nodes") / rules.block).cast("int").alias("blocks"))
     with_keys = nodes.select("node", "n", "sketch", F.slice("keys", 1, rules.bands).alias("ka"), F.slice("keys", rules.bands + 1, rules.bands).alias("kb"))
     mixed = stored(placed.join(largest, "key").join(with_keys, "node"), "mixed")
     # One side leaves out the table's largest component, so that is never paired with itself.
-    x, y = mixed.where("of <> largest").alias("x"), mixed.alias("y")
+    own, every = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = mixed.where("of <> largest").withColumns({"at_x": own, "at_y": every}).alias("x")
+    y = mixed.withColumns({"at_y": own, "at_x": every}).alias("y")
     same = lambda c, at: F.array_position(F.zip_with(f"x.{c}", f"y.{c}", lambda p, q: p == q), True) == F.col(f"x.{at}") + 1
     once = (F.col("y.of") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.of") != F.col("y.of")) & once & can_link("x.", "y.", rules.percent) & same("ka", "i") & same("kb", "j"))
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.at_x") == F.col("y.at_x")) & (F.col("x.at_y") == F.col("y.at_y")) & (F.col("x.of") != F.col("y.of")) & once & can_link("x.", "y.", rules.percent) & same("ka", "i") & same("kb", "j"))
     pairs = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = stored(verified(pairs.join(first, ["a", "b"], "left_anti"), sets, rules), "links-2")
     if not more.isEmpty():
@@ -245,3 +250,19 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_near_dedup": op9_near_dedup}
+#: All pairs of texts that share a shingle, without signatures.
+ORACLE_SQL = {
+    "op9_near_dedup": r"""WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(words) >= 3 THEN list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles
+  FROM split),
+sized AS (SELECT doc_id, len(shingles) AS n FROM shingled),
+members AS (SELECT doc_id, hash(unnest(shingles)) AS shingle FROM shingled),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT s.a, s.b FROM shared s JOIN sized x ON x.doc_id = s.a JOIN sized y ON y.doc_id = s.b WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS component FROM documents UNION SELECT b.b, r.component FROM reach r JOIN edges b ON b.a = r.doc_id WHERE r.component < b.b),
+least AS (SELECT doc_id, min(component) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, s.n::BIGINT AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept FROM sized s JOIN least l ON l.doc_id = s.doc_id""",
+}
