@@ -1,11 +1,11 @@
 """Quality rules: how far a document's characters and common words stray from any language.
 
 Two histograms are taken of each text: byte classes (letters by case, digits, punctuation, lead
-bytes of other scripts ...) and the common words of each language. References are the means of
+bytes of other scripts ...) and the common words of all languages with all other words in one bin. Common words are learned: for each language
+the ``top_words`` words of letters that most of its documents hold, counted over all of them. References are the means of
 the histograms of all documents of a language that are long enough. A document is kept if,
 for at least one language, both Jensen-Shannon distances and their sum stay within their limits. Histograms of
-few items are noisy, so neither test applies below a least length, and the word test is left out
-for a language without a list of common words.
+few items are noisy, so neither test applies below a least length.
 
 Null text counts as empty; empty and very short texts fail the base rules (n_words < 50). Rows
 are judged one by one, so repeated rows get equal verdicts; an empty table gives no rows. Null
@@ -15,11 +15,13 @@ references holds, can't be judged by them: both tests are left out, and the base
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import documents, map_batches
@@ -28,13 +30,11 @@ SPACE = b" \t\n\r\x0b\x0c"
 SPACES = [b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"]
 SYMBOLS = [b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]
 
-#: Frequent function words by language; a caller may pass others.
-COMMON_WORDS = {
-    "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec son aux elle ou".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si".split(),
-}
+#: ASCII characters that aren't letters.
+NO_LETTER = re.compile(rb"[\x00-@\[-`{-\x7f]")
+MARKS = b".,!;:"
+#: (language, word) counts that a task holds before it emits them.
+HELD = 400_000
 
 
 @dataclass(frozen=True)
@@ -51,10 +51,7 @@ class QualityRules:
     max_sum: float = 0.50
     min_reference_docs: int = 20
     max_foreign: float = 0.1
-    common_words: dict = field(default_factory=lambda: COMMON_WORDS)
-
-    def vocabulary(self) -> list[str]:
-        return sorted({w for words in self.common_words.values() for w in words})
+    top_words: int = 32
 
 
 def _byte_classes() -> tuple[np.ndarray, int]:
@@ -158,7 +155,7 @@ def histograms(text: bytes, words: Words, index: dict[bytes, int]) -> np.ndarray
     classes = np.bincount(BYTE_CLASS[np.frombuffer(text, dtype=np.uint8)], minlength=N_CLASSES)
     classes[DROPPED] = 0
     other = len(index)
-    kinds = np.fromiter([index.get(w.strip(b".,!;:").lower(), other) for w in words.distinct], dtype=np.int64, count=len(words.distinct))
+    kinds = np.fromiter([index.get(w.strip(MARKS).lower(), other) for w in words.distinct], dtype=np.int64, count=len(words.distinct))
     return np.concatenate([classes, np.bincount(kinds[words.ids], minlength=other + 1)])
 
 
@@ -168,10 +165,34 @@ def scaled(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(x / np.maximum(1e-300, x.sum(axis=-1, keepdims=True)) for x in (char, word))
 
 
-def references(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+def common_words(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """(lang, word): the words that most documents of a language hold, of its documents of min_base_words or more."""
+
+    def work(chunks):
+        seen: dict[bytes, Counter] = {}
+
+        def settle():
+            for lang, counted in seen.items():
+                yield {"lang": [lang.decode()] * len(counted), "word": [w.decode() for w in counted], "n": list(counted.values())}
+            seen.clear()
+
+        for chunk in chunks:
+            for text, lang in zip(chunk["text"], chunk["lang"]):
+                if text is None or lang is None or (words := Words(text)).n < rules.min_base_words:
+                    continue
+                seen.setdefault(lang, Counter()).update({w for x in words.distinct if (w := x.strip(MARKS).lower()) and not NO_LETTER.search(w)})
+            if sum(map(len, seen.values())) > HELD:
+                yield from settle()
+        yield from settle()
+
+    counted = map_batches(docs, ["text", "lang"], "lang string, word string, n long", work).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    return counted.withColumn("place", place).where(F.col("place") <= rules.top_words).select("lang", "word")
+
+
+def references(docs: DataFrame, index: dict[bytes, int], rules: QualityRules = QualityRules()) -> DataFrame:
     """Per language and bin the sum of the histograms, each scaled to 1, of its documents of
     min_base_words or more; the bin after the last counts the documents."""
-    index = {w.encode(): k for k, w in enumerate(rules.vocabulary())}
     width = N_CLASSES + len(index) + 1
 
     def work(chunks):
@@ -193,11 +214,11 @@ def references(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFra
 def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), carried: list[str] | None = None) -> DataFrame:
     """Per row of docs: doc_id (or the columns carried), the base counts, both distances to the nearest language (null
     where not applied), base_failed and kept. Carried columns of these names give way."""
-    index = {w.encode(): k for k, w in enumerate(rules.vocabulary())}
+    # Rows per language are a constant, whatever the number of documents: top_words here, bins there.
+    index = {w.encode(): k for k, w in enumerate(sorted({r.word for r in common_words(docs, rules).collect()}))}
     width = N_CLASSES + len(index) + 1
-    # A row per language and bin: languages times a constant, whatever the number of documents.
     sums: dict[str, np.ndarray] = {}
-    for lang, bin_, mass in references(docs, rules).collect():
+    for lang, bin_, mass in references(docs, index, rules).collect():
         sums.setdefault(lang, np.zeros(width + 1))[bin_] = mass
     refs = [(lang, *scaled(at[:width])) for lang, at in sorted(sums.items()) if at[width] >= rules.min_reference_docs]
     referred = {lang.encode() for lang, *_ in refs}
@@ -226,7 +247,7 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), carried
             nearest = np.full(len(counts), None, dtype=object)
             for lang, char_ref, word_ref in refs:
                 dc = js_distance(char, char_ref)
-                dw = np.where(n_words >= rules.min_words, js_distance(word, word_ref), np.nan) if lang in rules.common_words else np.full(len(dc), np.nan)
+                dw = np.where(n_words >= rules.min_words, js_distance(word, word_ref), np.nan)
                 # A text far off in both at once is worse than one far off in either.
                 excess = np.fmax(np.fmax(dc / rules.max_char_distance, dw / rules.max_word_distance), (dc + dw) / rules.max_sum)
                 nearer = (excess < best) & (chars >= rules.min_chars) & ~failed & applies
@@ -246,7 +267,56 @@ def _as_text(values: list) -> list:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with production limits."""
-    return quality_rules(documents(spark, sf_dir))
+    df = quality_rules(documents(spark, sf_dir))
+    return df.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}
+_R = QualityRules()
+_WORD = r"[^\x20\x09-\x0D]+"
+ORACLE_SQL = {
+    "op1_quality_rules": rf"""WITH texts AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+words AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_WORD}')) AS word, generate_subscripts(regexp_extract_all(text, '{_WORD}'), 1) AS pos FROM texts),
+windows AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, word, second, third) AS n
+  FROM (SELECT doc_id, pos, word, lead(word) OVER w AS second, lead(word, 2) OVER w AS third FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE third IS NOT NULL),
+repeats AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS place FROM windows WHERE n > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '{_WORD}') GROUP BY doc_id),
+sizes AS (SELECT doc_id, count(*) AS n, sum(length(word))::BIGINT AS chars FROM words GROUP BY doc_id),
+base AS (
+  SELECT t.doc_id, t.lang, coalesce(s.n, 0) AS n_words, coalesce(s.chars, 0) AS word_chars, length(regexp_replace(t.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(s.n, 0) < {_R.min_base_words} OR 100 * coalesce(r.n, 0) > {_R.max_repeat_percent} * coalesce(s.n, 0) AS base_failed
+  FROM texts t LEFT JOIN sizes s USING (doc_id) LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
+folded AS (SELECT doc_id, translate(trim(word, '.,!;:'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM words),
+taught AS (SELECT doc_id, lang FROM base WHERE lang IS NOT NULL AND n_words >= {_R.min_base_words}),
+common AS (
+  SELECT DISTINCT word FROM (
+    SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(DISTINCT doc_id) DESC, word) AS place
+    FROM folded JOIN taught USING (doc_id) WHERE word <> '' AND NOT regexp_matches(word, '[\x00-@\[-`{{-\x7f]') GROUP BY lang, word) WHERE place <= {_R.top_words}),
+bins AS (
+  SELECT doc_id, 'c' AS kind, {BYTE_CLASS.tolist()}[('0x' || code)::INTEGER + 1]::VARCHAR AS bin, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(hex(text), '..')) AS code FROM texts) GROUP BY ALL HAVING bin <> '{DROPPED}'
+  UNION ALL SELECT f.doc_id, 'w', coalesce(c.word, ''), count(*) FROM folded f LEFT JOIN common c ON c.word = f.word GROUP BY ALL),
+shares AS (SELECT doc_id, kind, bin, n / sum(n) OVER (PARTITION BY doc_id, kind) AS p FROM bins),
+langs AS (SELECT lang, count(*) AS n FROM taught GROUP BY lang HAVING count(*) >= {_R.min_reference_docs}),
+refs AS (SELECT lang, kind, bin, sum(p) / any_value(langs.n) AS q FROM shares JOIN taught USING (doc_id) JOIN langs USING (lang) GROUP BY lang, kind, bin),
+alien AS (SELECT unnest({SCRIPTS.tolist()})::VARCHAR AS bin EXCEPT SELECT bin FROM refs WHERE kind = 'c' AND q >= 0.001),
+odd AS (SELECT doc_id, sum(p) AS p FROM shares JOIN alien USING (bin) WHERE kind = 'c' GROUP BY doc_id),
+judged AS (
+  SELECT b.doc_id FROM base b LEFT JOIN odd o USING (doc_id)
+  WHERE NOT b.base_failed AND b.word_chars >= {_R.min_chars} AND (b.lang IS NULL OR b.lang IN (SELECT lang FROM langs)) AND coalesce(o.p, 0) <= {_R.max_foreign}),
+every AS (
+  SELECT j.doc_id, r.lang, r.kind, r.bin, 0.0 AS p, r.q FROM judged j CROSS JOIN refs r
+  UNION ALL SELECT s.doc_id, l.lang, s.kind, s.bin, s.p, 0.0 FROM shares s JOIN judged USING (doc_id) CROSS JOIN langs l),
+met AS (SELECT doc_id, lang, kind, sum(p) AS p, sum(q) AS q FROM every GROUP BY doc_id, lang, kind, bin),
+distances AS (
+  SELECT doc_id, lang, kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d
+  FROM met GROUP BY ALL),
+near AS (
+  SELECT doc_id, lang, dc, dw, greatest(dc / {_R.max_char_distance}, dw / {_R.max_word_distance}, (dc + dw) / {_R.max_sum}) AS excess
+  FROM (SELECT doc_id, lang, max(d) FILTER (WHERE kind = 'c') AS dc, max(d) FILTER (WHERE kind = 'w') AS dw FROM distances GROUP BY ALL)),
+best AS (SELECT doc_id, min(excess) AS excess, arg_min(lang, (excess, lang)) AS lang, arg_min(dc, (excess, lang)) AS dc, arg_min(dw, (excess, lang)) AS dw FROM near GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n.lang AS nearest_lang, round(n.dc, 6) AS char_distance, round(n.dw, 6) AS word_distance,
+  NOT base_failed AND coalesce(n.excess, 0) <= 1 AS kept
+FROM base b LEFT JOIN best n USING (doc_id)""",
+}
