@@ -8,7 +8,7 @@ w = P_e / (2 P_w). The model is frozen after training; score is the log10 probab
 -score / log10(2) / bytes is the code length per byte.
 
 Training counts are of (context, byte) grams and are summed by Spark. Nodes of depth 2 and more are worked out
-in groups of whole pairs of last bytes; depth 1 is a plain aggregate of those, of 256 times 255 nodes at most. Scoring looks up a table of grams: the frequent ones (a share of 1 / 2**heavy_bits or more each, so 2**heavy_bits at most) are
+in groups of whole pairs of last bytes, of 256**3 grams a pair at most, as flat arrays; depth 1 is a plain aggregate of those, of 256 times 255 nodes at most. Scoring looks up a table of grams: the frequent ones (a share of 1 / 2**heavy_bits or more each, so 2**heavy_bits at most) are
 broadcast, all others travel as rows to a join; nothing is left out. Words for the unigram base score go the same way.
 
 Null text counts as empty: a stream of one end. Repeated rows are scored alike, row by row. With no training documents
@@ -22,10 +22,9 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import documents, map_batches, stored, worker_cache
@@ -82,6 +81,11 @@ def gram_bytes(keys: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
+def gram_of(key: str) -> Column:
+    """The number behind the first byte of a key."""
+    return F.conv(F.hex(F.substring(key, 2, 8)), 16, 10).cast("long").alias("gram")
+
+
 def merge(a: tuple, b: tuple) -> tuple:
     """Sums of two (sorted keys, columns of counts)."""
     keys, inverse = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
@@ -211,19 +215,23 @@ def model(tally: DataFrame, rules: ContextTree) -> DataFrame:
     """(key, ctw): log10 probability of each gram's byte in its context, for the grams of tally."""
     depth = rules.depth
 
-    def mix(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["gram"].to_numpy()
-        p, level, logs = weigh(key, pdf["n_train"].to_numpy(), depth, 2)
-        rows = [pd.DataFrame({"gram": key, "node": 0, "n0": 0.0, "n1": 0.0, "log_pw": 0.0, "p": list(p)})]
-        for k in range(8):
-            rows.append(pd.DataFrame({"gram": level.keys[k] >> 8, "node": level.keys[k] & 255, "n0": level.n0[k], "n1": level.n1[k], "log_pw": logs[k], "p": None}))
-        return pd.concat(rows, ignore_index=True)
-
-    gram = F.conv(F.hex(F.substring("key", 2, 8)), 16, 10).cast("long")
-    some = tally.where(F.substring("key", 1, 1) == F.lit(b"g")).select(gram.alias("gram"), "n_train")
+    def mix(table: pa.Table) -> pa.Table:
+        """Rows of grams with their p, then rows of nodes, which have none."""
+        key = table.column("gram").to_numpy()
+        p, level, logs = weigh(key, table.column("n_train").to_numpy(), depth, 2)
+        nodes, none = np.concatenate(level.keys), np.zeros(len(key))
+        ends = np.full(len(key) + len(nodes) + 1, p.size, dtype=np.int32)
+        ends[: len(key)] = np.arange(0, p.size, 8)
+        return pa.table({
+            "gram": np.concatenate([key, nodes >> 8]), "node": np.concatenate([none, nodes & 255]).astype(np.int32),
+            "n0": np.concatenate([none, *level.n0]), "n1": np.concatenate([none, *level.n1]), "log_pw": np.concatenate([none, *logs]),
+            "p": pa.ListArray.from_arrays(ends, p.ravel()),
+        })
+
+    some = tally.where(F.substring("key", 1, 1) == F.lit(b"g")).select(gram_of("key"), "n_train")
     # Pairs of last bytes are dealt to as many groups as keep each near GROUP_GRAMS.
     groups = max(8, some.count() // GROUP_GRAMS)
-    pairs = some.groupBy(F.pmod(F.xxhash64(F.shiftright("gram", 8 * (depth - 1))), F.lit(groups)).alias("of")).applyInPandas(mix, "gram long, node int, n0 double, n1 double, log_pw double, p array<double>")
+    pairs = some.groupBy(F.pmod(F.xxhash64(F.shiftright("gram", 8 * (depth - 1))), F.lit(groups)).alias("of")).applyInArrow(mix, "gram long, node int, n0 double, n1 double, log_pw double, p array<double>")
     pairs = stored(pairs, "ctw-pairs")
 
     # Depth 1: sums over the second last byte, so plain aggregates; 256 * 255 rows at most.
@@ -316,13 +324,12 @@ def context_tree_score(docs: DataFrame, rules: ContextTree = ContextTree()) -> D
     table = stored(table, "ctw-table")
     # Each has a share of 2 ** -bits or more of all, so there are 2 ** bits at most.
     heavy_words = table.where((F.substring("key", 1, 1) == F.lit(b"w")) & (F.col("n_all") * F.lit(1 << rules.heavy_words_bits) >= r.n_all_words)).select("key", "base", "known").toArrow()
-    heavy_grams = table.where((F.substring("key", 1, 1) == F.lit(b"g")) & (F.col("n_all") * F.lit(1 << rules.heavy_grams_bits) >= r.n_all_grams)).select("key", "ctw").toArrow()
-    gram_keys = np.array([int.from_bytes(k.as_py()[1:], "big") for k in heavy_grams.column("key")], dtype=np.int64)
+    heavy_grams = table.where((F.substring("key", 1, 1) == F.lit(b"g")) & (F.col("n_all") * F.lit(1 << rules.heavy_grams_bits) >= r.n_all_grams)).select(gram_of("key"), "ctw").toArrow()
     shipped = spark.sparkContext.broadcast((
         uuid.uuid4().hex,
         [k[1:] for k in heavy_words.column("key").to_pylist()],
         heavy_words.column("base").to_numpy(), heavy_words.column("known").to_numpy(),
-        gram_keys, heavy_grams.column("ctw").to_numpy(),
+        heavy_grams.column("gram").to_numpy(), heavy_grams.column("ctw").to_numpy(),
     ))
 
     def work(chunks):
