@@ -309,12 +309,13 @@ def as_text(spans: Column) -> Column:
 
 
 def pii(docs: DataFrame, rules: PiiRules = PiiRules()) -> DataFrame:
-    """Per row of docs: doc_id, the counts by kind, n_boosted, base_sha256 and spans."""
+    """Per row of docs: doc_id, the counts by kind, n_boosted, n_spans (all together), base_sha256 and spans."""
     df = with_spans(docs.select("doc_id", "text"), rules)
     return df.select(
         "doc_id",
         *[F.size(f"{WORK}_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.size(f"{WORK}_added").cast("long").alias("n_boosted"),
+        F.size(f"{WORK}_spans").cast("long").alias("n_spans"),
         F.sha2(as_text(F.col(f"{WORK}_strict")), 256).alias("base_sha256"),
         as_text(F.col(f"{WORK}_spans")).alias("spans"),
     )
