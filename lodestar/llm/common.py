@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import types
 import uuid
 import zlib
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -31,25 +33,45 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
+    """The folder all executors share. Where the session names none, a local one gets a folder of this machine; a cluster must name one."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir("/tmp/checkpoints")
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not sc._jsc.sc().getCheckpointDir().isEmpty():
+        found = sc._jsc.sc().getCheckpointDir().get()
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not found:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        found = sc._jsc.sc().getCheckpointDir().get()
+    return found.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, so a lost executor
     costs no recomputation, and several readers cost no second run."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestar/{spark.sparkContext.applicationId}"
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Removes all stored tables of this application; results that read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work over docs, whose columns other than doc_id, text and lang have names meanwhile that clash with nothing."""
+    names = {c: c if c in ("doc_id", "text", "lang") else f"_lodestar_own_{i}" for i, c in enumerate(docs.columns)}
+    out = work(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def crc_fold(doc_id, folds: int) -> int:
     """crc32 of the id as text, modulo folds; a null id counts as empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds

@@ -69,8 +69,9 @@ def _with_repeats(docs: DataFrame, line_key, rules: LineDedup) -> DataFrame:
         .agg(F.collect_set("pos").alias(f"{WORK}_named"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias(f"{WORK}_gone"), F.count_if(F.col("pos") == 0).alias(f"{WORK}_copies"))
     )
     # The one shuffle of the texts.
-    on = docs["doc_id"].eqNullSafe(named["d"]) & (F.xxhash64(docs["text"]) == named["t"])
-    marked = docs.join(named.hint("shuffle_hash"), on, "left").drop("d", "t")
+    d, t = f"{WORK}_d", f"{WORK}_t"
+    named = named.withColumnsRenamed({"d": d, "t": t})
+    marked = docs.join(named.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(named[d]) & (F.xxhash64(docs["text"]) == named[t]), "left").drop(d, t)
     return stored(marked.withColumn(f"{WORK}_row", F.monotonically_increasing_id()), "line-marked")
 
 

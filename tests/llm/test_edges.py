@@ -19,7 +19,7 @@ OPERATORS = {
     "op10": pii.pii,
 }
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["row", "key", "kept", "n", "node", "piece", "rank", "part", "length", "spans", "range", "copy", "found", "component", "removed_chunks", "is_first", "label", "held_out", "a", "b"]
+CLASH = ["row", "key", "kept", "n", "node", "piece", "rank", "part", "length", "spans", "range", "copy", "found", "component", "removed_chunks", "is_first", "label", "held_out", "a", "b", "d", "t", "pos", "n_words", "first", "at", "text_length"]
 PROSE = "the cat sat on the mat and then it went to the house of the man who was not there at all\nso it came back and slept on the mat by the fire of the old kitchen until the day was over and done"
 ROWS = [
     (1, PROSE, "en", "s", 1),
@@ -67,7 +67,9 @@ def test_stages_on_odd_rows(spark, odd):
         out = stage(spark, odd, "")
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == columns, name
-        assert out.collect() is not None
+            assert all(r[c] == "clash" for r in out.collect() for c in CLASH), name
+        else:
+            assert {r.doc_id for r in out.collect()} == {r[0] for r in ROWS}
 
 
 def test_stages_on_empty_table(spark):
