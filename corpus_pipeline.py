@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import documents, stored
+from lodestar.llm.common import documents, shielded, stored
 from lodestar.llm.line_dedup import line_dedup
 from lodestar.llm.near_dedup import keep_one
 from lodestar.llm.packing import pack
@@ -28,22 +28,22 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Verdicts travel in the rows they judge, so no join is needed."""
-    return quality_rules(docs, carried=docs.columns).where("kept").select(*docs.columns)
+    return shielded(docs, lambda df: quality_rules(df, carried=df.columns).where("kept"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated runs of lines; documents of which nothing is left go."""
-    return _counted(line_dedup(docs, drop_emptied=True).select(*docs.columns))
+    return _counted(shielded(docs, lambda df: line_dedup(df, drop_emptied=True)))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, 80 percent."""
-    return keep_one(docs).select(*docs.columns)
+    return shielded(docs, keep_one)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced."""
-    return _counted(redact(docs).select(*docs.columns))
+    return _counted(shielded(docs, redact))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
