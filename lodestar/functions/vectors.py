@@ -14,6 +14,10 @@ cloudpickle.register_pickle_by_value(lodestar)
 
 #: Rows of a block; a task holds two blocks and their products.
 BLOCK = 2048
+#: A side of so many rows and numbers (32 MB) at most is broadcast; rows of the other side that are multiplied at a time.
+BROADCAST_ROWS = 20_000
+BROADCAST_VALUES = 4_000_000
+SLICE = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,44 +40,63 @@ def elements(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return df.select(*keys, F.posexplode(vector).alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
 
 
+def matrix(column) -> np.ndarray:
+    """The rows of an Arrow column of equally long lists, as unit vectors (a zero vector stays)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, same: bool = False) -> DataFrame:
-    """(a, b, cosine) of rows (id, vector) of left and right with cosine > threshold; a < b if same.
+    """(a, b, cosine) of rows (id, vector) of left and right with cosine > threshold; a < b if same. Zero vectors match nothing.
 
-    Vectors are dealt at random into blocks and each pair of blocks is one group, multiplied as matrices. Every row is sent to as many
-    groups as the other side has blocks, and a group holds two blocks whatever the sizes of the sides. Zero vectors match nothing.
+    If right has BROADCAST_ROWS rows and BROADCAST_VALUES numbers at most, it is sent to all tasks and left isn't moved at all. Else
+    blocks of both sides meet.
     """
-    schema = "a long, b long, cosine double"
-    n_left, n_right = left.count(), right.count()
-    blocks = [max(1, -(-n // BLOCK)) for n in (n_left, n_right)]
+    head = right.select("id", "vector").limit(BROADCAST_ROWS + 1).toArrow()
+    column = head.column("vector").combine_chunks()
+    if head.num_rows > BROADCAST_ROWS or len(column.flatten()) > BROADCAST_VALUES:
+        return blocked_pairs(left, right, threshold, same)
+    shipped = left.sparkSession.sparkContext.broadcast((head.column("id").to_numpy(), matrix(column)))
+
+    def match(batches):
+        ids, other = shipped.value
+        for batch in batches:
+            own, rows = batch.column("id").to_numpy(), matrix(batch.column("vector"))
+            for lo in range(0, len(own) if len(ids) else 0, SLICE):
+                product = rows[lo : lo + SLICE] @ other.T
+                i, j = np.nonzero(product > threshold)
+                a, b, value = own[lo + i], ids[j], product[i, j]
+                if same:
+                    a, b, value = a[a < b], b[a < b], value[a < b]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(value)], names=["a", "b", "cosine"])
+
+    return left.select("id", "vector").mapInArrow(match, "a long, b long, cosine double")
+
+
+def blocked_pairs(left: DataFrame, right: DataFrame, threshold: float, same: bool = False) -> DataFrame:
+    """similar_pairs of sides of any size: vectors are dealt by hash into blocks and each pair of blocks is one group, multiplied as
+    matrices. Every row is sent to as many groups as the other side has blocks, and a group holds two blocks whatever the sizes of the sides."""
+    blocks = [max(1, -(-left.count() // BLOCK))]
+    blocks.append(blocks[0] if same else max(1, -(-right.count() // BLOCK)))
 
     def sent(df: DataFrame, side: int) -> DataFrame:
         own = F.pmod(F.xxhash64("id"), F.lit(blocks[side])).cast("int")
         others = F.sequence(F.lit(0), F.lit(blocks[1 - side] - 1))
         pair = (lambda o: F.struct(own.alias("x"), o.alias("y"))) if side == 0 else (lambda o: F.struct(o.alias("x"), own.alias("y")))
         out = df.select("id", "vector", F.lit(side).alias("side"), F.explode(F.transform(others, pair)).alias("at")).select("id", "vector", "side", "at.x", "at.y")
-        return out.where("x <= y") if same and side == 0 else out.where("x >= 0")
-
-    if same:
-        both = sent(left, 0).unionByName(sent(right, 1).where("x <= y"))
-    else:
-        both = sent(left, 0).unionByName(sent(right, 1))
+        return out.where("x <= y") if same else out
 
     def multiply(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids = table.column("id").to_numpy()
-        if not (side == 0).any() or not (side == 1).any():
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        vectors = np.array(table.column("vector").to_pylist(), dtype=np.float64)
-        size = np.linalg.norm(vectors, axis=1, keepdims=True)
-        vectors = np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+        side, ids, rows = table.column("side").to_numpy(), table.column("id").to_numpy(), matrix(table.column("vector"))
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        product = vectors[x] @ vectors[y].T
+        product = rows[x] @ rows[y].T
         i, j = np.nonzero(product > threshold)
         a, b, value = ids[x[i]], ids[y[j]], product[i, j]
         if same:
-            block = table.column("x")[0].as_py() == table.column("y")[0].as_py()
-            keep = a < b if block else a != b
+            keep = a < b if table.column("x")[0] == table.column("y")[0] else a != b
             a, b, value = np.minimum(a, b)[keep], np.maximum(a, b)[keep], value[keep]
         return pa.table({"a": a, "b": b, "cosine": value})
 
-    return both.groupBy("x", "y").applyInArrow(multiply, schema)
+    return sent(left, 0).unionByName(sent(right, 1)).groupBy("x", "y").applyInArrow(multiply, "a long, b long, cosine double")

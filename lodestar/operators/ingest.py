@@ -31,7 +31,7 @@ def dedup_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of a crawl (lineitem rows stand for hits: many repeat) that neither items nor the queue have, first hit first."""
     hits = T.read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("m"))
     crawl = hits.select(F.concat(F.lit("https://src"), (F.col("l_partkey") % 20).cast("string"), F.lit(".example.com/d/"), F.col("l_partkey").cast("string")).alias("source_url"), F.col("m.l_orderkey").alias("first_order"))
-    known = T.items(spark, sf_dir).select("source_url").union(T.crawl_queue(spark, sf_dir).select("source_url"))
+    known = T.items(spark, sf_dir, "source_url").union(T.crawl_queue(spark, sf_dir).select("source_url"))
     return crawl.join(known, "source_url", "left_anti")
 
 
@@ -54,10 +54,10 @@ def asset_keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asset_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome of a batch of requests (one per item, wanted status by id): CREATED without asset, NOOP if it has the status,
+    """Outcome of a batch of requests (one for every item, wanted status by id): CREATED without asset, NOOP if it has the status,
     else TRANSITIONED; a created asset writes no history."""
     i = F.col("doc_id")
-    wanted = T.read(spark, sf_dir, "documents").where(i % 3 == 0).select(i.alias("tech_id"), F.when(i % 2 == 0, "Keep").otherwise("Archived").alias("wanted"))
+    wanted = T.read(spark, sf_dir, "documents").select(i.alias("tech_id"), F.when(i % 3 == 0, "Keep").otherwise("Archived").alias("wanted"))
     df = wanted.join(T.assets(spark, sf_dir).select("tech_id", "status"), "tech_id", "left")
     outcome = F.when(F.col("status").isNull(), "CREATED").when(F.col("status") == F.col("wanted"), "NOOP").otherwise("TRANSITIONED")
     return df.select("tech_id", "wanted", F.col("status").alias("old_status"), outcome.alias("outcome"), (outcome == "TRANSITIONED").alias("writes_history"))
@@ -87,13 +87,13 @@ def event_batch_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def favicon_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images for items that have none: the site's favicon; what is there already stays (every tenth item has one)."""
-    df = T.items(spark, sf_dir).select("id", "source_url", F.when(F.col("id") % 10 == 0, F.concat(F.lit("https://img/"), F.col("id").cast("string"))).alias("image_url"))
+    df = T.items(spark, sf_dir, "id", "source_url").select("id", "source_url", F.when(F.col("id") % 10 == 0, F.concat(F.lit("https://img/"), F.col("id").cast("string"))).alias("image_url"))
     return df.select("id", F.coalesce("image_url", urls.favicon(F.col("source_url"))).alias("image_url"))
 
 
 def digest_candidates(spark: SparkSession, sf_dir: str, least: int = 1000) -> DataFrame:
     """Items long enough for a digest."""
-    return T.items(spark, sf_dir).select("id", F.char_length(F.trim("raw_content")).alias("n")).where(F.col("n") >= least)
+    return T.items(spark, sf_dir, "id", "raw_content").select("id", F.char_length(F.trim("raw_content")).alias("n")).where(F.col("n") >= least)
 
 
 def digest_accepted(digest: Column, summary: Column, least: int = 150) -> Column:
@@ -106,7 +106,7 @@ def add_url_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome of adding addresses: rejected with a reason, duplicate, or created (pages, some of them spoilt by id)."""
     i = F.col("page_id")
     raw = T.read(spark, sf_dir, "pages").select(i, F.when(i % 5 == 0, F.lit("")).when(i % 5 == 1, F.concat(F.lit("ftp:"), F.substring_index("url", ":", -1))).when(i % 5 == 2, F.concat("url", F.lit("#new"))).otherwise(F.col("url")).alias("url"))
-    known = T.items(spark, sf_dir).select(F.col("source_url").alias("url"), F.lit(True).alias("known")).distinct()
+    known = T.items(spark, sf_dir, "source_url").select(F.col("source_url").alias("url"), F.lit(True).alias("known")).distinct()
     df = raw.join(known, "url", "left")
     status = urls.url_status(F.col("url"))
     outcome = F.when(status != "ok", "rejected").when(F.col("known"), "duplicate").otherwise("created")
@@ -126,20 +126,22 @@ def resolve_events(spark: SparkSession, sf_dir: str, hops: int = HOPS) -> DataFr
 
 
 def event_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of every event, newest published first."""
-    return T.event_documents(spark, sf_dir).join(T.items(spark, sf_dir).select(F.col("id").alias("tech_id"), "title", "published_s"), "tech_id").select("event_id", "tech_id", "title", "published_s")
+    """Documents of every event, newest published first, those without a date last."""
+    df = T.event_documents(spark, sf_dir).join(T.items(spark, sf_dir, "id", "title", "published_s").withColumnRenamed("id", "tech_id"), "tech_id")
+    return df.orderBy("event_id", F.col("published_s").desc_nulls_last(), "tech_id").select("event_id", "tech_id", "title", "published_s")
 
 
 def entities_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.event_entities(spark, sf_dir).select("event_id", "entity")
+    """Entities of every event by name."""
+    return T.event_entities(spark, sf_dir).orderBy("event_id", "entity").select("event_id", "entity")
 
 
 def events_for_entity(spark: SparkSession, sf_dir: str, name: str = "  Small   GEAR ") -> DataFrame:
-    """Events of an entity, its name normalised first; all entities for an empty name."""
+    """Events of an entity, newest first, its name normalised first; of all entities for an empty name."""
     key = " ".join(name.split()).lower()
     df = T.event_entities(spark, sf_dir)
     df = df.where(F.col("entity") == key) if key else df
-    return df.join(T.tech_events(spark, sf_dir), "event_id").select("entity", "event_id", "occurred_s")
+    return df.join(T.tech_events(spark, sf_dir), "event_id").orderBy(F.desc("occurred_s"), "event_id", "entity").select("entity", "event_id", "occurred_s")
 
 
 def feed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import scores, urls, vectors
-from lodestar.operators.reads import slim_items
+from lodestar.operators.reads import page, slim_items, with_titles
 from lodestar.sources import tables as T
 from lodestar.sources.tables import AS_OF, DAY, WEEK
 
@@ -20,34 +20,40 @@ def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).where(F.col("vector").isNotNull()).join(docs, "id", "left_semi")
 
 
-def search_topk(spark: SparkSession, sf_dir: str, query: list[float] | None = None, k: int = 10, category: str | None = None) -> DataFrame:
-    """The k items nearest to a query vector (default: that of item 0), ties by id. k is kept within 1 and 50."""
+def search_topk(spark: SparkSession, sf_dir: str, query: list[float] | None = None, k: int = 10, category: str | None = None, status: str | None = None) -> DataFrame:
+    """The k items nearest to a query vector (default: that of item 0), ties by id, with the category in any case and, for status 'keep', kept items
+    alone. k is kept within 1 and 50."""
     k = max(1, min(50, k))
     df = embedded(spark, sf_dir)
     if query is None:
-        row = df.where("id = 0").select(F.col("vector").alias("q"))
+        row = df.where("id = 0").agg(F.first("vector").alias("q"))
     else:
         row = spark.range(1).select(F.lit(query).cast("array<double>").alias("q"))
     near = df.crossJoin(F.broadcast(row)).select("id", F.round(1 - vectors.cosine(F.col("vector"), F.col("q")), 6).alias("distance"))  # one row
+    categories = T.items(spark, sf_dir, "id", "category")
     if category:
-        near = near.join(slim_items(spark, sf_dir).where(F.col("category") == category).select("id"), "id", "left_semi")
-    top = near.orderBy("distance", "id").limit(k)
-    return top.join(slim_items(spark, sf_dir).select("id", "title", "category"), "id")
+        near = near.join(categories.where(F.col("category") == category.capitalize()).select("id"), "id", "left_semi")
+    if status == "keep":
+        near = near.join(T.assets(spark, sf_dir).where("status = 'Keep'").select(F.col("tech_id").alias("id")), "id", "left_semi")
+    top = page(near, F.col("distance"), F.col("id"), limit=k)
+    found = with_titles(top, spark, sf_dir).join(categories.where(F.col("id").isin([r.id for r in top.select("id").collect()])), "id")
+    return found.orderBy("place").select("id", "distance", "title", "category")
 
 
-def context_topn(spark: SparkSession, sf_dir: str, anchor: int = 1, n: int = 3, chars: int = 300) -> DataFrame:
-    """The n items nearest to an item, with the start of their texts, if min_items have vectors."""
+def context_topn(spark: SparkSession, sf_dir: str, anchor: int = 1, n: int = 3, chars: int = 300, least_items: int = 50) -> DataFrame:
+    """The n items nearest to an item, with the start of their texts; none before least_items items have vectors."""
     df = embedded(spark, sf_dir)
-    row = df.where(F.col("id") == anchor).select(F.col("vector").alias("q"))
-    top = df.where(F.col("id") != anchor).crossJoin(F.broadcast(row)).select("id", F.round(1 - vectors.cosine(F.col("vector"), F.col("q")), 6).alias("distance")).orderBy("distance", "id").limit(n)  # one row
-    texts = T.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(chars)).alias("context"))
-    return top.join(texts, "id")
+    row = df.agg(F.count("*").alias("n"), F.first(F.when(F.col("id") == anchor, F.col("vector")), ignorenulls=True).alias("q")).where((F.col("n") >= least_items) & F.col("q").isNotNull()).select("q")
+    near = df.where(F.col("id") != anchor).crossJoin(F.broadcast(row)).select("id", F.round(1 - vectors.cosine(F.col("vector"), F.col("q")), 6).alias("distance"))  # one row
+    top = page(near, F.col("distance"), F.col("id"), limit=n)
+    texts = T.read(spark, sf_dir, "documents").where(F.col("doc_id").isin([r.id for r in top.select("id").collect()])).select(F.col("doc_id").alias("id"), F.left("text", F.lit(chars)).alias("context"))
+    return top.join(texts, "id").orderBy("place").select("id", "distance", "context")
 
 
 def detail_similar(spark: SparkSession, sf_dir: str, anchor: int = 5, k: int = 5) -> DataFrame:
     """Nearest other items of an item: least distance by item."""
     df = embedded(spark, sf_dir)
-    row = df.where(F.col("id") == anchor).select(F.col("vector").alias("q"))
+    row = df.where(F.col("id") == anchor).agg(F.first("vector").alias("q"))
     near = df.where(F.col("id") != anchor).crossJoin(F.broadcast(row)).groupBy("id").agg(F.min(F.round(1 - vectors.cosine(F.col("vector"), F.col("q")), 6)).alias("distance"))  # one row
     return near.orderBy("distance", "id").limit(k)
 
@@ -72,7 +78,7 @@ def corroboration_counts(spark: SparkSession, sf_dir: str, threshold: float = NE
 def corroboration_update(spark: SparkSession, sf_dir: str, threshold: float = NEAR) -> DataFrame:
     """Items whose count changes, with the new count; trust is made anew only where there is a rubric."""
     new = corroboration_counts(spark, sf_dir, threshold)
-    old = T.items(spark, sf_dir).drop("raw_content", "embedding")
+    old = T.items(spark, sf_dir, "id", "source_url", *T.RUBRIC, "corroboration_count")
     df = old.join(new, "id").where(F.col("corroboration") != F.coalesce("corroboration_count", F.lit(0)))
     trust = scores.item_trust(urls.domain(F.col("source_url")))
     return df.select("id", F.col("corroboration_count").alias("old_count"), "corroboration", F.col("corroboration").alias("new_count"), *[c for c in old.columns if c not in ("id", "corroboration_count")]).withColumn("corroboration_count", F.col("new_count")).select("id", "old_count", "new_count", F.round(trust, 6).alias("new_trust"))
@@ -107,7 +113,7 @@ def profile_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed_scores(spark: SparkSession, sf_dir: str, topics: tuple[str, ...] = ("the", "licen")) -> DataFrame:
     """Every item's score. The profile term is left out for items with an asset, without vector, or without a profile."""
-    items = T.items(spark, sf_dir).withColumn("trust", scores.item_trust(urls.domain(F.col("source_url"))))
+    items = T.items(spark, sf_dir, "id", "title", "source_url", "eff_s", *T.RUBRIC, "corroboration_count", "embedding").withColumn("trust", scores.item_trust(urls.domain(F.col("source_url"))))
     items = items.join(T.assets(spark, sf_dir).select(F.col("tech_id").alias("id"), "status"), "id", "left")
     profile = profile_vector(spark, sf_dir).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("profile"))  # one vector
     one = profile.crossJoin(profile_confidence(spark, sf_dir))
@@ -128,15 +134,22 @@ def briefing_pool(spark: SparkSession, sf_dir: str, days: int = 7, size: int = 3
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= size).select("id", "category", "source_url", "trust", "eff_s", "place")
 
 
-def briefing_selected(spark: SparkSession, sf_dir: str, limit: int = 10, cap: int = 2) -> DataFrame:
-    """The pool by score, cap items of a source at most. One mean of the kept vectors stands for them (few kept items: one centroid)."""
-    kept = T.assets(spark, sf_dir).where("status = 'Keep'").select(F.col("tech_id").alias("id"))
-    mean = vectors.elements(embedded(spark, sf_dir).join(kept, "id", "left_semi"), [], "vector").groupBy("dim").agg(F.avg("value").alias("value"))
-    centroid = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("c"))  # one vector
-    pool = briefing_pool(spark, sf_dir, size=3 * limit).join(embedded(spark, sf_dir), "id", "left").crossJoin(F.broadcast(centroid))
-    has = F.size("c") > 0
-    keep = F.when(F.col("vector").isNotNull() & has, vectors.cosine(F.col("vector"), F.col("c"))).otherwise(0.0)
-    score = F.round(F.when(has, 0.75).otherwise(1.0) * F.coalesce("trust", F.lit(0.0)) + 0.25 * keep, 6)
+#: Weights of trust, topic and kept items by what there is: (topic, kept items).
+BRIEFING_WEIGHTS = {(True, True): (0.4, 0.35, 0.25), (True, False): (0.65, 0.35, 0.0), (False, True): (0.75, 0.0, 0.25), (False, False): (1.0, 0.0, 0.0)}
+
+
+def briefing_selected(spark: SparkSession, sf_dir: str, limit: int = 10, cap: int = 2, centroids: DataFrame | None = None, topic: list[float] | None = None, jitter: float = 0.0, seed: int = 0) -> DataFrame:
+    """The pool by score, cap items of a source at most. The score weighs trust, likeness to a topic vector and to the nearest of the kept items'
+    centroids (those of keep_centroids if none are given), and adds noise of up to jitter."""
+    centroids = keep_centroids(spark, sf_dir) if centroids is None else centroids
+    one = centroids.agg(F.collect_list("centre").alias("centres"))  # five vectors at most
+    pool = briefing_pool(spark, sf_dir, size=3 * limit).join(embedded(spark, sf_dir), "id", "left").crossJoin(F.broadcast(one))
+    vector, has = F.col("vector"), F.size("centres") > 0
+    keep = F.when(vector.isNotNull() & has, F.array_max(F.transform("centres", lambda c: vectors.cosine(vector, c)))).otherwise(0.0)
+    like = F.when(vector.isNotNull(), vectors.cosine(vector, F.lit(topic).cast("array<double>"))).otherwise(0.0) if topic else F.lit(0.0)
+    weight = [F.when(has, BRIEFING_WEIGHTS[bool(topic), True][k]).otherwise(BRIEFING_WEIGHTS[bool(topic), False][k]) for k in range(3)]
+    noise = jitter * (2 * F.rand(seed) - 1) if jitter else F.lit(0.0)
+    score = F.round(weight[0] * F.coalesce("trust", F.lit(0.0)) + weight[1] * like + weight[2] * keep + noise, 6)
     df = pool.select("id", "category", urls.briefing_source(F.col("source_url")).alias("source"), score.alias("score"))
     by_source = Window.partitionBy("category", "source").orderBy(F.desc("score"), F.desc("id"))
     by_category = Window.partitionBy("category").orderBy(F.desc("score"), F.desc("id"))
@@ -144,6 +157,16 @@ def briefing_selected(spark: SparkSession, sf_dir: str, limit: int = 10, cap: in
     return few.withColumn("place", F.row_number().over(by_category)).where(F.col("place") <= limit).select("id", "category", "source", "score", "place")
 
 
+def briefing_by_category(spark: SparkSession, sf_dir: str, topic_item: int = 3) -> DataFrame:
+    """briefing_selected with the mean of each category's kept vectors for centroids, and an item's vector for the topic."""
+    kept = T.assets(spark, sf_dir).where("status = 'Keep'").select(F.col("tech_id").alias("id"))
+    df = embedded(spark, sf_dir).join(kept, "id", "left_semi").join(T.items(spark, sf_dir, "id", "category").where("category IS NOT NULL"), "id")
+    means = vectors.elements(df, ["category"], "vector").groupBy("category", "dim").agg(F.avg("value").alias("value"))
+    centres = means.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("centre"))  # one vector each
+    topic = embedded(spark, sf_dir).where(F.col("id") == topic_item).first()
+    return briefing_selected(spark, sf_dir, centroids=centres, topic=topic and [float(x) for x in topic.vector])
+
+
 def signal_matches(spark: SparkSession, sf_dir: str, threshold: float = PAIR) -> DataFrame:
     """(asset, item) pairs of kept items and others above a cosine that haven't been announced yet."""
     kept = T.assets(spark, sf_dir).where("status = 'Keep'").select("asset_id", F.col("tech_id").alias("id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestar.functions import scores, urls
 from lodestar.sources import tables as T
@@ -14,9 +15,12 @@ ALERTS = ["succession_alerted", "signal_matched"]
 HERO_S = 48 * 3600
 
 
+SLIM = ["id", "source_url", "category", "created_s", "published_s", "eff_s", "corroboration_count"]
+
+
 def slim_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with what cards show: no text and no vector, so neither goes through a sort."""
-    return T.items(spark, sf_dir).select("id", "title", "source_url", "category", "created_s", "published_s", "eff_s", "corroboration_count", scores.item_trust(urls.domain(F.col("source_url"))).alias("trust"))
+    """Items with what lists sort and filter by. No text is read: titles are looked up for the rows that are left."""
+    return T.items(spark, sf_dir, *SLIM, *T.RUBRIC).select(*SLIM, scores.item_trust(urls.domain(F.col("source_url"))).alias("trust"))
 
 
 def scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,15 +34,36 @@ def with_status(items: DataFrame, assets: DataFrame) -> DataFrame:
     return items.join(assets.select(F.col("tech_id").alias("id"), "status"), "id", "left")
 
 
+def page(df: DataFrame, *order: Column, limit: int) -> DataFrame:
+    """The first limit rows in order as a local table with their place: a page is bounded by its limit, so what is looked up for
+    it can be filtered by its ids at the scan."""
+    rows = df.orderBy(*order).limit(limit).collect()
+    return df.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(rows)], StructType([StructField("place", IntegerType()), *df.schema.fields]))
+
+
+def with_titles(found: DataFrame, spark: SparkSession, sf_dir: str, key: str = "id") -> DataFrame:
+    """A page with titles; the scan of texts is filtered by the page's ids."""
+    ids = [r[0] for r in found.select(key).collect() if r[0] is not None]
+    titles = T.items(spark, sf_dir, "id", "title").where(F.col("id").isin(ids)).withColumnRenamed("id", key)
+    return found.join(titles, key, "left")
+
+
 CARD = ["id", "title", "category", "eff_s", "trust", "feed_score", "status"]
+SORTS = ["recommended", "latest"]
+CATEGORIES = ["Mainstream", "Alpha"]
+
+
+def normalised(sort: str | None, category: str | None) -> tuple[str, str | None]:
+    """What a reader's raw choice stands for: an unknown order is the default one, an unknown category none."""
+    return sort if sort in SORTS else SORTS[0], category if category in CATEGORIES else None
 
 
 def feed(spark: SparkSession, sf_dir: str, sort: str = "recommended", category: str | None = None, cursor: tuple | None = None, limit: int = 20) -> DataFrame:
-    """A page of the feed (limit + 1 rows: one more shows that there is a next page). cursor is that of
+    """A page of the feed (limit + 1 rows: one more shows that there is a next page), in order. cursor is that of
     lodestar.operators.pages; a cursor of the other order is refused."""
-    if sort not in ("recommended", "latest"):
+    if sort not in SORTS:
         raise ValueError(f"unknown sort: {sort}")
-    if category not in (None, "Mainstream", "Alpha"):
+    if category not in (None, *CATEGORIES):
         raise ValueError(f"unknown category: {category}")
     df = scored_items(spark, sf_dir)
     if category:
@@ -50,9 +75,9 @@ def feed(spark: SparkSession, sf_dir: str, sort: str = "recommended", category:
         if cursor[0] != sort:
             raise ValueError("this cursor belongs to another order")
         df = df.where(after(sort, *cursor[1:]))
-    # The page is cut before the join, so that statuses of its rows alone are looked up.
-    page = df.orderBy(*order).limit(limit + 1)
-    return with_status(page, T.assets(spark, sf_dir)).select(*CARD)
+    found = page(df.select("id", "category", "eff_s", "trust", "feed_score"), *order, limit=limit + 1)
+    cards = with_status(with_titles(found, spark, sf_dir), T.assets(spark, sf_dir).where(F.col("tech_id").isin([r.id for r in found.select("id").collect()])))
+    return cards.orderBy("place").select(*CARD)
 
 
 def after(sort: str, *key) -> Column:
@@ -70,13 +95,14 @@ def feed_hero(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest score within 48 hours, else of all: one pass."""
     df = scored_items(spark, sf_dir).where("feed_score IS NOT NULL")
     fresh = (F.col("eff_s") >= AS_OF - HERO_S).cast("int")
-    best = df.agg(F.max(F.struct(fresh.alias("fresh"), "feed_score", "id", "title", "eff_s")).alias("m"))
-    return best.where("m IS NOT NULL").select("m.id", "m.title", "m.feed_score", F.col("m.fresh").cast("boolean").alias("fresh"))
+    best = df.agg(F.max(F.struct(fresh.alias("fresh"), "feed_score", "id", "eff_s")).alias("m")).where("m IS NOT NULL").select("m.*")
+    found = page(best, F.col("id"), limit=1)
+    return with_titles(found, spark, sf_dir).select("id", "title", "feed_score", F.col("fresh").cast("boolean").alias("fresh"))
 
 
 def stats_summary(spark: SparkSession, sf_dir: str, since: int = AS_OF - WEEK) -> DataFrame:
     """One row of counts over the window."""
-    items = T.items(spark, sf_dir).select("id", "category", "created_s").where(F.col("created_s") >= since)
+    items = T.items(spark, sf_dir, "id", "category", "created_s").where(F.col("created_s") >= since)
     joined = items.join(T.assets(spark, sf_dir).select(F.col("tech_id").alias("id"), "status"), "id", "left")
     one = joined.agg(
         F.count("*").alias("total"),
@@ -93,7 +119,7 @@ def stats_summary(spark: SparkSession, sf_dir: str, since: int = AS_OF - WEEK) -
 
 def source_mix(spark: SparkSession, sf_dir: str, since: int = AS_OF - WEEK) -> DataFrame:
     """Items of the window by source label."""
-    df = T.items(spark, sf_dir).where(F.col("created_s") >= since)
+    df = T.items(spark, sf_dir, "source_url", "created_s").where(F.col("created_s") >= since)
     return df.groupBy(urls.source_label(F.col("source_url")).alias("label")).agg(F.count("*").alias("n"))
 
 
@@ -105,47 +131,69 @@ def lineage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def portfolio(spark: SparkSession, sf_dir: str, sort: str = "recency", cursor: tuple | None = None, limit: int = 20) -> DataFrame:
-    """Kept items with alert counts of the week, last activity and lineage; active says whether the week had an alert."""
+    """A page of kept items with alert counts of the week, last activity and lineage; active says whether the week had an alert. cursor:
+    (trust, activity_s, tech_id) of the row before; by recency its trust isn't looked at."""
     alerts = T.history(spark, sf_dir).groupBy("tech_id").agg(
         F.count_if(F.col("changed_to").isin(ALERTS) & (F.col("changed_s") >= AS_OF - WEEK)).alias("alerts_7d"), F.max("changed_s").alias("last_s")
     )
-    df = slim_items(spark, sf_dir).select(F.col("id").alias("tech_id"), "title", "trust").join(T.assets(spark, sf_dir).where("status = 'Keep'"), "tech_id").join(alerts, "tech_id", "left").join(lineage_counts(spark, sf_dir), "tech_id")
-    df = df.select("tech_id", "title", "trust", F.coalesce("alerts_7d", F.lit(0)).alias("alerts_7d"), F.coalesce("last_s", "asset_created_s").alias("activity_s"), "n_lineage")
+    df = slim_items(spark, sf_dir).select(F.col("id").alias("tech_id"), "trust").join(T.assets(spark, sf_dir).where("status = 'Keep'"), "tech_id").join(alerts, "tech_id", "left")
+    df = df.select("tech_id", "trust", F.coalesce("alerts_7d", F.lit(0)).alias("alerts_7d"), F.coalesce("last_s", "asset_created_s").alias("activity_s"))
     order = [F.desc("activity_s"), F.desc("tech_id")] if sort == "recency" else [F.col("trust").desc_nulls_last(), F.desc("activity_s"), F.desc("tech_id")]
     if cursor:
-        at, i = cursor
-        df = df.where((F.col("activity_s") < at) | ((F.col("activity_s") == at) & (F.col("tech_id") < i)))
-    return df.orderBy(*order).limit(limit).withColumn("active", F.col("alerts_7d") > 0)
+        trust, at, i = cursor
+        later = (F.col("activity_s") < at) | ((F.col("activity_s") == at) & (F.col("tech_id") < i))
+        if sort == "recency":
+            df = df.where(later)
+        elif trust is None:
+            df = df.where(F.col("trust").isNull() & later)
+        else:
+            df = df.where(F.col("trust").isNull() | (F.col("trust") < trust) | ((F.col("trust") == trust) & later))
+    found = page(df, *order, limit=limit)
+    lineage = lineage_counts(spark, sf_dir).where(F.col("tech_id").isin([r.tech_id for r in found.select("tech_id").collect()]))
+    out = with_titles(found, spark, sf_dir, "tech_id").join(lineage, "tech_id", "left").withColumn("active", F.col("alerts_7d") > 0)
+    return out.orderBy("place").select("tech_id", "title", "trust", "alerts_7d", "activity_s", "n_lineage", "active")
+
+
+def user_portfolio(spark: SparkSession, sf_dir: str, sort: str = "date", category: str | None = None) -> DataFrame:
+    """All kept items with trust and effective date, newest decision first or by trust."""
+    df = slim_items(spark, sf_dir).join(T.assets(spark, sf_dir).where("status = 'Keep'").select(F.col("tech_id").alias("id"), "asset_created_s"), "id")
+    if category:
+        df = df.where(F.col("category") == category)
+    df = df.join(T.items(spark, sf_dir, "id", "title"), "id")
+    order = [F.desc("asset_created_s"), F.desc("id")]
+    return df.orderBy(*([F.col("trust").desc_nulls_last()] if sort == "trust" else []), *order).select(F.col("id").alias("tech_id"), "title", "trust", "eff_s")
 
 
-def user_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All kept items with trust and effective date."""
-    return slim_items(spark, sf_dir).select(F.col("id").alias("tech_id"), "title", "trust", "eff_s").join(T.assets(spark, sf_dir).where("status = 'Keep'").select("tech_id"), "tech_id")
+def portfolio_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept items by category; what has none, or an unknown one, counts as Mainstream."""
+    df = T.items(spark, sf_dir, "id", "category").join(T.assets(spark, sf_dir).where("status = 'Keep'").select(F.col("tech_id").alias("id")), "id", "left_semi")
+    return df.groupBy(F.when(F.col("category").isin(CATEGORIES), F.col("category")).otherwise("Mainstream").alias("category")).agg(F.count("*").alias("n"))
 
 
 def weekly_report(spark: SparkSession, sf_dir: str, end: int = AS_OF) -> DataFrame:
-    """Per kept item: history rows of [end - 7 d, end) and successions by predecessor."""
+    """Per kept item, by title: history rows of [end - 7 d, end) and successions by predecessor."""
     inside = lambda c: (F.col(c) >= end - WEEK) & (F.col(c) < end)
     signals = T.history(spark, sf_dir).where(inside("changed_s")).groupBy("tech_id").agg(F.count("*").alias("signals"))
     edges = T.succession(spark, sf_dir).where(inside("edge_s")).groupBy(F.col("pred").alias("tech_id")).agg(F.count("*").alias("successions"))
     keep = T.assets(spark, sf_dir).where("status = 'Keep'").select("tech_id")
-    items = slim_items(spark, sf_dir).select(F.col("id").alias("tech_id"), "title")
-    return keep.join(items, "tech_id").join(signals, "tech_id", "left").join(edges, "tech_id", "left").select("tech_id", "title", F.coalesce("signals", F.lit(0)).alias("signals_7d"), F.coalesce("successions", F.lit(0)).alias("successions_7d"))
+    items = T.items(spark, sf_dir, "id", "title").withColumnRenamed("id", "tech_id")
+    out = items.join(keep, "tech_id").join(signals, "tech_id", "left").join(edges, "tech_id", "left")
+    return out.orderBy("title", "tech_id").select("tech_id", "title", F.coalesce("signals", F.lit(0)).alias("signals_7d"), F.coalesce("successions", F.lit(0)).alias("successions_7d"))
 
 
-def _matched(history: DataFrame, items: DataFrame, how: str = "left") -> DataFrame:
-    """history with the title of the item that a signal names; joined on the id as text."""
-    named = items.select(F.col("id").cast("string").alias("changed_from"), F.col("id").alias("matched_id"), F.col("title").alias("matched_title"))
-    signals = history.where("changed_to = 'signal_matched'").join(named, "changed_from", how)
-    others = history.where("changed_to <> 'signal_matched'").withColumns({"matched_id": F.lit(None).cast("long"), "matched_title": F.lit(None).cast("string")})
-    return signals.unionByName(others)
+def _matched(newest: DataFrame, spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    """A page of history, newest first, with the title of the item that a signal names; a signal whose item is gone stays, without title."""
+    cut = page(newest, F.desc("own"), F.desc("changed_s"), F.desc("history_id"), limit=limit)
+    named = cut.withColumn("matched_id", F.when(F.col("changed_to") == "signal_matched", F.col("changed_from").try_cast("long")))
+    named = named.withColumn("matched_id", F.when(F.col("matched_id").cast("string") == F.col("changed_from"), F.col("matched_id")))
+    out = with_titles(named, spark, sf_dir, "matched_id").withColumnRenamed("title", "matched_title")
+    return out.orderBy("place").select("history_id", "tech_id", "changed_s", "changed_from", "changed_to", "matched_title")
 
 
 def activity_ticker(spark: SparkSession, sf_dir: str, limit: int = 12) -> DataFrame:
-    """The newest history rows of kept items; a signal whose item is gone stays, without title."""
+    """The newest history rows of kept items."""
     keep = T.assets(spark, sf_dir).where("status = 'Keep'").select("asset_id")
-    newest = T.history(spark, sf_dir).join(keep, "asset_id", "left_semi").orderBy(F.desc("changed_s"), F.desc("history_id")).limit(limit)
-    return _matched(newest, slim_items(spark, sf_dir)).select("history_id", "tech_id", "changed_s", "changed_from", "changed_to", "matched_title")
+    return _matched(T.history(spark, sf_dir).join(keep, "asset_id", "left_semi").withColumn("own", F.lit(True)), spark, sf_dir, limit)
 
 
 def timeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +202,7 @@ def timeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = T.assets(spark, sf_dir).where("status = 'Keep'").select("asset_id", "tech_id")
     history = T.history(spark, sf_dir).join(keep.select("asset_id"), "asset_id", "left_semi")
     status = history.where(F.col("changed_to").isin(STATUSES)).select("tech_id", F.lit("status").alias("kind"), F.col("changed_s").alias("at_s"), F.col("changed_to").alias("detail"), F.col("history_id").alias("ref"))
-    ids = slim_items(spark, sf_dir).select(F.col("id").cast("string").alias("changed_from"))
+    ids = T.items(spark, sf_dir, "id").select(F.col("id").cast("string").alias("changed_from"))
     signal = history.where("changed_to = 'signal_matched'").join(ids, "changed_from", "left_semi").select("tech_id", F.lit("signal").alias("kind"), F.col("changed_s").alias("at_s"), F.col("changed_from").alias("detail"), F.col("history_id").alias("ref"))
     edges = T.succession(spark, sf_dir).select(F.col("pred").alias("tech_id"), "succ", "relation", "edge_s").join(keep.select("tech_id"), "tech_id", "left_semi")
     born = edges.select("tech_id", F.lit("succession").alias("kind"), F.col("edge_s").alias("at_s"), F.concat_ws(":", "relation", F.col("succ").cast("string")).alias("detail"), F.col("succ").alias("ref"))
@@ -164,10 +212,14 @@ def timeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.unionByName(signal).unionByName(born).unionByName(alert)
 
 
-def timeline_order(df: DataFrame) -> DataFrame:
-    """Newest first; at one time status, signal, succession."""
+def timeline(spark: SparkSession, sf_dir: str, item: int, limit: int | None = None) -> DataFrame:
+    """A kept item's events: what it took over from a passed predecessor first, whenever that was, then newest first; at one time
+    status, signal, succession."""
+    took = inferred_handoff(spark, sf_dir).where(F.col("tech_id") == item).select("tech_id", F.lit("handoff").alias("kind"), F.col("edge_s").alias("at_s"), F.col("pred").cast("string").alias("detail"), F.col("pred").alias("ref"))
+    df = timeline_all(spark, sf_dir).where(F.col("tech_id") == item).unionByName(took)
     rank = F.when(F.col("kind") == "status", 0).when(F.col("kind") == "signal", 1).otherwise(2)
-    return df.orderBy(F.desc("at_s"), rank, F.desc("ref"))
+    out = df.orderBy(F.desc(F.col("kind") == "handoff"), F.desc("at_s"), rank, F.desc("ref"), "detail")
+    return out if limit is None else out.limit(limit)
 
 
 def inferred_handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,18 +241,17 @@ def detail_edges(spark: SparkSession, sf_dir: str, towards: str) -> DataFrame:
     """Neighbours of every item along the edges, with title and status."""
     own, other = ("succ", "pred") if towards == "pred" else ("pred", "succ")
     edges = T.succession(spark, sf_dir).select(F.col(own).alias("item_id"), F.col(other).alias("id"), "relation")
-    return with_status(edges.join(slim_items(spark, sf_dir).select("id", "title"), "id"), T.assets(spark, sf_dir)).select("item_id", F.col("id").alias("other_id"), "title", "relation", "status")
+    return with_status(edges.join(T.items(spark, sf_dir, "id", "title"), "id"), T.assets(spark, sf_dir)).select("item_id", F.col("id").alias("other_id"), "title", "relation", "status")
 
 
 def detail_log(spark: SparkSession, sf_dir: str, viewed: int, alerts: bool, limit: int = 10) -> DataFrame:
     """History (or alerts) of the viewed item and its asset's neighbours by lineage, the viewed item's own first."""
     scope = T.succession(spark, sf_dir).where((F.col("pred") == viewed) | (F.col("succ") == viewed)).select(F.explode(F.array("pred", "succ")).alias("tech_id")).union(spark.range(1).select(F.lit(viewed).cast("long"))).distinct()
     log = T.history(spark, sf_dir).where(F.col("changed_to").isin(ALERTS if alerts else STATUSES)).join(scope, "tech_id", "left_semi")
-    own = F.col("tech_id") == viewed
-    top = log.orderBy(F.desc(own), F.desc("changed_s"), F.desc("history_id")).limit(limit)
+    log = log.withColumn("own", F.col("tech_id") == viewed)
     if alerts:
-        return _matched(top, slim_items(spark, sf_dir)).select("history_id", "tech_id", "changed_s", "changed_from", "changed_to", "matched_title")
-    return top.select("history_id", "tech_id", "changed_s", "changed_from", "changed_to")
+        return _matched(log, spark, sf_dir, limit)
+    return log.orderBy(F.desc("own"), F.desc("changed_s"), F.desc("history_id")).limit(limit).select("history_id", "tech_id", "changed_s", "changed_from", "changed_to")
 
 
 def rolling_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ SAMPLE_PHRASES = ["licensed under", "all rights reserved", "released under"]
 
 
 def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that a phrase in their first 2000 characters rejects."""
-    return T.read(spark, sf_dir, "documents").where(X.preflight_reject(F.col("text"), SAMPLE_PHRASES)).select(F.col("doc_id").alias("id"))
+    """Items that one of the default phrases, or of the samples, in their first 2000 characters rejects."""
+    return T.read(spark, sf_dir, "documents").where(X.preflight_reject(F.col("text"), [*X.REJECTED, *SAMPLE_PHRASES])).select(F.col("doc_id").alias("id"))
 
 
 def exclusion_hits(spark: SparkSession, sf_dir: str, terms: tuple[str, ...] = ("license", "stupid", "password")) -> DataFrame:

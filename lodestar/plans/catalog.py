@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import partial
 
 from lodestar.functions.scores import DOMAIN_SQL, NETLOC_SQL, TRUST_SQL
+from lodestar.functions.text import REJECTED
 from lodestar.operators import ingest, pages, ranking, reads, texts
 from lodestar.plans import scale
 from lodestar.sources import tables as T
@@ -25,16 +26,21 @@ QUERIES = {
     "feed_hero": reads.feed_hero,
     "feed_diverse_page": pages.feed_diverse_page,
     "feed_pinned_page": pages.feed_pinned_page,
-    "feed_new_count": lambda s, d: reads.slim_items(s, d).where(f"eff_s > {AS_OF - DAY}").groupBy().count().withColumnRenamed("count", "n"),
-    "feed_poll_baseline": lambda s, d: reads.slim_items(s, d).orderBy("eff_s", "id", ascending=False).limit(1).select("id", "eff_s"),
+    "feed_new_count": lambda s, d: T.items(s, d, "eff_s").where(f"eff_s > {AS_OF - DAY}").groupBy().count().withColumnRenamed("count", "n"),
+    "feed_poll_baseline": lambda s, d: T.items(s, d, "id", "eff_s").orderBy("eff_s", "id", ascending=False).limit(1).select("id", "eff_s"),
     "portfolio_recency": reads.portfolio,
     "portfolio_trust": partial(reads.portfolio, sort="trust"),
-    "portfolio_page2": partial(reads.portfolio, cursor=(AS_OF - 10 * DAY, 10**9)),
+    "portfolio_page2": partial(reads.portfolio, cursor=(None, AS_OF - 10 * DAY, 10**9)),
+    "portfolio_trust_page2": partial(reads.portfolio, sort="trust", cursor=(0.7, AS_OF - 10 * DAY, 10**9)),
+    "portfolio_trust_nulltail": partial(reads.portfolio, sort="trust", cursor=(None, AS_OF - 10 * DAY, 10**9)),
+    "portfolio_groups": reads.portfolio_groups,
     "user_portfolio": reads.user_portfolio,
+    "user_portfolio_trust": partial(reads.user_portfolio, sort="trust", category="Alpha"),
     "lineage_counts": reads.lineage_counts,
     "weekly_report": reads.weekly_report,
     "activity_ticker": reads.activity_ticker,
     "timeline_all": reads.timeline_all,
+    "timeline_item": partial(reads.timeline, item=20, limit=12),
     "inferred_handoff": reads.inferred_handoff,
     "replace_successors": reads.replace_successors,
     "detail_predecessors": partial(reads.detail_edges, towards="pred"),
@@ -58,7 +64,7 @@ QUERIES = {
     "trending_scores": lambda s, d: reads.slim_items(s, d).select("id", reads.F.round(reads.scores.trending_score(reads.F.col("corroboration_count")), 6).alias("trending")),
     "feed_scores": ranking.feed_scores,
     "briefing_pool": ranking.briefing_pool,
-    "briefing_selected": ranking.briefing_selected,
+    "briefing_selected": ranking.briefing_by_category,
     "keep_centroids": ranking.keep_centroids,
     "dedup_urls": ingest.dedup_urls,
     "queue_batch": ingest.queue_batch,
@@ -115,8 +121,14 @@ profile AS (SELECT dim, k - 0.3::DOUBLE * coalesce(p, 0) AS value FROM keep_mean
 confidence AS (SELECT least(1.0, coalesce(sum(weight), 0)) AS confidence FROM decay JOIN emb USING (id))"""
 _CORR = f"""{VIEWS_SQL}, {_VEC}, win AS (SELECT id, {DOMAIN_SQL} AS domain, vector FROM items JOIN emb USING (id) WHERE created_s >= {AS_OF - WEEK}),
 corr AS (SELECT x.id, count(DISTINCT y.domain) FILTER (WHERE y.domain <> x.domain) AS corroboration FROM win x LEFT JOIN win y ON x.id <> y.id AND {_COS.format('x.vector', 'y.vector')} > {ranking.NEAR} GROUP BY x.id)"""
+_TRUST_BEHIND = f"(activity_s < {AS_OF - 10 * DAY} OR (activity_s = {AS_OF - 10 * DAY} AND tech_id < 1000000000))"
 _POOL = f"""pool AS (SELECT * FROM (SELECT id, category, source_url, trust, eff_s, row_number() OVER (PARTITION BY category ORDER BY trust DESC NULLS LAST, eff_s DESC, id DESC) AS place
   FROM slim WHERE category IS NOT NULL AND eff_s BETWEEN {AS_OF - WEEK} AND {AS_OF}) WHERE place <= 30)"""
+_TIMELINE = f"""{VIEWS_SQL}, kh AS (SELECT h.* FROM history h JOIN assets a USING (asset_id) WHERE a.status = 'Keep'), ke AS (SELECT x.* FROM succession x JOIN assets a ON a.tech_id = x.pred WHERE a.status = 'Keep'), line AS (
+      SELECT tech_id, 'status' AS kind, changed_s AS at_s, changed_to AS detail, history_id AS ref FROM kh WHERE changed_to IN ('Keep', 'Tracking', 'Archived')
+      UNION ALL SELECT tech_id, 'signal', changed_s, changed_from, history_id FROM kh WHERE changed_to = 'signal_matched' AND changed_from IN (SELECT id::VARCHAR FROM items)
+      UNION ALL SELECT pred, 'succession', edge_s, relation || ':' || succ, succ FROM ke
+      UNION ALL SELECT tech_id, 'succession', changed_s, 'alert:' || changed_from, history_id FROM kh WHERE changed_to = 'succession_alerted' AND NOT EXISTS (SELECT 1 FROM ke WHERE ke.pred = kh.tech_id AND ke.succ::VARCHAR = kh.changed_from))"""
 _LOG = "(SELECT 1 UNION SELECT pred FROM succession WHERE pred = 1 OR succ = 1 UNION SELECT succ FROM succession WHERE pred = 1 OR succ = 1)"
 _MATCH = "LEFT JOIN items m ON h.changed_to = 'signal_matched' AND m.id::VARCHAR = h.changed_from"
 
@@ -144,16 +156,20 @@ ORACLE_SQL = {
     "portfolio_recency": f"{_PORT} SELECT * FROM port ORDER BY activity_s DESC, tech_id DESC LIMIT 20",
     "portfolio_trust": f"{_PORT} SELECT * FROM port ORDER BY trust DESC NULLS LAST, activity_s DESC, tech_id DESC LIMIT 20",
     "portfolio_page2": f"{_PORT} SELECT * FROM port WHERE activity_s < {AS_OF - 10 * DAY} OR (activity_s = {AS_OF - 10 * DAY} AND tech_id < 1000000000) ORDER BY activity_s DESC, tech_id DESC LIMIT 20",
+    "portfolio_trust_page2": f"{_PORT} SELECT * FROM port WHERE trust IS NULL OR trust < 0.7::DOUBLE OR (trust = 0.7::DOUBLE AND {_TRUST_BEHIND}) ORDER BY trust DESC NULLS LAST, activity_s DESC, tech_id DESC LIMIT 20",
+    "portfolio_trust_nulltail": f"{_PORT} SELECT * FROM port WHERE trust IS NULL AND {_TRUST_BEHIND} ORDER BY activity_s DESC, tech_id DESC LIMIT 20",
+    "portfolio_groups": f"{VIEWS_SQL} SELECT CASE WHEN i.category IN ('Mainstream', 'Alpha') THEN i.category ELSE 'Mainstream' END AS category, count(*) AS n FROM assets a JOIN items i ON i.id = a.tech_id WHERE a.status = 'Keep' GROUP BY 1",
+    "user_portfolio_trust": f"{_SCORED} SELECT id AS tech_id, title, trust, eff_s FROM scored WHERE status = 'Keep' AND category = 'Alpha'",
     "user_portfolio": f"{_SCORED} SELECT id AS tech_id, title, trust, eff_s FROM scored WHERE status = 'Keep'",
     "lineage_counts": f"{VIEWS_SQL} SELECT tech_id, (SELECT count(*) FROM succession WHERE pred = tech_id OR succ = tech_id) AS n_lineage FROM assets WHERE status = 'Keep'",
     "weekly_report": f"""{VIEWS_SQL} SELECT a.tech_id, i.title, (SELECT count(*) FROM history h WHERE h.tech_id = a.tech_id AND changed_s >= {AS_OF - WEEK} AND changed_s < {AS_OF}) AS signals_7d,
       (SELECT count(*) FROM succession x WHERE x.pred = a.tech_id AND edge_s >= {AS_OF - WEEK} AND edge_s < {AS_OF}) AS successions_7d FROM assets a JOIN items i ON i.id = a.tech_id WHERE a.status = 'Keep'""",
     "activity_ticker": f"{VIEWS_SQL} SELECT h.history_id, h.tech_id, h.changed_s, h.changed_from, h.changed_to, m.title AS matched_title FROM history h JOIN assets a USING (asset_id) {_MATCH} WHERE a.status = 'Keep' ORDER BY changed_s DESC, history_id DESC LIMIT 12",
-    "timeline_all": f"""{VIEWS_SQL}, kh AS (SELECT h.* FROM history h JOIN assets a USING (asset_id) WHERE a.status = 'Keep'), ke AS (SELECT x.* FROM succession x JOIN assets a ON a.tech_id = x.pred WHERE a.status = 'Keep')
-      SELECT tech_id, 'status' AS kind, changed_s AS at_s, changed_to AS detail, history_id AS ref FROM kh WHERE changed_to IN ('Keep', 'Tracking', 'Archived')
-      UNION ALL SELECT tech_id, 'signal', changed_s, changed_from, history_id FROM kh WHERE changed_to = 'signal_matched' AND changed_from IN (SELECT id::VARCHAR FROM items)
-      UNION ALL SELECT pred, 'succession', edge_s, relation || ':' || succ, succ FROM ke
-      UNION ALL SELECT tech_id, 'succession', changed_s, 'alert:' || changed_from, history_id FROM kh WHERE changed_to = 'succession_alerted' AND NOT EXISTS (SELECT 1 FROM ke WHERE ke.pred = kh.tech_id AND ke.succ::VARCHAR = kh.changed_from)""",
+    "timeline_all": f"{_TIMELINE} SELECT * FROM line",
+    "timeline_item": f"""{_TIMELINE}, took AS (SELECT x.succ AS tech_id, arg_min(x.pred, (x.edge_s, x.pred)) AS pred, min(x.edge_s) AS edge_s FROM succession x JOIN assets k ON k.tech_id = x.succ AND k.status = 'Keep'
+      JOIN assets g ON g.tech_id = x.pred AND g.status = 'Archived' WHERE relation = 'Replace' AND pred <> succ AND x.succ = 20 GROUP BY x.succ),
+      every AS (SELECT * FROM line WHERE tech_id = 20 UNION ALL SELECT tech_id, 'handoff', edge_s, pred::VARCHAR, pred FROM took)
+      SELECT * FROM every ORDER BY kind = 'handoff' DESC, at_s DESC, CASE kind WHEN 'status' THEN 0 WHEN 'signal' THEN 1 ELSE 2 END, ref DESC, detail LIMIT 12""",
     "inferred_handoff": f"""{VIEWS_SQL} SELECT x.succ AS tech_id, arg_min(x.pred, (x.edge_s, x.pred)) AS pred, min(x.edge_s) AS edge_s FROM succession x JOIN assets k ON k.tech_id = x.succ AND k.status = 'Keep'
       JOIN assets g ON g.tech_id = x.pred AND g.status = 'Archived' WHERE relation = 'Replace' AND pred <> succ GROUP BY x.succ""",
     "replace_successors": f"{VIEWS_SQL} SELECT a.asset_id, x.pred, arg_min(x.succ, (x.edge_s, x.succ)) AS succ FROM succession x JOIN assets a ON a.tech_id = x.pred WHERE relation = 'Replace' AND pred <> succ GROUP BY 1, 2",
@@ -185,8 +201,11 @@ ORACLE_SQL = {
         + 0.15::DOUBLE * (coalesce(corroboration_count, 0) / (coalesce(corroboration_count, 0) + 1)) + CASE WHEN contains(lower(title), 'the') OR contains(lower(title), 'licen') THEN 0.05::DOUBLE ELSE 0 END, 6) AS score
       FROM items i LEFT JOIN assets a ON a.tech_id = i.id, p, confidence c""",
     "briefing_pool": f"{_SCORED}, {_POOL} SELECT id, category, source_url, trust, eff_s, place FROM pool",
-    "briefing_selected": f"""{_SCORED}, {_POOL}, {_VEC}, c AS (SELECT list(v ORDER BY dim) AS c FROM (SELECT dim, avg(value) AS v FROM (SELECT unnest(vector) AS value, generate_subscripts(vector, 1) AS dim FROM emb WHERE id IN (SELECT tech_id FROM assets WHERE status = 'Keep')) GROUP BY dim)),
-      s AS (SELECT id, category, CASE WHEN {NETLOC_SQL} = '' THEN 'unknown' ELSE {NETLOC_SQL} END AS source, round(0.75::DOUBLE * coalesce(trust, 0) + 0.25::DOUBLE * CASE WHEN vector IS NULL THEN 0 ELSE {_COS.format('vector', 'c.c')} END, 6) AS score FROM pool LEFT JOIN emb USING (id), c),
+    "briefing_selected": f"""{_SCORED}, {_POOL}, {_VEC}, means AS (SELECT category, dim, avg(value) AS v FROM (SELECT i.category, unnest(vector) AS value, generate_subscripts(vector, 1) AS dim FROM emb e JOIN items i ON i.id = e.id WHERE i.category IS NOT NULL AND e.id IN (SELECT tech_id FROM assets WHERE status = 'Keep')) GROUP BY ALL),
+      c AS (SELECT category AS centre, list(v ORDER BY dim) AS c FROM means GROUP BY category), topic AS (SELECT vector AS t FROM emb WHERE id = 3),
+      near AS (SELECT e.id, max({_COS.format('e.vector', 'c.c')}) AS keep FROM emb e, c GROUP BY e.id),
+      s AS (SELECT id, category, CASE WHEN {NETLOC_SQL} = '' THEN 'unknown' ELSE {NETLOC_SQL} END AS source, round(0.4::DOUBLE * coalesce(trust, 0) + 0.35::DOUBLE * CASE WHEN vector IS NULL THEN 0 ELSE {_COS.format('vector', 'topic.t')} END + 0.25::DOUBLE * coalesce(near.keep, 0), 6) AS score
+        FROM pool LEFT JOIN emb USING (id) LEFT JOIN near USING (id), topic),
       k AS (SELECT *, row_number() OVER (PARTITION BY category, source ORDER BY score DESC, id DESC) AS k FROM s)
       SELECT id, category, source, score, place FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, id DESC) AS place FROM k WHERE k <= 2) WHERE place <= 10""",
     "dedup_urls": f"""{VIEWS_SQL} SELECT * FROM (SELECT 'https://src' || l_partkey % 20 || '.example.com/d/' || l_partkey AS source_url, min(l_orderkey) AS first_order FROM lineitem GROUP BY l_partkey)
@@ -194,7 +213,7 @@ ORACLE_SQL = {
     "queue_batch": f"{VIEWS_SQL} SELECT queue_id, source_url, published_s, queued_s FROM crawl_queue ORDER BY published_s DESC NULLS LAST, queued_s, queue_id LIMIT 150",
     "queue_retained": f"{VIEWS_SQL} SELECT queue_id, queue_id % 3 <> 0 AS valid, queue_id % 2 = 0 AS saved, queue_id % 11 = 0 AS triage_error FROM crawl_queue WHERE (queue_id % 3 <> 0 AND queue_id % 2 <> 0) OR queue_id % 11 = 0",
     "asset_keep_latest": f"{VIEWS_SQL} SELECT asset_id, history_id, changed_to FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY changed_s DESC, history_id DESC) AS n FROM history) WHERE n = 1",
-    "asset_transitions": f"""{VIEWS_SQL}, w AS (SELECT doc_id AS tech_id, CASE WHEN doc_id % 2 = 0 THEN 'Keep' ELSE 'Archived' END AS wanted FROM documents WHERE doc_id % 3 = 0)
+    "asset_transitions": f"""{VIEWS_SQL}, w AS (SELECT doc_id AS tech_id, CASE WHEN doc_id % 3 = 0 THEN 'Keep' ELSE 'Archived' END AS wanted FROM documents)
       SELECT w.tech_id, wanted, status AS old_status, CASE WHEN status IS NULL THEN 'CREATED' WHEN status = wanted THEN 'NOOP' ELSE 'TRANSITIONED' END AS outcome, coalesce(status <> wanted, false) AS writes_history FROM w LEFT JOIN assets USING (tech_id)""",
     "handoff_outcomes": f"""{VIEWS_SQL}, o AS (SELECT pred, succ, CASE WHEN p.status IS NULL THEN 'CREATED' WHEN p.status = 'Archived' THEN 'NOOP' ELSE 'TRANSITIONED' END AS archived,
       CASE WHEN s.status IS NULL THEN 'CREATED' WHEN s.status = 'Keep' THEN 'NOOP' ELSE 'TRANSITIONED' END AS kept FROM succession LEFT JOIN assets p ON p.tech_id = pred LEFT JOIN assets s ON s.tech_id = succ WHERE relation = 'Replace')
@@ -212,7 +231,7 @@ ORACLE_SQL = {
     "event_entities": f"{VIEWS_SQL} SELECT event_id, entity FROM event_entities",
     "events_for_entity": f"{VIEWS_SQL} SELECT entity, event_id, occurred_s FROM event_entities JOIN tech_events USING (event_id)",
     "feed_event_counts": f"{VIEWS_SQL} SELECT kind, count(*) AS n, count(*) FILTER (WHERE tech_id NOT IN (SELECT doc_id FROM documents)) AS dangling, round(avg(value), 4) AS mean_value FROM feed_events GROUP BY kind",
-    "preflight_reject": "SELECT doc_id AS id FROM documents WHERE regexp_matches(left(text, 2000), '\\b(licensed under|all rights reserved|released under)\\b', 'i')",
+    "preflight_reject": "SELECT doc_id AS id FROM documents WHERE regexp_matches(left(text, 2000), '\\b(?:" + "|".join([*REJECTED, *texts.SAMPLE_PHRASES]).replace("'", "''") + ")\\b', 'i')",
     "exclusion_hits": "SELECT * FROM (SELECT doc_id AS id, array_to_string(list_filter(['license', 'stupid', 'password'], lambda t: contains(lower(text), t)), ',') AS hits FROM documents) WHERE hits <> ''",
     "interest_hits": f"{VIEWS_SQL} SELECT id FROM items WHERE contains(lower(title), 'the') OR contains(lower(title), 'licen')",
     "title_from_content": f"{VIEWS_SQL} SELECT id, title FROM items",

@@ -28,35 +28,52 @@ def _since(seed: int, column: Column) -> Column:
     return F.lit(AS_OF) - (column * seed) % 43200 * 60
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tech items: documents with page address, embedding and a trust rubric where there is a label."""
-    d = read(spark, sf_dir, "documents")
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
-    lab = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+RUBRIC = ["has_rubric", "primary_source", "has_links", "has_numbers", "balance", "marketing"]
+ITEM = ["id", "title", "source_url", "raw_content", "source", "lang", "n_chars", "category", "created_s", "published_s", "eff_s", *RUBRIC, "corroboration_count", "embedding"]
+
+
+def own_url(i: Column) -> Column:
+    """Addresses at the known sources for some ids, null for the others."""
+    n = i.cast("string")
+    return (
+        F.when(i % 23 == 0, F.concat(F.lit("https://github.com/own"), n, F.lit("/repo"), n))
+        .when(i % 29 == 0, F.concat(F.lit("https://news.ycombinator.com/item?id="), n))
+        .when(i % 31 == 0, F.concat(F.lit("https://www.arxiv.org/abs/2401."), F.lpad(n, 5, "0")))
+    )
+
+
+def items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """tech items: documents with page address, embedding and a trust rubric where there is a label. Only the tables that the columns
+    asked for (all of ITEM if none) come from are joined, and only their columns are read."""
+    wanted = set(columns or ITEM)
+    df = read(spark, sf_dir, "documents")
+    if "embedding" in wanted:
+        df = df.join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    if "source_url" in wanted:
+        df = df.join(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url"), "doc_id", "left")
+    if wanted & set(RUBRIC):
+        df = df.join(read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
     i = F.col("doc_id")
     created = _since(7919, i)
-    df = d.join(e, "doc_id", "left").join(p, "doc_id", "left").join(lab, "doc_id", "left")
     has = F.col("quality").isNotNull()
-    return df.select(
-        i.alias("id"),
-        first_line(F.col("text")).alias("title"),
-        F.coalesce("url", F.concat(F.lit("https://"), "source", F.lit(".example.com/d/"), i.cast("string"))).alias("source_url"),
-        F.col("text").alias("raw_content"),
-        "source", "lang", "n_chars",
-        F.when(i % 7 == 6, None).when(i % 2 == 0, "Mainstream").otherwise("Alpha").alias("category"),
-        created.alias("created_s"),
-        F.when(i % 5 != 0, created - i % 72 * 3600).alias("published_s"),
-        F.when(i % 5 != 0, created - i % 72 * 3600).otherwise(created).alias("eff_s"),
-        has.alias("has_rubric"),
-        (has & (F.col("quality") == 1)).alias("primary_source"),
-        (has & (i % 3 == 0)).alias("has_links"),
-        (has & (F.col("n_chars") % 2 == 0)).alias("has_numbers"),
-        F.when(has, F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (i % 3 + 1).cast("int"))).alias("balance"),
-        F.when(has, F.when(F.col("toxic") == 1, "high").when(i % 2 == 0, "low").otherwise("medium")).alias("marketing"),
-        F.when(i % 4 != 0, i % 3).alias("corroboration_count"),
-        "embedding",
-    )
+    made = {
+        "id": i,
+        "title": first_line(F.col("text")),
+        "source_url": F.coalesce(own_url(i), "url", F.concat(F.lit("https://"), "source", F.lit(".example.com/d/"), i.cast("string"))),
+        "raw_content": F.col("text"),
+        "category": F.when(i % 7 == 6, None).when(i % 2 == 0, "Mainstream").otherwise("Alpha"),
+        "created_s": created,
+        "published_s": F.when(i % 5 != 0, created - i % 72 * 3600),
+        "eff_s": F.when(i % 5 != 0, created - i % 72 * 3600).otherwise(created),
+        "has_rubric": has,
+        "primary_source": has & (F.col("quality") == 1),
+        "has_links": has & (i % 3 == 0),
+        "has_numbers": has & (F.col("n_chars") % 2 == 0),
+        "balance": F.when(has, F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (i % 3 + 1).cast("int"))),
+        "marketing": F.when(has, F.when(F.col("toxic") == 1, "high").when(i % 2 == 0, "low").otherwise("medium")),
+        "corroboration_count": F.when(i % 4 != 0, i % 3),
+    }
+    return df.select(*[made.get(c, F.col(c)).alias(c) for c in columns or ITEM])
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +104,11 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def succession(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineage edges between existing items, some of them loops."""
+    """Lineage edges between existing items, some of them loops, some from a passed item to a kept one."""
     ids = read(spark, sf_dir, "documents").select("doc_id")
     i = F.col("doc_id")
     edges = ids.where(i % 6 < 3).select(
-        i.alias("pred"), F.when(i % 97 == 0, i).otherwise(i + 1 + i % 3).alias("succ"),
+        i.alias("pred"), F.when(i % 97 == 0, i).when(i % 30 == 12, i + 8).otherwise(i + 1 + i % 3).alias("succ"),
         F.element_at(F.array(F.lit("Replace"), F.lit("Enhance"), F.lit("Fork")), (i % 3 + 1).cast("int")).alias("relation"),
         _since(15485863, i).alias("edge_s"),
     )
@@ -145,7 +162,8 @@ def event_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 VIEWS_SQL = f"""WITH items AS (
   SELECT d.doc_id AS id,
     coalesce(left(trim(list_filter(string_split(d.text, chr(10)), lambda x: trim(x) <> '')[1]), 500), 'Untitled') AS title,
-    coalesce(p.url, 'https://' || d.source || '.example.com/d/' || d.doc_id) AS source_url,
+    coalesce(CASE WHEN d.doc_id % 23 = 0 THEN 'https://github.com/own' || d.doc_id || '/repo' || d.doc_id WHEN d.doc_id % 29 = 0 THEN 'https://news.ycombinator.com/item?id=' || d.doc_id
+      WHEN d.doc_id % 31 = 0 THEN 'https://www.arxiv.org/abs/2401.' || lpad(d.doc_id::VARCHAR, 5, '0') END, p.url, 'https://' || d.source || '.example.com/d/' || d.doc_id) AS source_url,
     d.text AS raw_content, d.source, d.lang, d.n_chars,
     CASE WHEN d.doc_id % 7 = 6 THEN NULL WHEN d.doc_id % 2 = 0 THEN 'Mainstream' ELSE 'Alpha' END AS category,
     {AS_OF} - (d.doc_id * 7919) % 43200 * 60 AS created_s,
@@ -172,7 +190,7 @@ history AS (
     CASE e.event_type WHEN 'click' THEN 'Keep' WHEN 'view' THEN 'Tracking' WHEN 'error' THEN 'Archived' WHEN 'purchase' THEN 'signal_matched' ELSE 'succession_alerted' END AS changed_to
   FROM events e JOIN assets a ON a.tech_id = e.user_id % 20 * 10 + e.event_id % 4),
 succession AS (
-  SELECT * FROM (SELECT doc_id AS pred, CASE WHEN doc_id % 97 = 0 THEN doc_id ELSE doc_id + 1 + doc_id % 3 END AS succ,
+  SELECT * FROM (SELECT doc_id AS pred, CASE WHEN doc_id % 97 = 0 THEN doc_id WHEN doc_id % 30 = 12 THEN doc_id + 8 ELSE doc_id + 1 + doc_id % 3 END AS succ,
     ['Replace', 'Enhance', 'Fork'][doc_id % 3 + 1] AS relation, {AS_OF} - (doc_id * 15485863) % 43200 * 60 AS edge_s
   FROM documents WHERE doc_id % 6 < 3) WHERE succ IN (SELECT doc_id FROM documents)),
 feed_events AS (
