@@ -244,22 +244,74 @@ def simhash_text(text: str) -> str:
     return " ".join(kept.split()) or " ".join(folded.split())
 
 
-def simhash(text: str | None, size: int = 4) -> int:
-    """64-bit SimHash over character grams, as a signed number; 0 for empty text."""
-    folded = simhash_text(text or "")
-    if not folded:
-        return 0
-    grams = [folded] if len(folded) <= size else [folded[i : i + size] for i in range(len(folded) - size + 1)]
-    values, counts = np.unique(np.array(grams, dtype=object), return_counts=True)
-    hashes = np.frombuffer(b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in values), dtype=">u8").astype(np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    votes = (2 * bits.astype(np.int64) - 1).T @ counts
-    return int(np.packbits((votes > 0).astype(np.uint8), bitorder="little").view(np.int64)[0])
+def simhashes(texts: list[str | None], size: int = 4) -> np.ndarray:
+    """64-bit SimHashes over character grams, as signed numbers; 0 for empty text. Each distinct gram of all texts is hashed once; a text
+    shorter than a gram is one."""
+    folded = [simhash_text(t) if t else "" for t in texts]
+    out = np.zeros(len(folded), dtype=np.int64)
+    long = [k for k, t in enumerate(folded) if len(t) >= size]
+    for lo, hi in _slices([len(folded[k]) for k in long]):
+        some = long[lo:hi]
+        codes = np.frombuffer("".join(folded[k] for k in some).encode("utf-32-le"), dtype=np.uint32)
+        letters, ids = np.unique(codes, return_inverse=True)
+        ends = np.cumsum([len(folded[k]) for k in some])
+        starts = np.concatenate([[0], ends[:-1]])
+        keys = np.zeros(len(codes) - size + 1, dtype=np.uint64)
+        width = max(1, int(len(letters) - 1).bit_length())
+        if width * size > 64:
+            # More letters than a number has room for: gram by gram.
+            for k in some:
+                grams = [folded[k][i : i + size] for i in range(len(folded[k]) - size + 1)]
+                out[k] = _numbers(_bits(grams).sum(axis=1)[None, :])[0]
+            continue
+        for j in range(size):
+            keys = (keys << np.uint64(width)) | ids[j : j + len(keys)].astype(np.uint64)
+        # A gram may not reach into the next text.
+        inside = np.ones(len(keys), dtype=bool)
+        for j in range(1, size):
+            inside[ends[:-1] - j] = False
+        distinct, of = np.unique(keys[inside], return_inverse=True)
+        mask = np.uint64((1 << width) - 1)
+        places = np.stack([(distinct >> np.uint64(width * (size - 1 - j))) & mask for j in range(size)], axis=1).astype(np.int64)
+        grams = letters[places].astype("<u4").tobytes().decode("utf-32-le")
+        votes = _bits([grams[i : i + size] for i in range(0, len(grams), size)])
+        first = np.concatenate([[0], np.cumsum(ends - starts - size + 1)[:-1]])
+        out[some] = _numbers(np.stack([np.add.reduceat(votes[b][of], first) for b in range(64)], axis=1))
+    short = [k for k, t in enumerate(folded) if 0 < len(t) < size]
+    if short:
+        out[short] = _numbers(_bits([folded[k] for k in short]).T)
+    return out
+
+
+#: Characters that are hashed at a time.
+SIMHASH_CHARS = 1 << 20
+
+
+def _slices(lengths: list[int]):
+    """(first, behind last) of runs of about SIMHASH_CHARS characters."""
+    cut = np.cumsum(lengths) // SIMHASH_CHARS
+    starts = np.flatnonzero(np.diff(cut, prepend=-1))
+    yield from zip(starts, [*starts[1:], len(lengths)])
+
+
+def _bits(grams: list[str]) -> np.ndarray:
+    """Votes (1 or -1) of each gram's hash, by bit from the lowest."""
+    hashes = np.frombuffer(b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams), dtype=">u8").astype("<u8")
+    return 2 * np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T.astype(np.int32) - 1
+
+
+def _numbers(votes: np.ndarray) -> np.ndarray:
+    """Rows of 64 votes as numbers; a tie is no vote."""
+    return np.packbits((votes > 0).astype(np.uint8), axis=1, bitorder="little").view(np.int64)[:, 0]
+
+
+def simhash(text: str | None) -> int:
+    return int(simhashes([text])[0])
 
 
 @F.pandas_udf(LongType())
 def simhash64(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: simhash(t))
+    return pd.Series(simhashes(texts.tolist()))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from lodestar.functions import text as X
 from lodestar.functions import urls
 from lodestar.functions.text import canonical
 from lodestar.sources import tables as T
+from lodestar.sources.shared import spread, stored
 
 #: Phrases that occur in the driver's texts.
 SAMPLE_PHRASES = ["licensed under", "all rights reserved", "released under"]
@@ -62,7 +63,7 @@ def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and main text of every page."""
-    return T.read(spark, sf_dir, "pages").select("page_id", X.read_page("html", "url").alias("p")).select("page_id", "p.*")
+    return spread(T.read(spark, sf_dir, "pages")).select("page_id", X.read_page("html", "url").alias("p")).select("page_id", "p.*")
 
 
 def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,16 +71,16 @@ def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.read(spark, sf_dir, "documents").select("doc_id", X.simhash64("text").alias("simhash"))
+    return spread(T.read(spark, sf_dir, "documents")).select("doc_id", X.simhash64("text").alias("simhash"))
 
 
 def simhash_groups(spark: SparkSession, sf_dir: str, distance: int = 3) -> DataFrame:
     """Pairs a < b of distinct hashes within distance, each with its smallest document and number of documents.
 
-    Equal hashes are one row first, so copies aren't paired. By the pigeonhole principle two hashes within distance agree in one of distance + 1
+    Hashes are made once and stored. Equal hashes are one row first, so copies aren't paired. By the pigeonhole principle two hashes within distance agree in one of distance + 1
     bands, so an equi-join on (band, bits) loses nothing.
     """
-    hashes = simhash_docs(spark, sf_dir).groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    hashes = stored(simhash_docs(spark, sf_dir).groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "simhashes")
     bands = distance + 1
     width = 64 // bands
     cut = [F.shiftrightunsigned("simhash", k * width).bitwiseAND(F.lit((1 << (width if k < bands - 1 else 64 - k * width)) - 1 if k < bands - 1 else -1 if k == 0 else (1 << (64 - k * width)) - 1)) for k in range(bands)]
@@ -148,7 +149,7 @@ def entity_names(spark: SparkSession, sf_dir: str, ratio: float = 0.5, least_bat
             yield type(pdf)(rows, columns=["doc_id", "ordinal", "name", "surface", "many", "first"])
 
     docs = T.read(spark, sf_dir, "documents")
-    found = docs.select("doc_id", "text").mapInPandas(find, "doc_id long, ordinal int, name string, surface string, many boolean, first boolean").where("name <> ''")
+    found = spread(docs).select("doc_id", "text").mapInPandas(find, "doc_id long, ordinal int, name string, surface string, many boolean, first boolean").where("name <> ''")
     per_doc = found.groupBy("doc_id", "name").agg(F.min_by("surface", "ordinal").alias("surface"), F.bool_or(F.col("many") | ~F.col("first")).alias("evident"))
     n = docs.agg(F.count("*").alias("all"))
     by_name = per_doc.groupBy("name").agg(F.count("*").alias("docs"), F.bool_or("evident").alias("evident"))

@@ -173,3 +173,46 @@ def test_log(spark):
 def test_truncate(spark):
     df = spark.createDataFrame([("aé", 2), ("aé", 3), (None, 1)], "t string, n int")
     assert [r.x for r in df.select(X.truncate_utf8("t", "n").alias("x")).collect()] == ["a", "aé", None]
+
+
+def test_simhash_of_many():
+    """Hashes of a batch against one gram at a time, with short, empty and odd texts, and more letters than fit into a number."""
+    import hashlib
+
+    import numpy as np
+
+    def slow(text):
+        folded = X.simhash_text(text or "")
+        grams = [folded[i : i + 4] for i in range(max(1, len(folded) - 3))] if folded else []
+        hashes = [int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") for g in grams]
+        n = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        return n - (1 << 64) if n >> 63 else n
+
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(list("abc déf 日本😀.+#_"), int(n))) for n in rng.integers(0, 200, 150)]
+    texts += [None, "", "a", "abcd", "abcde", " " * 9, "x y " * 5000, "".join(map(chr, [c for c in range(0x4E00, 0x4E00 + 80_000) if not 0xD800 <= c < 0xE000]))]
+    assert X.simhashes(texts).tolist() == [slow(t) for t in texts]
+
+
+def test_near_duplicate_pairs(spark, sf):
+    """Pairs by bands against all pairs of hashes."""
+    from lodestar.operators import texts
+
+    hashes = {}
+    for r in sorted(texts.simhash_docs(spark, sf).collect()):
+        hashes.setdefault(r.simhash, []).append(r.doc_id)
+    firsts = [(ids[0], h, len(ids)) for h, ids in hashes.items()]
+    far = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    want = {(a, b, far(x, y), n, m) for a, x, n in firsts for b, y, m in firsts if a < b and far(x, y) <= 3}
+    assert want and {tuple(r) for r in texts.simhash_groups(spark, sf).collect()} == want
+
+
+def test_spread(spark, tmp_path):
+    """A small table of one file is dealt over the cores, one of many files stays as it is."""
+    from lodestar.sources import shared
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(9).write.parquet(str(tmp_path / "many"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan(shared.spread(spark.read.parquet(str(tmp_path / "one")))) and shared.spread(spark.read.parquet(str(tmp_path / "one"))).count() == 1000
+    assert "Repartition" not in plan(shared.spread(spark.read.parquet(str(tmp_path / "many"))))
