@@ -53,7 +53,7 @@ def score_rubric(primary: Column, links: Column, numbers: Column, balance: Colum
     """Points for each of five answers; unknown words give none; between 0 and 1."""
     points = (
         F.when(primary, 0.25).otherwise(0.0) + F.when(links, 0.20).otherwise(0.0) + F.when(numbers, 0.20).otherwise(0.0)
-        + F.when(balance == "high", 0.20).when(balance == "medium", 0.10).otherwise(0.0)
+        + F.when(balance == "balanced", 0.20).when(balance == "mixed", 0.10).otherwise(0.0)
         + F.when(marketing == "low", 0.15).when(marketing == "medium", 0.07).otherwise(0.0)
     )
     return F.least(F.greatest(points, F.lit(0.0)), F.lit(1.0))
@@ -89,5 +89,5 @@ NETLOC_SQL = "regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)',
 DOMAIN_SQL = f"regexp_replace(lower({NETLOC_SQL}), '^www\\.', '')"
 PRIOR_SQL = f"CASE WHEN {DOMAIN_SQL} IN ({', '.join(repr(d) for d in SETTINGS.source_tiers)}) THEN 1.0 ELSE 0.5 END"
 RUBRIC_SQL = """(CASE WHEN primary_source THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN has_links THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN has_numbers THEN 0.2::DOUBLE ELSE 0 END
-  + CASE balance WHEN 'high' THEN 0.2::DOUBLE WHEN 'medium' THEN 0.1::DOUBLE ELSE 0 END + CASE marketing WHEN 'low' THEN 0.15::DOUBLE WHEN 'medium' THEN 0.07::DOUBLE ELSE 0 END)"""
+  + CASE balance WHEN 'balanced' THEN 0.2::DOUBLE WHEN 'mixed' THEN 0.1::DOUBLE ELSE 0 END + CASE marketing WHEN 'low' THEN 0.15::DOUBLE WHEN 'medium' THEN 0.07::DOUBLE ELSE 0 END)"""
 TRUST_SQL = f"CASE WHEN has_rubric THEN least(1.0, 0.6::DOUBLE * {RUBRIC_SQL} + 0.2::DOUBLE * ({PRIOR_SQL}) + 0.2::DOUBLE * least(coalesce(corroboration_count, 0), 3) / 3) END"

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import html
+import ipaddress
 import re
 import unicodedata
 from html.parser import HTMLParser
+from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 import lodestar
 
@@ -52,22 +55,69 @@ def json_slice(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
-def duration_label(seconds: Column) -> Column:
-    """How long ago, in the largest whole unit."""
-    unit = lambda size, name: F.concat(F.floor(seconds / size).cast("string"), F.lit(name))
-    return F.when(seconds < 60, "just now").when(seconds < 3600, unit(60, "m")).when(seconds < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def run_duration(seconds: Column) -> Column:
+    """Minutes and seconds, or seconds alone below a minute."""
+    whole = F.floor(seconds).cast("long")
+    minutes, rest = F.floor(whole / 60).cast("string"), (whole % 60).cast("string")
+    return F.when(whole >= 60, F.concat(minutes, F.lit("m "), rest, F.lit("s"))).otherwise(F.concat(rest, F.lit("s")))
+
+
+# The words of age labels.
+JUST_NOW, MINUTES, HOURS, DAYS, MONTHS, YEARS, NO_DATE = "방금", "분 전", "시간 전", "일 전", "개월 전", "년 전", "—"
+
+
+def ticker_age(at_s: Column, now_s: Column) -> Column:
+    """How long ago in the largest whole unit up to days; the date from a week on; times to come are just now."""
+    age = now_s - at_s
+    unit = lambda size, name: F.concat(F.floor(age / size).cast("string"), F.lit(name))
+    date = F.date_format(F.timestamp_seconds(at_s), "yyyy-MM-dd")
+    return F.when(at_s.isNull(), "").when(age < 60, JUST_NOW).when(age < 3600, unit(60, MINUTES)).when(age < 86400, unit(3600, HOURS)).when(age < 604800, unit(86400, DAYS)).otherwise(date)
+
+
+def summary_age(at_s: Column, now_s: Column) -> Column:
+    """How long ago in the largest whole unit up to years, of 30 days a month and 12 months a year."""
+    age = now_s - at_s
+    days = F.floor(age / 86400)
+    unit = lambda n, name: F.concat(F.floor(n).cast("string"), F.lit(name))
+    return (
+        F.when(at_s.isNull(), NO_DATE).when(age < 60, JUST_NOW + " 전").when(age < 3600, unit(age / 60, MINUTES)).when(age < 86400, unit(age / 3600, HOURS))
+        .when(days < 30, unit(days, DAYS)).when(days < 360, unit(days / 30, MONTHS)).otherwise(unit(F.floor(days / 30) / 12, YEARS))
+    )
 
 
 def clock_time(text: Column) -> Column:
     """HH:MM with leading zeros, null for what isn't a time."""
     h, m = F.regexp_extract(text, r"^\s*(\d{1,2}):(\d{2})\s*$", 1), F.regexp_extract(text, r"^\s*(\d{1,2}):(\d{2})\s*$", 2)
-    fits = (F.expr("try_cast('0' AS INT)") == 0) & (h != "") & (h.try_cast("int") < 24) & (m.try_cast("int") < 60)
-    return F.when(fits, F.concat(F.lpad(h, 2, "0"), F.lit(":"), m))
+    return F.when((h.try_cast("int") < 24) & (m.try_cast("int") < 60), F.concat(F.lpad(h, 2, "0"), F.lit(":"), m))
+
+
+def normal_terms(terms: Column, most: int = 10, longest: int = 64) -> Column:
+    """The first most terms of an array, without control characters and quotes, cut, each once in any case."""
+    clean = F.transform(terms, lambda t: F.substring(F.trim(F.regexp_replace(t, "[\\p{Cc}\\p{Cf}\\p{Zl}\\p{Zp}\"'`]", "")), 1, longest))
+    some = F.filter(clean, lambda t: t.isNotNull() & (t != ""))
+    return F.slice(F.filter(some, lambda t, i: F.array_position(F.transform(some, lambda u: F.lower(u)), F.lower(t)) == i + 1), 1, most)
+
+
+def added_urls(command: Column) -> Column:
+    """The addresses of an "add" command, out of the angle brackets and without the label that a chat client puts around them; none of another command."""
+    words = F.filter(F.split(F.coalesce(command, F.lit("")), r"\s+"), lambda w: w != "")
+    plain = F.transform(F.slice(words, 2, 1000), lambda w: F.when(w.rlike(r"^<https?://[^|>]+(?:\|[^>]*)?>"), F.regexp_extract(w, r"^<(https?://[^|>]+)", 1)).otherwise(w))
+    return F.when(F.lower(F.get(words, F.lit(0))) == "add", plain).otherwise(F.array().cast("array<string>"))
+
+
+def escaped(text: Column) -> Column:
+    """Text for a chat message: ampersands first, then angle brackets."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
 # ---------------------------------------------------------------- HTML
 
-#: Element names that count as mark-up in a title; anything else in angle brackets, such as a type parameter, stays.
+# Element names that count as mark-up in a title; anything else in angle brackets, such as a type parameter, stays.
 ELEMENTS = (
     "a abbr acronym address article aside b big blockquote br button caption center cite code dd del details dfn div dl dt em "
     "fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 header hr i img input ins kbd label legend li main mark nav noscript "
@@ -162,8 +212,18 @@ def _lines(parts: list[str]) -> str:
     return "\n".join(x for x in (" ".join(line.split()) for line in "".join(parts).split("\n")) if x)
 
 
+def utc_seconds(text: str | None) -> int | None:
+    """An ISO time as whole seconds since 1970; one without a zone is UTC; None for what isn't one."""
+    try:
+        at = dt.datetime.fromisoformat((text or "").replace("Z", "+00:00"))
+    except ValueError:
+        return None
+    return int((at if at.tzinfo else at.replace(tzinfo=dt.timezone.utc)).timestamp())
+
+
 def page_fields(page: str | None, url: str | None = None) -> tuple:
-    """(title, content, published text, image) of an HTML page; the page itself where no text is found."""
+    """(title, content, published in seconds, image) of an HTML page; the page itself where no text is found. The first of the two places
+    of the time that holds one counts."""
     if not page:
         return None, None, None, None
     p = _Page()
@@ -173,7 +233,8 @@ def page_fields(page: str | None, url: str | None = None) -> tuple:
     image = next((x for x in (p.meta.get("og:image"), p.meta.get("twitter:image"), p.image) if x and len(x) <= 2048 and re.match(r"https?://[^/]", x)), None)
     if image is None and url and (m := re.match(r"(https?)://([^/?#]+)", url)):
         image = f"{m[1]}://{m[2]}/favicon.ico"
-    return title_text("".join(p.title)) or None, content, p.meta.get("article:published_time") or p.time, image
+    times = (utc_seconds(x) for x in (p.meta.get("article:published_time"), p.time) if x)
+    return title_text("".join(p.title)) or None, content, next((t for t in times if t is not None), None), image
 
 
 @F.pandas_udf(StringType())
@@ -181,9 +242,84 @@ def clean_title(titles: pd.Series) -> pd.Series:
     return titles.map(title_text, na_action="ignore")
 
 
-@F.pandas_udf(StructType([StructField(n, StringType()) for n in ("title", "content", "published", "image")]))
+@F.pandas_udf(StructType([StructField("title", StringType()), StructField("content", StringType()), StructField("published_s", LongType()), StructField("image", StringType())]))
 def read_page(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([page_fields(h, u) for h, u in zip(pages, urls)], columns=["title", "content", "published", "image"])
+    rows = pd.DataFrame([page_fields(h, u) for h, u in zip(pages, urls)], columns=["title", "content", "published_s", "image"])
+    return rows.astype({"published_s": "Int64"})
+
+
+class _Trending(HTMLParser):
+    """(href, title, description) of each entry of a listing of repositories."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows: list[list] = []
+        self.inside = self.into = None
+        self.heading = False
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        classes = set(a.get("class", "").split())
+        if tag == "article" and "Box-row" in classes:
+            self.inside, self.heading = [None, "", None, False], False
+        elif self.inside is None:
+            return
+        elif tag == "h2" and {"h3", "lh-condensed"} <= classes:
+            self.heading = True
+        elif tag == "a" and self.heading and self.inside[0] is None:
+            self.inside[0], self.into = a.get("href", "").strip(), 1
+        elif tag == "p" and not self.inside[3] and (self.inside[2] is None or {"col-9", "color-fg-muted"} <= classes):
+            self.inside[2], self.inside[3], self.into = "", {"col-9", "color-fg-muted"} <= classes, 2
+
+    def handle_endtag(self, tag):
+        if tag == "article" and self.inside is not None:
+            if self.inside[0]:
+                self.rows.append(self.inside[:3])
+            self.inside = self.into = None
+        elif tag in ("a", "p"):
+            self.into = None
+        elif tag == "h2":
+            self.heading = False
+
+    def handle_data(self, data):
+        if self.inside is not None and self.into is not None:
+            self.inside[self.into] = (self.inside[self.into] or "") + data
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(n, StringType()) for n in ("href", "title", "description")])))
+def read_trending(pages: pd.Series) -> pd.Series:
+    def read(page):
+        p = _Trending()
+        p.feed(page or "")
+        rows = [(href, title_text(title), (description or "").strip()) for href, title, description in p.rows if href.startswith("/")]
+        return [{"href": h, "title": t, "description": d or t} for h, t, d in rows]
+
+    return pages.map(read)
+
+
+#: Names and endings of hosts inside a network.
+INNER_HOSTS = {"localhost", "localhost.localdomain", "ip6-localhost"}
+INNER_ENDINGS = (".localhost", ".local", ".internal")
+
+
+def literally_safe(url: str | None) -> bool:
+    """Whether an address over http(s) names a host that isn't inside a network by its name or number; no name is looked up."""
+    try:
+        parts = urlsplit(url or "")
+        host = (parts.hostname or "").lower().rstrip(".")
+    except ValueError:
+        return False
+    if parts.scheme not in ("http", "https") or not host or host in INNER_HOSTS or host.endswith(INNER_ENDINGS):
+        return False
+    try:
+        return ipaddress.ip_address(host).is_global
+    except ValueError:
+        return True
+
+
+@F.pandas_udf(BooleanType())
+def safe_address(urls: pd.Series) -> pd.Series:
+    return urls.map(literally_safe)
 
 
 @F.pandas_udf(StringType())
@@ -194,6 +330,7 @@ def truncate_utf8(texts: pd.Series, size: pd.Series) -> pd.Series:
 
 # ---------------------------------------------------------------- names
 
+# Fixed value: what parts the words of a name.
 _SEPARATORS = r"[-_/&＆·‧,‐-―−]+"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions import text as X
 from lodestar.functions import urls
 from lodestar.sources import tables as T
 from lodestar.sources.tables import AS_OF
@@ -48,6 +49,78 @@ def queue_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.where((F.col("valid") & ~F.col("saved")) | F.col("triage_error")).select("queue_id", "valid", "saved", "triage_error")
 
 
+def without(queue: DataFrame, done: DataFrame, key: str = "source_url") -> DataFrame:
+    """DELETE ... WHERE key IN (...): the queue without the rows of done."""
+    return queue.join(done.select(key).distinct(), key, "left_anti").select(*queue.columns)
+
+
+def stamped(table: DataFrame, ids: DataFrame, key: str, column: str, at_s: int) -> DataFrame:
+    """UPDATE ... SET column = at_s WHERE key IN (...): the next state of table."""
+    hit = ids.select(F.col(key)).distinct().withColumn("_hit", F.lit(True))
+    new = F.when(F.col("_hit"), F.lit(at_s)).otherwise(F.col(column)).alias(column)
+    return table.join(hit, key, "left").select(*[new if c == column else F.col(c) for c in table.columns])
+
+
+def briefed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with the time of their briefing: now for those of this one's pool, else what was there (every seventh has one)."""
+    from lodestar.operators import ranking
+
+    table = T.items(spark, sf_dir, "id").withColumn("briefed_s", F.when(F.col("id") % 7 == 0, F.lit(AS_OF - 86400)))
+    return stamped(table, ranking.briefing_pool(spark, sf_dir), "id", "briefed_s", AS_OF)
+
+
+def toggled(assets: DataFrame, presses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What presses of a card's button (tech_id, target, active) do to assets (tech_id, status): a set one clears the decision if it is still
+    the target, and leaves any other alone; an unset one makes or switches the asset. (outcomes, next assets.)"""
+    df = assets.join(presses, "tech_id", "full")
+    clears = F.coalesce(F.col("active"), F.lit(False))
+    gone = clears & (F.col("status") == F.col("target"))
+    outcomes = df.where(F.col("target").isNotNull()).select("tech_id", F.when(clears, "REMOVED").otherwise("SET").alias("outcome"), F.coalesce(gone, F.lit(False)).alias("deletes"))
+    after = F.when(clears | F.col("target").isNull(), F.col("status")).otherwise(F.col("target"))
+    return outcomes, df.where(~F.coalesce(gone, F.lit(False))).select("tech_id", after.alias("status")).where("status IS NOT NULL")
+
+
+def asset_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every asset after a press on each third item's Keep button, shown as set by id."""
+    i = F.col("doc_id")
+    presses = T.read(spark, sf_dir, "documents").select(i.alias("tech_id"), F.when(i % 3 == 0, "Keep").alias("target"), (i % 2 == 0).alias("active")).where("target IS NOT NULL")
+    return toggled(T.assets(spark, sf_dir).select("tech_id", "status"), presses)[1]
+
+
+def queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the queue, and of those without a date."""
+    return T.crawl_queue(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("published_s").isNull()).alias("undated"))
+
+
+def queue_without_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue after the next batch is deleted by its addresses."""
+    return without(T.crawl_queue(spark, sf_dir), queue_batch(spark, sf_dir)).select("queue_id", "source_url")
+
+
+def favicon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that are a site's icon: found by pattern anywhere, then by path alone."""
+    i = F.col("id").cast("string")
+    df = T.items(spark, sf_dir, "id", "source_url").withColumn("icon", urls.favicon(F.col("source_url")))
+    image = F.when(F.col("id") % 5 == 0, F.col("icon")).when(F.col("id") % 5 == 1, F.concat("icon", F.lit("?v="), i)).when(F.col("id") % 5 == 2, F.concat("icon", F.lit("#x"))).when(F.col("id") % 5 == 3, F.concat(F.lit("https://img.example.com/a.png?of=/favicon.ico?"), i)).otherwise(F.lit("https://img.example.com/favicon.ico.png"))
+    df = df.select("id", image.alias("image_url"))
+    near = F.col("image_url").like("%/favicon.ico") | F.col("image_url").like("%/favicon.ico?%") | F.col("image_url").like("%/favicon.ico#%")
+    return df.where(near & urls.is_favicon(F.col("image_url")))
+
+
+def safe_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether addresses made of samples may be fetched, by host alone."""
+    hosts = F.lit([u for u, _ in ADDRESS_SAMPLES])
+    url = F.element_at(hosts, (F.col("page_id") % len(ADDRESS_SAMPLES) + 1).cast("int"))
+    return T.read(spark, sf_dir, "pages").select("page_id", X.safe_address(url).alias("safe"))
+
+
+#: Addresses and whether they may be fetched.
+ADDRESS_SAMPLES = [
+    ("https://example.org/a", True), ("http://8.8.8.8/", True), ("http://127.0.0.1:80/", False), ("https://10.1.2.3/x", False), ("http://[::1]/", False), ("http://192.168.0.9/", False), ("http://169.254.169.254/meta", False),
+    ("https://LOCALHOST./", False), ("http://db.internal/", False), ("http://printer.local/", False), ("ftp://example.org/", False), ("no address", False), ("http://[2001:4860:4860::8888]/", True), ("http://user@100.64.0.1/", False),
+]
+
+
 def asset_keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last history row of each asset, as a clean-up that keeps one row per key would leave it."""
     return latest(T.history(spark, sf_dir), "asset_id", F.desc("changed_s"), F.desc("history_id")).select("asset_id", "history_id", "changed_to")
@@ -99,7 +172,7 @@ def digest_candidates(spark: SparkSession, sf_dir: str, least: int = 1000) -> Da
 def digest_accepted(digest: Column, summary: Column, least: int = 150) -> Column:
     """Whether a digest is long enough and not the summary again, by case and white space."""
     fold = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    return (F.char_length(digest) >= least) & (fold(digest) != F.coalesce(fold(summary), F.lit("")))
+    return F.coalesce((F.char_length(digest) >= least) & (fold(digest) != F.coalesce(fold(summary), F.lit(""))), F.lit(False))
 
 
 def add_url_status(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import partial
 
 from lodestar.functions.scores import DOMAIN_SQL, NETLOC_SQL, TRUST_SQL
 from lodestar.functions.text import REJECTED
-from lodestar.operators import ingest, pages, ranking, reads, texts
+from lodestar.operators import batch, collect, ingest, pages, ranking, reads, texts
 from lodestar.plans import scale
 from lodestar.sources import tables as T
 from lodestar.sources.tables import AS_OF, DAY, VIEWS_SQL, WEEK
@@ -69,6 +69,12 @@ QUERIES = {
     "dedup_urls": ingest.dedup_urls,
     "queue_batch": ingest.queue_batch,
     "queue_retained": ingest.queue_retained,
+    "queue_depth": ingest.queue_depth,
+    "queue_without_batch": ingest.queue_without_batch,
+    "asset_toggles": ingest.asset_toggles,
+    "briefed_stamp": ingest.briefed,
+    "favicon_rows": ingest.favicon_rows,
+    "safe_addresses": ingest.safe_addresses,
     "asset_keep_latest": ingest.asset_keep_latest,
     "asset_transitions": ingest.asset_transitions,
     "handoff_outcomes": ingest.handoff_outcomes,
@@ -96,6 +102,8 @@ QUERIES = {
     "exact_dup_groups": texts.exact_dup_groups,
     "entity_doc_freq": texts.entity_doc_freq,
     "entity_names": texts.entity_names,
+    **batch.QUERIES,
+    **collect.QUERIES,
     **scale.QUERIES,
 }
 
@@ -211,6 +219,14 @@ ORACLE_SQL = {
     "dedup_urls": f"""{VIEWS_SQL} SELECT * FROM (SELECT 'https://src' || l_partkey % 20 || '.example.com/d/' || l_partkey AS source_url, min(l_orderkey) AS first_order FROM lineitem GROUP BY l_partkey)
       WHERE source_url NOT IN (SELECT source_url FROM items) AND source_url NOT IN (SELECT source_url FROM crawl_queue)""",
     "queue_batch": f"{VIEWS_SQL} SELECT queue_id, source_url, published_s, queued_s FROM crawl_queue ORDER BY published_s DESC NULLS LAST, queued_s, queue_id LIMIT 150",
+    "queue_depth": f"{VIEWS_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE published_s IS NULL) AS undated FROM crawl_queue",
+    "queue_without_batch": f"{VIEWS_SQL} SELECT queue_id, source_url FROM crawl_queue WHERE source_url NOT IN (SELECT source_url FROM crawl_queue ORDER BY published_s DESC NULLS LAST, queued_s, queue_id LIMIT 150)",
+    "asset_toggles": f"""{VIEWS_SQL}, p AS (SELECT doc_id AS tech_id, doc_id % 2 = 0 AS active FROM documents WHERE doc_id % 3 = 0)
+      SELECT tech_id, CASE WHEN p.tech_id IS NOT NULL AND NOT active THEN 'Keep' ELSE status END AS status FROM assets a FULL JOIN p USING (tech_id) WHERE NOT coalesce(active AND status = 'Keep', false) AND NOT (status IS NULL AND active)""",
+    "briefed_stamp": f"{_SCORED}, {_POOL} SELECT i.id, CASE WHEN i.id IN (SELECT id FROM pool) THEN {AS_OF} WHEN i.id % 7 = 0 THEN {AS_OF - DAY} END AS briefed_s FROM items i",
+    "favicon_rows": f"""{VIEWS_SQL}, icon AS (SELECT id, lower(regexp_extract(source_url, '^([A-Za-z]+)://', 1)) || '://' || {NETLOC_SQL} || '/favicon.ico' AS icon FROM items)
+      SELECT id, icon || CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN '?v=' || id ELSE '#x' END AS image_url FROM icon WHERE id % 5 < 3""",
+    "safe_addresses": f"SELECT page_id, {[ok for _, ok in ingest.ADDRESS_SAMPLES]}[page_id % {len(ingest.ADDRESS_SAMPLES)} + 1] AS safe FROM pages",
     "queue_retained": f"{VIEWS_SQL} SELECT queue_id, queue_id % 3 <> 0 AS valid, queue_id % 2 = 0 AS saved, queue_id % 11 = 0 AS triage_error FROM crawl_queue WHERE (queue_id % 3 <> 0 AND queue_id % 2 <> 0) OR queue_id % 11 = 0",
     "asset_keep_latest": f"{VIEWS_SQL} SELECT asset_id, history_id, changed_to FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY changed_s DESC, history_id DESC) AS n FROM history) WHERE n = 1",
     "asset_transitions": f"""{VIEWS_SQL}, w AS (SELECT doc_id AS tech_id, CASE WHEN doc_id % 3 = 0 THEN 'Keep' ELSE 'Archived' END AS wanted FROM documents)
@@ -243,5 +259,7 @@ ORACLE_SQL = {
     "exact_dup_groups": "SELECT md5(text) AS digest, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "entity_doc_freq": """SELECT word, count(*) AS docs FROM (SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_split_to_array(text, '[ \\n]')), '[.,!;:]+$', '') AS word FROM documents)
       WHERE regexp_full_match(word, '[A-Z][a-z]+') GROUP BY word HAVING count(*) <= (SELECT count(*) FROM documents) * 0.5""",
+    **batch.ORACLE_SQL,
+    **collect.ORACLE_SQL,
     **scale.ORACLE_SQL,
 }

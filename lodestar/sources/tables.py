@@ -69,7 +69,7 @@ def items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         "primary_source": has & (F.col("quality") == 1),
         "has_links": has & (i % 3 == 0),
         "has_numbers": has & (F.col("n_chars") % 2 == 0),
-        "balance": F.when(has, F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (i % 3 + 1).cast("int"))),
+        "balance": F.when(has, F.element_at(F.array(F.lit("balanced"), F.lit("mixed"), F.lit("unsupported")), (i % 3 + 1).cast("int"))),
         "marketing": F.when(has, F.when(F.col("toxic") == 1, "high").when(i % 2 == 0, "low").otherwise("medium")),
         "corroboration_count": F.when(i % 4 != 0, i % 3),
     }
@@ -173,7 +173,7 @@ VIEWS_SQL = f"""WITH items AS (
     coalesce(l.quality = 1, false) AS primary_source,
     (l.quality IS NOT NULL AND d.doc_id % 3 = 0) AS has_links,
     (l.quality IS NOT NULL AND d.n_chars % 2 = 0) AS has_numbers,
-    CASE WHEN l.quality IS NOT NULL THEN ['high', 'medium', 'low'][d.doc_id % 3 + 1] END AS balance,
+    CASE WHEN l.quality IS NOT NULL THEN ['balanced', 'mixed', 'unsupported'][d.doc_id % 3 + 1] END AS balance,
     CASE WHEN l.quality IS NULL THEN NULL WHEN l.toxic = 1 THEN 'high' WHEN d.doc_id % 2 = 0 THEN 'low' ELSE 'medium' END AS marketing,
     CASE WHEN d.doc_id % 4 <> 0 THEN d.doc_id % 3 END AS corroboration_count,
     e.embedding
