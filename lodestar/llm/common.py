@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -19,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 import lodestar
+from lodestar.sources.shared import clear_stored, shared_dir, spread, stored  # noqa: F401
 
 # Functions travel to the workers whole, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(lodestar)
@@ -29,40 +28,7 @@ CHUNK_BYTES = 4 << 20
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Where the session names none, a local one gets a folder of this machine; a cluster must name one."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not sc._jsc.sc().getCheckpointDir().isEmpty():
-        found = sc._jsc.sc().getCheckpointDir().get()
-    if not found and not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        found = sc._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, so a lost executor
-    costs no recomputation, and several readers cost no second run."""
-    spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/lodestar/{spark.sparkContext.applicationId}"
-
-
-def clear_stored(spark: SparkSession) -> None:
-    """Removes all stored tables of this application; results that read them must have been written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
