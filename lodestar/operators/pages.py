@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import urls
-from lodestar.functions.vectors import cosine  # noqa: F401
 from lodestar.operators import reads
 
 
@@ -68,11 +67,15 @@ def diverse_pages(df: DataFrame, page: str) -> DataFrame:
     return df.groupBy(page).applyInPandas(one, schema)
 
 
+def _first_page(spark: SparkSession, sf_dir: str, limit: int) -> list:
+    """The rows of the first recommended page. The page has a limit, so what is done to it isn't done to all rows."""
+    df = reads.scored_items(spark, sf_dir).select("id", "feed_score", "eff_s", urls.domain(F.col("source_url")).alias("domain"))
+    return reads.page(df, F.col("feed_score").desc_nulls_last(), F.desc("eff_s"), F.desc("id"), limit=limit).collect()
+
+
 def feed_diverse_page(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFrame:
-    """The first recommended page, reordered. The page has a limit, so its rank is no order over all rows."""
-    page = reads.scored_items(spark, sf_dir).orderBy(F.col("feed_score").desc_nulls_last(), F.desc("eff_s"), F.desc("id")).limit(limit)
-    rows = page.select("id", "feed_score", urls.domain(F.col("source_url")).alias("domain")).collect()
-    placed = [(r.id, k, r.domain, r.feed_score is not None, 0) for k, r in enumerate(rows)]
+    """The first recommended page, reordered."""
+    placed = [(r.id, r.place, r.domain, r.feed_score is not None, 0) for r in _first_page(spark, sf_dir, limit)]
     df = spark.createDataFrame(placed, "id long, place int, domain string, scored boolean, page int")
     return diverse_pages(df, "page").select("id", "domain", "scored", "place", "new_place")
 
@@ -86,9 +89,41 @@ def pin_hero(ids: list[int], domains: list[str], scored: list[bool], hero: int |
     return [hero] + [ids[rest[k]] for k in spread_bands([domains[i] for i in rest], [scored[i] for i in rest], domains[at])]
 
 
+def recovered_hero(ids: list[int], scores: list[float | None], times: list[int], since: int) -> int | None:
+    """The page's best row of the window: a score before none, then the higher score, time and id; None if no row is recent enough."""
+    best = [(s is not None, s or 0.0, t, i) for i, s, t in zip(ids, scores, times) if t >= since]
+    return max(best)[3] if best else None
+
+
+def lead(rows: list, sort: str, selected: int | None, since: int) -> tuple[list[int], int | None]:
+    """The first page's ids as shown, and the one shown large. By time nothing moves and the newest leads. Else the selected item leads if it is on the page, or
+    the best recent one of the page; if there is none either, or nothing has a score (selected is None), the first of the page as it is spread."""
+    ids, domains, scored = [r.id for r in rows], [r.domain for r in rows], [r.feed_score is not None for r in rows]
+    if sort == "latest":
+        return ids, ids[0] if ids else None
+    hero = selected if selected in ids else recovered_hero(ids, [r.feed_score for r in rows], [r.eff_s for r in rows], since) if selected is not None else None
+    shown = pin_hero(ids, domains, scored, hero)
+    return shown, shown[0] if shown else None
+
+
 def feed_pinned_page(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFrame:
-    """The first recommended page with its hero on top."""
-    rows = reads.scored_items(spark, sf_dir).orderBy(F.col("feed_score").desc_nulls_last(), F.desc("eff_s"), F.desc("id")).limit(limit).select("id", "feed_score", urls.domain(F.col("source_url")).alias("domain")).collect()
-    hero = reads.feed_hero(spark, sf_dir).first()
-    order = pin_hero([r.id for r in rows], [r.domain for r in rows], [r.feed_score is not None for r in rows], hero and hero.id)
-    return spark.createDataFrame(list(enumerate(order)), "place int, id long")
+    """The first recommended page as shown: its hero on top."""
+    selected = reads.feed_hero(spark, sf_dir).first()
+    shown, hero = lead(_first_page(spark, sf_dir, limit), "recommended", selected and selected.id, reads.AS_OF - reads.HERO_S)
+    return spark.createDataFrame([(k, i, i == hero) for k, i in enumerate(shown)], "place int, id long, hero boolean")
+
+
+def encode_portfolio_cursor(activity_s: int, item: int, trust: float | None) -> str:
+    """A portfolio page's last row as text; it serves both orders."""
+    raw = json.dumps({"k": activity_s, "u": item, "t": trust}, separators=(",", ":"))
+    return base64.urlsafe_b64encode(raw.encode()).decode().rstrip("=")
+
+
+def decode_portfolio_cursor(text: str) -> tuple:
+    """(trust, activity_s, item), as reads.portfolio takes it; ValueError for what isn't such a cursor."""
+    try:
+        found = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
+        trust = found["t"]
+        return None if trust is None else float(trust), int(found["k"]), int(found["u"])
+    except Exception as e:
+        raise ValueError("not a portfolio cursor") from e

@@ -113,6 +113,16 @@ _SCORED = f"""{VIEWS_SQL}, slim AS (SELECT *, {TRUST_SQL} AS trust FROM items),
 scored AS (SELECT s.*, a.status, CASE WHEN id % 9 <> 8 THEN round(0.35::DOUBLE * CASE WHEN {_AGE} < 0 THEN 0 ELSE pow(0.5::DOUBLE, {_AGE} / 48.0) END
   + 0.15::DOUBLE * coalesce(trust, 0) + 0.15::DOUBLE * (coalesce(corroboration_count, 0) / (coalesce(corroboration_count, 0) + 1)), 6) END AS feed_score
   FROM slim s LEFT JOIN assets a ON a.tech_id = s.id)"""
+#: A page spread step by step: of the band that is on (scored rows first), the domain with most rows left but the last one taken, the first seen of equals.
+_SPREAD = """walk AS (
+  SELECT 0 AS step, rest, avoid AS last, NULL::BIGINT AS pick FROM start
+  UNION ALL
+  SELECT step + 1, list_filter(rest, lambda x: x.id <> best.id), best.domain, best.id FROM (
+    SELECT w.step, w.rest, (SELECT arg_min(u, (NOT u.scored, coalesce(u.domain = w.last, false), -len(list_filter(w.rest, lambda x: x.domain = u.domain AND x.scored = u.scored)), u.seen, u.place))
+      FROM (SELECT unnest(w.rest) AS u)) AS best FROM walk w WHERE len(w.rest) > 0))"""
+_PAGE = """front AS (SELECT id, feed_score, eff_s, row_number() OVER (ORDER BY feed_score DESC NULLS LAST, eff_s DESC, id DESC) - 1 AS place, {domain} AS domain, feed_score IS NOT NULL AS scored
+  FROM scored ORDER BY feed_score DESC NULLS LAST, eff_s DESC, id DESC LIMIT 20),
+rows20 AS (SELECT *, min(place) OVER (PARTITION BY domain, scored) AS seen FROM front)""".format(domain=DOMAIN_SQL)
 _REC, _LAT = "feed_score DESC NULLS LAST, eff_s DESC, id DESC", "eff_s DESC, id DESC"
 _BEHIND = f"(eff_s < {CURSOR[0]} OR (eff_s = {CURSOR[0]} AND id < {CURSOR[1]}))"
 _VEC = "emb AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vector FROM embeddings WHERE embedding IS NOT NULL AND vec_id IN (SELECT doc_id FROM documents))"
@@ -159,6 +169,14 @@ ORACLE_SQL = {
     "feed_recommended_page2": f"{_SCORED} SELECT {_CARD} FROM scored WHERE feed_score IS NULL OR feed_score < 0.3 OR (feed_score = 0.3 AND {_BEHIND}) ORDER BY {_REC} LIMIT 21",
     "feed_recommended_nulltail": f"{_SCORED} SELECT {_CARD} FROM scored WHERE feed_score IS NULL AND {_BEHIND} ORDER BY {_REC} LIMIT 21",
     "feed_hero": f"{_SCORED} SELECT id, title, feed_score, eff_s >= {AS_OF - 48 * 3600} AS fresh FROM scored WHERE feed_score IS NOT NULL ORDER BY fresh DESC, feed_score DESC, id DESC LIMIT 1",
+    "feed_diverse_page": f"""{_SCORED.replace("WITH ", "WITH RECURSIVE ", 1)}, {_PAGE}, start AS (SELECT list({{'id': id, 'domain': domain, 'scored': scored, 'place': place, 'seen': seen}}) AS rest, NULL::VARCHAR AS avoid FROM rows20), {_SPREAD}
+      SELECT id, domain, scored, place::INTEGER AS place, (step - 1)::INTEGER AS new_place FROM walk JOIN rows20 ON id = pick""",
+    "feed_pinned_page": f"""{_SCORED.replace("WITH ", "WITH RECURSIVE ", 1)}, {_PAGE}, chosen AS (SELECT id FROM scored WHERE feed_score IS NOT NULL ORDER BY eff_s >= {AS_OF - 48 * 3600} DESC, feed_score DESC, id DESC LIMIT 1),
+      hero AS (SELECT coalesce((SELECT id FROM rows20 WHERE id IN (SELECT id FROM chosen)), (SELECT arg_max(id, (scored, coalesce(feed_score, 0), eff_s, id)) FROM rows20 WHERE eff_s >= {AS_OF - 48 * 3600} AND (SELECT count(*) FROM chosen) > 0)) AS id),
+      others AS (SELECT domain, scored, place, id, min(place) OVER (PARTITION BY domain, scored) AS seen FROM front WHERE id IS DISTINCT FROM (SELECT id FROM hero)),
+      start AS (SELECT list({{'id': id, 'domain': domain, 'scored': scored, 'place': place, 'seen': seen}}) AS rest, (SELECT domain FROM front WHERE id = (SELECT id FROM hero)) AS avoid FROM others), {_SPREAD},
+      shown AS (SELECT step - 1 + CASE WHEN (SELECT id FROM hero) IS NULL THEN 0 ELSE 1 END AS place, pick AS id FROM walk WHERE pick IS NOT NULL UNION ALL SELECT 0, id FROM hero WHERE id IS NOT NULL)
+      SELECT place::INTEGER AS place, id, place = 0 AS hero FROM shown""",
     "feed_new_count": f"{VIEWS_SQL} SELECT count(*) AS n FROM items WHERE eff_s > {AS_OF - DAY}",
     "feed_poll_baseline": f"{VIEWS_SQL} SELECT id, eff_s FROM items ORDER BY eff_s DESC, id DESC LIMIT 1",
     "portfolio_recency": f"{_PORT} SELECT * FROM port ORDER BY activity_s DESC, tech_id DESC LIMIT 20",
