@@ -56,9 +56,10 @@ def entity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of items that hold < or &, cleaned."""
-    df = title_from_content(spark, sf_dir).where(F.col("title").contains("<") | F.col("title").contains("&"))
-    return df.select("id", X.clean_title("title").alias("title"))
+    """Titles cleaned, every third with mark-up, entities and a type parameter around it, and every third with white space."""
+    t = F.col("title")
+    dressed = F.when(F.col("id") % 3 == 0, F.concat(F.lit('<p class="x">'), t, F.lit("</p> &amp;amp; Vec<T>"))).when(F.col("id") % 3 == 1, F.concat(F.lit(" \t"), t, F.lit("  "))).otherwise(t)
+    return title_from_content(spark, sf_dir).select("id", X.clean_title(dressed).alias("title"))
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,6 +269,12 @@ ORACLE_SQL = {
     "exclusion_hits": "SELECT * FROM (SELECT doc_id AS id, array_to_string(list_filter(['license', 'stupid', 'password'], lambda t: contains(lower(text), t)), ',') AS hits FROM documents) WHERE hits <> ''",
     "interest_hits": f"{VIEWS_SQL} SELECT id FROM items WHERE contains(lower(title), 'the') OR contains(lower(title), 'licen')",
     "title_from_content": f"{VIEWS_SQL} SELECT id, title FROM items",
+    "clean_titles": f"{VIEWS_SQL} SELECT id, trim(regexp_replace(title, '\\s+', ' ', 'g')) || CASE WHEN id % 3 = 0 THEN ' & Vec<T>' ELSE '' END AS title FROM items",
+    "page_text": f"""WITH parts AS (SELECT page_id, url AS source_url, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*?)(?:</article>|$)', 1, 's'), '</?(?:h1|p|br)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS body FROM pages),
+      plain AS (SELECT page_id, source_url, replace(replace(title, '&quot;', '"'), '&amp;', '&') AS title, replace(replace(body, '&quot;', '"'), '&amp;', '&') AS body FROM parts)
+      SELECT page_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS content,
+        NULL::BIGINT AS published_s, regexp_extract(source_url, '^([a-z]+)://', 1) || '://' || {NETLOC_SQL} || '/favicon.ico' AS image FROM plain""",
+    "canonical_names": "SELECT trim(regexp_replace(regexp_replace(lower(p_name), '[-_/&,]+', ' ', 'g'), '\\s+', ' ', 'g')) AS name, count(DISTINCT p_name) AS spellings FROM part GROUP BY 1",
     "domains_all": f"""SELECT page_id, {NETLOC_SQL} AS netloc, {DOMAIN_SQL} AS domain, regexp_replace(regexp_replace(lower({NETLOC_SQL}), '^.*@', ''), ':[0-9]*$', '') AS host, {NETLOC_SQL} AS briefing, 'RSS' AS label,
       regexp_extract(source_url, '^([a-z]+)://', 1) || '://' || {NETLOC_SQL} || '/favicon.ico' AS favicon,
       CASE WHEN len(parts) >= 2 THEN parts[1] || '/' || parts[2] END AS slug FROM (SELECT page_id, url AS source_url, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/'), lambda p: p <> '') AS parts FROM pages)""",

@@ -38,7 +38,7 @@ def test_matches_sql(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, sf, name):
-    assert catalog.QUERIES[name](spark, sf).columns
+    assert catalog.QUERIES[name](spark, sf).collect() is not None
 
 
 def test_entry(spark):

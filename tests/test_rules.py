@@ -24,7 +24,7 @@ def test_recency(spark):
 
 
 def test_trust(spark):
-    full = scores.score_rubric(F.lit(True), F.lit(True), F.lit(True), F.lit("high"), F.lit("low"))
+    full = scores.score_rubric(F.lit(True), F.lit(True), F.lit(True), F.lit("balanced"), F.lit("low"))
     assert one(spark, full) == pytest.approx(1.0)
     assert one(spark, scores.score_rubric(F.lit(None).cast("boolean"), F.lit(False), F.lit(None).cast("boolean"), F.lit("odd"), F.lit(None).cast("string"))) == 0.0
     assert [one(spark, scores.source_prior(F.lit(d))) for d in ("arxiv.org", "x.org")] == [1.0, 0.5]
@@ -64,7 +64,7 @@ def test_title(raw, want):
 
 def test_page():
     page = '<html><head><title>T &amp; U</title><meta property="og:image" content="https://a/i.png"><meta property="article:published_time" content="2024-01-02"></head><body><nav>menu</nav><article><h1>H</h1><p>Body <b>text</b>.</p><script>x()</script></article><p>after</p></body></html>'
-    assert X.page_fields(page) == ("T & U", "H\nBody text.", "2024-01-02", "https://a/i.png")
+    assert X.page_fields(page) == ("T & U", "H\nBody text.", 1704153600, "https://a/i.png")
     assert X.page_fields("<p>x<img src='https://a/s.png' width=10><img src='https://a/l.png'>")[3] == "https://a/l.png"
     assert X.page_fields("<p>x", "https://a.b/c")[3] == "https://a.b/favicon.ico"
     assert X.page_fields(None) == (None,) * 4
@@ -216,3 +216,113 @@ def test_spread(spark, tmp_path):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan(shared.spread(spark.read.parquet(str(tmp_path / "one")))) and shared.spread(spark.read.parquet(str(tmp_path / "one"))).count() == 1000
     assert "Repartition" not in plan(shared.spread(spark.read.parquet(str(tmp_path / "many"))))
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("v")).first().v
+
+
+def test_labels(spark):
+    from pyspark.sql import functions as F
+
+    lit = lambda x: F.lit(x).cast("long")
+    assert [value(spark, X.run_duration(F.lit(s))) for s in (0, 4.32, 59.9, 60, 3725)] == ["0s", "4s", "59s", "1m 0s", "62m 5s"]
+    now = 1706659200
+    ages = (-5, 59, 60, 3599, 3600, 86399, 86400, 604799, 604800)
+    assert [value(spark, X.ticker_age(lit(now - a), lit(now))) for a in ages] == ["방금", "방금", "1분 전", "59분 전", "1시간 전", "23시간 전", "1일 전", "6일 전", "2024-01-24"]
+    days = [29, 30, 359, 360, 800]
+    assert [value(spark, X.summary_age(lit(now - d * 86400), lit(now))) for d in days] == ["29일 전", "1개월 전", "11개월 전", "1년 전", "2년 전"]
+    assert value(spark, X.summary_age(lit(None), lit(now))) == "—" and value(spark, X.summary_age(lit(now - 59), lit(now))) == "방금 전"
+    assert [value(spark, X.clock_time(F.lit(t))) for t in (" 9:05 ", "23:59", "24:00", "9:5", "12:60", "x")] == ["09:05", "23:59", None, None, None, None]
+
+
+def test_message_texts(spark):
+    from pyspark.sql import functions as F
+
+    assert value(spark, X.drop_think(F.lit(" <think>a\nb</THINK> yes <think>c</think>"))) == "yes"
+    assert value(spark, X.json_slice(F.lit('say {"a": {"b": 1}} end } x'))) == '{"a": {"b": 1}} end }' and value(spark, X.json_slice(F.lit("none"))) == ""
+    assert value(spark, X.added_urls(F.lit(" ADD <https://a.b/c|label>  http://x.y <https://q.r>"))) == ["https://a.b/c", "http://x.y", "https://q.r"]
+    assert value(spark, X.added_urls(F.lit("remove http://x.y"))) == [] == value(spark, X.added_urls(F.lit(None).cast("string")))
+    assert value(spark, X.escaped(F.lit("a & b <c>"))) == "a &amp; b &lt;c&gt;"
+    terms = F.array(*map(F.lit, [" Rust ", "rust", 'a"b\'c\n', "", "x" * 80, *map(str, range(20))]))
+    got = value(spark, X.normal_terms(terms))
+    assert got[:3] == ["Rust", "abc", "x" * 64] and len(got) == 10
+
+
+def test_times_and_addresses():
+    assert X.utc_seconds("2024-01-02T10:00:00Z") == X.utc_seconds("2024-01-02T12:00:00+02:00") == X.utc_seconds("2024-01-02 10:00:00") == 1704189600
+    assert X.utc_seconds("soon") is X.utc_seconds(None) is X.utc_seconds("") is None
+    page = '<meta property="article:published_time" content="soon"><time datetime="2024-01-02T10:00:00Z">x</time><p>a</p>'
+    assert X.page_fields(page)[2] == 1704189600
+    from lodestar.operators.ingest import ADDRESS_SAMPLES
+
+    assert [X.literally_safe(u) for u, _ in ADDRESS_SAMPLES] == [ok for _, ok in ADDRESS_SAMPLES] and not X.literally_safe(None) and not X.literally_safe("http://[bad/")
+
+
+def test_first_page():
+    from types import SimpleNamespace as Row
+
+    from lodestar.operators import pages
+
+    rows = [Row(id=i, domain=d, feed_score=s, eff_s=t) for i, d, s, t in [(1, "a", 0.9, 10), (2, "a", 0.8, 50), (3, "b", 0.7, 60), (4, "c", None, 70)]]
+    assert pages.lead(rows, "latest", 3, 40) == ([1, 2, 3, 4], 1)
+    assert pages.lead(rows, "recommended", 3, 40)[1] == 3
+    assert pages.lead(rows, "recommended", 99, 40)[1] == 2  # not on the page: its best recent row
+    assert pages.lead(rows, "recommended", 99, 100)[1] == 1 == pages.lead(rows, "recommended", None, 40)[1]
+    assert pages.lead([], "recommended", None, 40) == ([], None)
+    for key in ((1700000000, 7, 0.5), (1700000000, 7, None)):
+        assert pages.decode_portfolio_cursor(pages.encode_portfolio_cursor(*key)) == (key[2], key[0], key[1])
+    for bad in ("", "x", "e30", pages.encode_cursor("latest", 1, 2)):
+        with pytest.raises(ValueError):
+            pages.decode_portfolio_cursor(bad)
+
+
+def test_choices():
+    from lodestar.operators import reads
+
+    assert reads.normalised("latest", "Alpha") == ("latest", "Alpha") and reads.normalised("x", "alpha") == ("recommended", None) == reads.normalised(None, None)
+
+
+def test_pairs_by_blocks(spark, sf, monkeypatch):
+    """Blocks and the broadcast side give the same pairs."""
+    from lodestar.functions import vectors
+    from lodestar.operators import ranking
+
+    df = ranking.embedded(spark, sf)
+    some = df.where("id % 3 = 0")
+    pairs = lambda *a, **k: {(r.a, r.b): round(r.cosine, 6) for r in vectors.similar_pairs(*a, **k).collect()}
+    want, both = pairs(df, df, 0.2, same=True), pairs(df, some, 0.2)
+    monkeypatch.setattr(vectors, "BROADCAST_VALUES", 10)
+    monkeypatch.setattr(vectors, "BLOCK", 17)
+    assert want and pairs(df, df, 0.2, same=True) == want and pairs(df, some, 0.2) == both
+
+
+def test_pages_read_no_texts(spark, sf):
+    """Lists sort and filter without the text column; counts join no table that they don't need."""
+    from lodestar.operators import reads
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan(reads.scored_items(spark, sf).orderBy("eff_s").limit(5))
+    stats = plan(reads.stats_summary(spark, sf))
+    assert not any(t in stats for t in ("embeddings.parquet", "pages.parquet", "labels.parquet"))
+    assert "In(doc_id" in plan(reads.with_titles(reads.page(reads.T.items(spark, sf, "id"), reads.F.col("id"), limit=3), spark, sf))
+
+
+def test_insert_missing(spark):
+    from lodestar.operators import ingest
+
+    target = spark.createDataFrame([("a", 0)], "k string, n int")
+    batch = spark.createDataFrame([("a", 1), ("b", 3), ("b", 2), ("c", 4)], "k string, n int")
+    assert sorted(map(tuple, ingest.insert_missing(target, batch, "k", "n").collect())) == [("b", 2), ("c", 4)]
+    assert [r.k for r in ingest.without(batch, target, "k").orderBy("n").collect()] == ["b", "b", "c"]
+    outcomes, after = ingest.toggled(spark.createDataFrame([(1, "Keep"), (2, "Archived")], "tech_id long, status string"), spark.createDataFrame([(1, "Keep", True), (2, "Keep", True), (3, "Keep", False), (4, "Keep", True)], "tech_id long, target string, active boolean"))
+    assert {tuple(r) for r in outcomes.collect()} == {(1, "REMOVED", True), (2, "REMOVED", False), (3, "SET", False), (4, "REMOVED", False)}
+    assert {tuple(r) for r in after.collect()} == {(2, "Archived"), (3, "Keep")}
+
+
+def test_run_line(spark):
+    from lodestar.operators import batch
+
+    summary = spark.createDataFrame([(150, 100)], "queue_selected long, queue_remaining long")
+    tallies = spark.createDataFrame([("rss", 5), ("hackernews", 2), ("github_trending", 9), ("arxiv", 1)], "source string, n long")
+    assert tuple(batch.summary_line(summary, tallies).first()) == ("GitHub: 9, HN: 2, arxiv: 1, rss: 5", "150 / 250 (100)")
