@@ -43,10 +43,10 @@ def crc_fold(doc_id, folds: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
 
 
-def map_batches(df: DataFrame, columns: list[str], schema: str, work: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
+def map_batches(df: DataFrame, columns: list[str], schema: str, work: Callable[[Iterator[dict]], Iterator[dict]], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Runs work over chunks of rows in Arrow batches.
 
-    work gets dicts of lists, one per column of ``columns``, each with about CHUNK_BYTES of text
+    work gets dicts of lists, one per column of ``columns``, each with about chunk_bytes of text
     (a longer text comes alone), and yields dicts of columns of ``schema``. Text columns come as
     UTF-8 bytes. Only ``columns`` are read, so columns of any other name don't matter.
     """
@@ -54,14 +54,14 @@ def map_batches(df: DataFrame, columns: list[str], schema: str, work: Callable[[
     arrow_schema = to_arrow_schema(out_schema)
 
     def run(batches):
-        for out in work(_chunks(batches)):
+        for out in work(_chunks(batches, chunk_bytes)):
             arrays = [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, type=f.type) for f in arrow_schema]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
 
     return df.select(*columns).mapInArrow(run, out_schema)
 
 
-def _chunks(batches) -> Iterator[dict]:
+def _chunks(batches, chunk_bytes: int) -> Iterator[dict]:
     for batch in batches:
         table = {}
         sizes = np.zeros(batch.num_rows, dtype=np.int64)
@@ -73,7 +73,7 @@ def _chunks(batches) -> Iterator[dict]:
             table[name] = column
         if not batch.num_rows:
             continue
-        cut = np.cumsum(sizes) // CHUNK_BYTES
+        cut = np.cumsum(sizes) // chunk_bytes
         starts = np.flatnonzero(np.diff(cut, prepend=-1))
         for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
             yield {name: column.slice(lo, hi - lo).to_pylist() for name, column in table.items()}

@@ -33,6 +33,8 @@ from lodestar.llm.language_id import held_out
 END = b"\n"
 #: Distinct words, and grams, that a task holds before it emits their counts.
 HELD = 400_000
+#: Bytes of text whose grams a task counts, and scores, at a time: arrays of some 100 bytes for each.
+COUNTED_BYTES, SCORED_BYTES = 2 << 20, 1 << 20
 #: Mean number of grams that are weighted together.
 GROUP_GRAMS = 50_000
 
@@ -130,7 +132,7 @@ def counts(docs: DataFrame, rules: ContextTree) -> DataFrame:
             yield {"key": gram_bytes(seen[0]), "n_all": seen[1][:, 0], "n_train": seen[1][:, 1]}
 
     rows = docs.select("text", held_out(F.col("doc_id"), rules.folds, rules.held).alias("held_out"))
-    return map_batches(rows, ["text", "held_out"], "key binary, n_all long, n_train long", work).groupBy("key").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train"))
+    return map_batches(rows, ["text", "held_out"], "key binary, n_all long, n_train long", work, COUNTED_BYTES).groupBy("key").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train"))
 
 
 # ---------------------------------------------------------------- weighting
@@ -375,7 +377,7 @@ def context_tree_score(docs: DataFrame, rules: ContextTree = ContextTree()) -> D
 
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id"), rules.folds, rules.held).alias("held_out"))
     schema = "row long, doc_id long, held_out boolean, key binary, n long, n_tokens long, known0 long, base0 double, score0 double, n_bytes long"
-    parts = map_batches(rows, ["doc_id", "text", "held_out"], schema, work)
+    parts = map_batches(rows, ["doc_id", "text", "held_out"], schema, work, SCORED_BYTES)
     # A document's own row has a key that no table row has. Frequent keys aren't among the others.
     joined = parts.join(table.select("key", "base", "ctw", "known"), "key", "left")
     total = joined.groupBy("row").agg(
