@@ -30,6 +30,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run, as [0-9a-f]+ would take it
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})\Z|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 #: Parts are a capital or not and small letters, capitals, or digits.
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: Short parts of one case, joined by marks.
+JOINED = re.compile(r"[A-Z0-9]{1,12}(?:[_-][A-Z0-9]{1,12})+\Z|[a-z0-9]{1,12}(?:[_-][a-z0-9]{1,12})+\Z")
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,7 @@ class SecretScan:
 
     min_chars: int = 16
     max_chars_per_token: float = 2.2
-    max_chars_per_token_letters: float = 1.8
+    max_chars_per_token_letters: float = 1.95
     vocabulary: str | None = None
 
 
@@ -60,7 +62,11 @@ def load_encoding(path: str):
 
 def is_identifier(run: str, least: float, encode) -> bool:
     """Whether run reads as words and numbers: letter parts of three or more on average, each taken for itself of ``least``
-    characters per token together, and few changes between letters and digits."""
+    characters per token together, and few changes between letters and digits; or short parts of one case joined by marks, at most
+    half of them with both letters and digits (abbreviations, which take many tokens)."""
+    if JOINED.match(run):
+        joined_parts = re.split("[_-]", run)
+        return 2 * sum(not p.isalpha() and not p.isdigit() for p in joined_parts) <= len(joined_parts)
     parts = PART.findall(run)
     letters = [p for p in parts if p[0].isalpha()]
     n_letters = sum(map(len, letters))
