@@ -49,20 +49,28 @@ def _one_of(v: Column, name: str, words: list[str], otherwise: str) -> Column:
     return F.when(s.isin(words), s).otherwise(otherwise)
 
 
+def rubric_of(df: DataFrame, answer: str) -> DataFrame:
+    """df with the five answers of the rubric from a model's answer, the worst where there is none, and readable: whether it has JSON of the right form."""
+    v = F.col("_v")
+    df = df.withColumn("_v", F.try_parse_json(X.json_slice(F.coalesce(F.col(answer), F.lit("")))))
+    relevant = (_kind(v, "is_relevant") == "BOOLEAN") | ~F.coalesce(F.schema_of_variant(v), F.lit("")).contains("is_relevant: ")
+    return df.withColumns({
+        "readable": F.coalesce((_kind(v, "is_valid") == "BOOLEAN") & (_kind(v, "reason") == "STRING") & relevant, F.lit(False)),
+        "primary_source": _is_true(v, "is_primary_source"), "has_links": _is_true(v, "has_evidence_links"), "has_numbers": _is_true(v, "has_concrete_numbers"),
+        "balance": _one_of(v, "claim_evidence_balance", BALANCE, "unsupported"), "marketing": _one_of(v, "marketing_intensity", MARKETING, "high"),
+    })
+
+
 def triaged(df: DataFrame, answer: str = "triage_answer", error: str = "triage_failure", topics: tuple[str, ...] = (), exclusions: tuple[str, ...] = ()) -> DataFrame:
     """States after triage. A failure of the model (error not null) is kept for another try. An answer without JSON, or whose is_valid isn't a
     boolean or reason no string, makes a state invalid. With topics, what isn't relevant loses all results; a hit of an excluded term in the text seen or in the summary
     leaves trust 0; all others get trust from the rubric, and summary and category if valid."""
     v = F.col("_v")
-    df = df.withColumn("_v", F.try_parse_json(X.json_slice(F.coalesce(F.col(answer), F.lit("")))))
-    relevant = _kind(v, "is_relevant")
-    read = (_kind(v, "is_valid") == "BOOLEAN") & (_kind(v, "reason") == "STRING") & ((_kind(v, "is_relevant") == "BOOLEAN") | ~F.coalesce(F.schema_of_variant(v), F.lit("")).contains("is_relevant: "))
+    df = rubric_of(df, answer)
     df = df.withColumns({
-        "_failed": F.col(error).isNotNull(), "_read": F.coalesce(read, F.lit(False)) & F.col(error).isNull(),
+        "_failed": F.col(error).isNotNull(), "_read": F.col("readable") & F.col(error).isNull(),
         "_summary": F.substring(_string(v, "summary"), 1, SUMMARY), "_category": F.coalesce(*[F.when(F.lower(_string(v, "category")) == c.lower(), c) for c in CATEGORIES], F.lit("Alpha")),
-        "_dull": F.lit(bool(topics)) & (relevant == "BOOLEAN") & ~_is_true(v, "is_relevant"), "_valid": _is_true(v, "is_valid"),
-        "primary_source": _is_true(v, "is_primary_source"), "has_links": _is_true(v, "has_evidence_links"), "has_numbers": _is_true(v, "has_concrete_numbers"),
-        "balance": _one_of(v, "claim_evidence_balance", BALANCE, "unsupported"), "marketing": _one_of(v, "marketing_intensity", MARKETING, "high"),
+        "_dull": F.lit(bool(topics)) & (_kind(v, "is_relevant") == "BOOLEAN") & ~_is_true(v, "is_relevant"), "_valid": _is_true(v, "is_valid"),
     })
     seen = F.concat(F.substring("raw_text", 1, SEEN), F.lit(" "), F.coalesce("_summary", F.lit("")))
     hit = F.col("_read") & (F.size(X.term_hits(seen, list(exclusions))) > 0) if exclusions else F.lit(False)
@@ -75,7 +83,7 @@ def triaged(df: DataFrame, answer: str = "triage_answer", error: str = "triage_f
         "triage_error": F.when(F.col("_failed"), F.coalesce(F.nullif(F.col(error), F.lit("")), F.lit("error"))),
     }
     df = df.withColumns(out).withColumns({c: F.when(F.col("_judged"), F.col(c)) for c in ("primary_source", "has_links", "has_numbers", "balance", "marketing")})
-    return df.drop(*[c for c in df.columns if c.startswith("_")], answer, error)
+    return df.drop(*[c for c in df.columns if c.startswith("_")], "readable", answer, error)
 
 
 def digested(df: DataFrame, answer: str = "digest_answer", least: int = 1000, least_out: int = 150) -> DataFrame:

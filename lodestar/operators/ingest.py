@@ -175,15 +175,70 @@ def digest_accepted(digest: Column, summary: Column, least: int = 150) -> Column
     return F.coalesce((F.char_length(digest) >= least) & (fold(digest) != F.coalesce(fold(summary), F.lit(""))), F.lit(False))
 
 
+def added(requests: DataFrame, known: DataFrame) -> DataFrame:
+    """Outcome and reason of requests (url, final_url after redirects, content, failure of the fetch, triage_error, is_valid, saved) to add an address,
+    the first that applies: refused by form or by a host inside a network, known already, not fetched, empty, known under its final address, not judged, judged
+    unfit, not saved; else created. known: (source_url)."""
+    there = known.select("source_url").distinct()
+    df = requests.join(there.select(F.col("source_url").alias("url"), F.lit(True).alias("_known")), "url", "left")
+    df = df.join(there.select(F.col("source_url").alias("final_url"), F.lit(True).alias("_known_then")), "final_url", "left")
+    form = urls.url_status(F.col("url"))
+    steps = [
+        (form != "ok", "rejected", form),
+        (~X.safe_address("url"), "rejected", F.lit("inner_host")),
+        (F.col("_known"), "duplicate", F.lit("known")),
+        (F.col("failure").isNotNull(), "error", F.concat(F.lit("fetch: "), "failure")),
+        (X.stripped(F.coalesce("content", F.lit(""))) == "", "error", F.lit("empty")),
+        (F.col("_known_then"), "duplicate", F.lit("known_after_redirect")),
+        (F.col("triage_error").isNotNull(), "error", F.lit("triage")),
+        (~F.coalesce("is_valid", F.lit(False)), "rejected", F.lit("unfit")),
+        (~F.coalesce("saved", F.lit(False)), "error", F.lit("not_saved")),
+    ]
+    outcome, reason = F.lit("created"), F.lit(None).cast("string")
+    for applies, what, why in reversed(steps):
+        outcome, reason = F.when(applies, what).otherwise(outcome), F.when(applies, why).otherwise(reason)
+    return df.withColumns({"outcome": outcome, "reason": reason}).drop("_known", "_known_then")
+
+
 def add_url_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome of adding addresses: rejected with a reason, duplicate, or created (pages, some of them spoilt by id)."""
+    """Outcomes of adding the pages' addresses, which fail in every way by id."""
     i = F.col("page_id")
-    raw = T.read(spark, sf_dir, "pages").select(i, F.when(i % 5 == 0, F.lit("")).when(i % 5 == 1, F.concat(F.lit("ftp:"), F.substring_index("url", ":", -1))).when(i % 5 == 2, F.concat("url", F.lit("#new"))).otherwise(F.col("url")).alias("url"))
-    known = T.items(spark, sf_dir, "source_url").select(F.col("source_url").alias("url"), F.lit(True).alias("known")).distinct()
-    df = raw.join(known, "url", "left")
-    status = urls.url_status(F.col("url"))
-    outcome = F.when(status != "ok", "rejected").when(F.col("known"), "duplicate").otherwise("created")
-    return df.select("page_id", outcome.alias("outcome"), F.when(status != "ok", status).alias("reason"))
+    k = i % 13
+    u = F.col("url")
+    requests = T.read(spark, sf_dir, "pages").select(
+        i, F.when(k == 0, "").when(k == 1, F.concat(F.lit("ftp:"), F.substring_index(u, ":", -1))).when(k == 2, F.lit("http://127.0.0.1/x")).when(k == 3, u).otherwise(F.concat(u, F.lit("#new"))).alias("url"),
+        F.when(k == 6, u).otherwise(F.concat(u, F.lit("#new"))).alias("final_url"), F.when(k == 5, " \n ").otherwise("text").alias("content"), F.when(k == 4, "timeout").alias("failure"),
+        F.when(k == 7, "down").alias("triage_error"), (k != 8).alias("is_valid"), (k != 9).alias("saved"),
+    )
+    return added(requests, T.items(spark, sf_dir, "source_url")).select("page_id", "outcome", "reason")
+
+
+def title_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that cleaning changes, as they become; every fourth is kept with mark-up."""
+    kept = T.items(spark, sf_dir, "id", "title").withColumn("kept", F.when(F.col("id") % 4 == 0, F.concat(F.lit("<b>"), "title", F.lit("</b>"))).otherwise(F.regexp_replace("title", r"\s+", " ")))
+    return kept.withColumn("new", X.clean_title("kept")).where(F.col("new") != F.col("kept")).select("id", "new")
+
+
+def digest_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items without a digest that get one: long enough, and answered (made from the id) with enough that isn't the summary; what has one keeps it."""
+    i = F.col("id")
+    answer = X.drop_think(F.concat(F.lit("<think>x</think>"), F.repeat(F.lit("word "), (i % 60).cast("int"))))
+    df = T.items(spark, sf_dir, "id", "raw_content").withColumns({"digest": F.when(i % 10 == 0, "there"), "answer": answer, "summary": F.when(i % 7 == 0, F.upper(answer))})
+    fits = (F.char_length(X.stripped(F.coalesce("raw_content", F.lit("")))) >= 1000) & digest_accepted(F.col("answer"), F.col("summary"))
+    return df.where(F.col("digest").isNull() & fits).select("id", F.char_length("answer").alias("n"))
+
+
+def trust_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items without a rubric with one from answers (by id: parsable or not), and trust with today's corroboration."""
+    from lodestar.functions import scores
+    from lodestar.operators.batch import rubric_of
+
+    i = F.col("id")
+    answer = F.when(i % 5 == 0, "no json").otherwise(F.concat(F.lit('{"is_valid": true, "reason": "r", "is_primary_source": '), F.when(i % 2 == 0, "true").otherwise("null"), F.lit(', "claim_evidence_balance": "BALANCED", "marketing_intensity": "medium"}')))
+    df = T.items(spark, sf_dir, "id", "source_url", "corroboration_count", "has_rubric").where(~F.col("has_rubric")).withColumn("answer", answer)
+    df = rubric_of(df, "answer").where("readable")
+    trust = scores.synthesize_trust(scores.score_rubric(*[F.col(c) for c in T.RUBRIC[1:]]), scores.source_prior(urls.domain(F.col("source_url"))), scores.corroboration_score(F.col("corroboration_count")))
+    return df.select("id", F.round(trust, 6).alias("trust"))
 
 
 def resolve_events(spark: SparkSession, sf_dir: str, hops: int = HOPS) -> DataFrame:

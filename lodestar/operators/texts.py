@@ -158,13 +158,32 @@ def entity_names(spark: SparkSession, sf_dir: str, ratio: float = 0.5, least_bat
     return per_doc.join(good, "name", "left_semi").select("doc_id", "name", "surface")
 
 
-def log_summary(lines: DataFrame, ok: str, failed: str) -> DataFrame:
-    """(value) lines of a log with a number: whether its last marker is one of success, and the number of that line."""
-    numbered = lines.select("line", F.col("value").rlike(ok).alias("ok"), F.col("value").rlike(failed).alias("failed"))
-    last = numbered.agg(F.max(F.when(F.col("ok"), F.col("line"))).alias("ok_line"), F.max(F.when(F.col("failed"), F.col("line"))).alias("failed_line"))
-    return last.select("ok_line", "failed_line", (F.col("ok_line").isNotNull() & (F.coalesce("failed_line", F.lit(-1)) < F.col("ok_line"))).alias("succeeded"))
+def log_summary(lines: DataFrame, ok: str, failed: str, counters: dict[str, str] | None = None) -> DataFrame:
+    """(line, value) lines of a log: the numbers of the last marker of success and of failure, whether success came last, and, if so, what the first
+    line behind that fits each counter's pattern says in its group. Two aggregates; the log isn't sorted."""
+    marked = lines.select("line", "value", F.col("value").rlike(ok).alias("ok"), F.col("value").rlike(failed).alias("failed"))
+    last = marked.agg(F.max(F.when(F.col("ok"), F.col("line"))).alias("ok_line"), F.max(F.when(F.col("failed"), F.col("line"))).alias("failed_line"))
+    last = last.withColumn("succeeded", F.col("ok_line").isNotNull() & (F.coalesce("failed_line", F.lit(-1)) < F.col("ok_line")))
+    if not counters:
+        return last
+    behind = marked.crossJoin(F.broadcast(last)).where(F.col("succeeded") & (F.col("line") >= F.col("ok_line")))  # one row
+    said = behind.agg(*[F.min_by(F.regexp_extract("value", p, 1), F.when(F.col("value").rlike(p), F.col("line"))).alias(name) for name, p in counters.items()])
+    return last.crossJoin(said)
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a log with a line for each event."""
+    i = F.col("event_id")
+    value = F.when(i % 97 == 0, "run done").when(i % 89 == 0, "Traceback (most recent call last)").when(i % 10 == 3, F.concat(F.lit("saved: "), i.cast("string"))).otherwise("note")
+    return log_summary(T.read(spark, sf_dir, "events").select(i.alias("line"), value.alias("value")), "^run done", "^Traceback", {"saved": r"^saved: (\d+)"})
 
 
 def newest(files: DataFrame, keep: int) -> DataFrame:
-    """(name) of all but the keep newest files: what pruning removes."""
-    return files.withColumn("_n", F.row_number().over(Window.orderBy(F.desc("name")))).where(F.col("_n") > keep).drop("_n")
+    """(name) of all but the keep newest files: what pruning removes. The newest are a bounded page, so no order over all is made."""
+    names = [r.name for r in files.orderBy(F.desc("name")).limit(keep).select("name").collect()]
+    return files.where(~F.col("name").isin(names)) if names else files
+
+
+def pruned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pruning to seven removes of a file for each part."""
+    return newest(T.read(spark, sf_dir, "part").select(F.concat(F.lit("backup-"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("name")), 7)

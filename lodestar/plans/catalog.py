@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from lodestar.functions.scores import DOMAIN_SQL, NETLOC_SQL, TRUST_SQL
+from lodestar.functions.scores import DOMAIN_SQL, NETLOC_SQL, PRIOR_SQL, TRUST_SQL
 from lodestar.functions.text import REJECTED
 from lodestar.operators import batch, collect, ingest, pages, ranking, reads, texts
 from lodestar.plans import scale
@@ -81,6 +81,11 @@ QUERIES = {
     "event_batch_valid": ingest.event_batch_valid,
     "favicon_backfill": ingest.favicon_backfill,
     "digest_candidates": ingest.digest_candidates,
+    "digest_backfill": ingest.digest_backfill,
+    "title_backfill": ingest.title_backfill,
+    "trust_backfill": ingest.trust_backfill,
+    "run_log": texts.run_log,
+    "pruned_files": texts.pruned_files,
     "add_url_status": ingest.add_url_status,
     "resolve_events": ingest.resolve_events,
     "event_documents": ingest.event_evidence,
@@ -255,9 +260,20 @@ ORACLE_SQL = {
     "event_batch_valid": """SELECT event_id, CASE event_type WHEN 'view' THEN 'impression' WHEN 'click' THEN 'click' ELSE 'dwell' END AS kind, event_id % 1500 AS tech_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value
       FROM events WHERE event_type IN ('view', 'click', 'purchase') AND event_id % 13 <> 0 AND event_id % 1500 IN (SELECT doc_id FROM documents)""",
     "favicon_backfill": f"{VIEWS_SQL} SELECT id, CASE WHEN id % 10 = 0 THEN 'https://img/' || id ELSE lower(regexp_extract(source_url, '^([A-Za-z]+)://', 1)) || '://' || {NETLOC_SQL} || '/favicon.ico' END AS image_url FROM items",
+    "run_log": """WITH l AS (SELECT event_id AS line, CASE WHEN event_id % 97 = 0 THEN 'run done' WHEN event_id % 89 = 0 THEN 'Traceback (most recent call last)' WHEN event_id % 10 = 3 THEN 'saved: ' || event_id ELSE 'note' END AS value FROM events),
+      m AS (SELECT max(line) FILTER (WHERE value = 'run done') AS ok_line, max(line) FILTER (WHERE value LIKE 'Traceback%') AS failed_line FROM l)
+      SELECT ok_line, failed_line, ok_line IS NOT NULL AND coalesce(failed_line, -1) < ok_line AS succeeded,
+        CASE WHEN ok_line IS NOT NULL AND coalesce(failed_line, -1) < ok_line THEN (SELECT arg_min(substr(value, 8), line) FROM l WHERE value LIKE 'saved: %' AND line > ok_line) END AS saved FROM m""",
+    "pruned_files": "SELECT 'backup-' || lpad(p_partkey::VARCHAR, 7, '0') AS name FROM part ORDER BY name DESC OFFSET 7",
     "digest_candidates": f"{VIEWS_SQL} SELECT id, length(trim(raw_content)) AS n FROM items WHERE length(trim(raw_content)) >= 1000",
-    "add_url_status": f"""{VIEWS_SQL}, r AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'ftp:' || regexp_extract(url, '.*:(.*)$', 1) WHEN 2 THEN url || '#new' ELSE url END AS url FROM pages)
-      SELECT page_id, CASE WHEN page_id % 5 < 2 THEN 'rejected' WHEN url IN (SELECT source_url FROM items) THEN 'duplicate' ELSE 'created' END AS outcome, CASE page_id % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'bad_scheme' END AS reason FROM r""",
+    "add_url_status": f"""{VIEWS_SQL}, r AS (SELECT page_id, page_id % 13 AS k, CASE WHEN page_id % 13 = 3 THEN url ELSE url || '#new' END AS url, url AS final_url FROM pages),
+      o AS (SELECT page_id, CASE WHEN k = 0 THEN 'rejected:empty' WHEN k = 1 THEN 'rejected:bad_scheme' WHEN k = 2 THEN 'rejected:inner_host' WHEN url IN (SELECT source_url FROM items) THEN 'duplicate:known' WHEN k = 4 THEN 'error:fetch: timeout' WHEN k = 5 THEN 'error:empty'
+        WHEN k = 6 AND final_url IN (SELECT source_url FROM items) THEN 'duplicate:known_after_redirect' WHEN k = 7 THEN 'error:triage' WHEN k = 8 THEN 'rejected:unfit' WHEN k = 9 THEN 'error:not_saved' ELSE 'created' END AS o FROM r)
+      SELECT page_id, split_part(o, ':', 1) AS outcome, CASE WHEN contains(o, ':') THEN substr(o, strpos(o, ':') + 1) END AS reason FROM o""",
+    "title_backfill": f"{VIEWS_SQL} SELECT id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS new FROM items WHERE id % 4 = 0 OR trim(regexp_replace(title, '\\s+', ' ', 'g')) <> regexp_replace(title, '\\s+', ' ', 'g')",
+    "digest_backfill": f"""{VIEWS_SQL} SELECT id, (5 * (id % 60) - 1)::INTEGER AS n FROM items WHERE id % 10 <> 0 AND length(regexp_replace(raw_content, '^\\s+|\\s+$', '', 'g')) >= 1000 AND 5 * (id % 60) - 1 >= 150 AND id % 7 <> 0""",
+    "trust_backfill": f"""{VIEWS_SQL} SELECT id, round(least(1.0, 0.6::DOUBLE * (CASE WHEN id % 2 = 0 THEN 0.25::DOUBLE ELSE 0 END + 0.2::DOUBLE + 0.07::DOUBLE) + 0.2::DOUBLE * ({PRIOR_SQL}) + 0.2::DOUBLE * least(coalesce(corroboration_count, 0), 3) / 3), 6) AS trust
+      FROM items WHERE NOT has_rubric AND id % 5 <> 0""",
     "resolve_events": VIEWS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, walk AS (SELECT event_id, event_id AS pos, [event_id] AS seen, 0 AS hop FROM tech_events
       UNION ALL SELECT w.event_id, t.merged_into, list_append(w.seen, t.merged_into), hop + 1 FROM walk w JOIN tech_events t ON t.event_id = w.pos WHERE t.merged_into IS NOT NULL AND NOT list_contains(w.seen, t.merged_into) AND hop < 8)
       SELECT event_id, arg_max(pos, hop) AS resolved_id FROM walk GROUP BY event_id""",

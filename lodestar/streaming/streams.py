@@ -35,15 +35,40 @@ def rolling_counts(df: DataFrame, late: str = "1 hour", window: str = "7 days",
 
 
 def append_existing(df: DataFrame, items: DataFrame, target: str, checkpoint: str, key: str = "event_id") -> StreamingQuery:
-    """Appends events of existing items to a Parquet table. A batch that is run again adds nothing: rows that are there already are left
-    out by key, and items is read anew for each batch."""
+    """Appends events of existing items to a Parquet table, by day. A batch that is run again adds nothing: rows that are there already are left
+    out by key, of the days of the batch alone, and items is read anew for each batch."""
 
     def write(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates([key]).join(items.select("tech_id"), "tech_id", "left_semi").select(key, "kind", "tech_id", "value", "at")
+        rows = batch.dropDuplicates([key]).join(items.select("tech_id"), "tech_id", "left_semi").select(key, "kind", "tech_id", "value", "at", F.to_date("at").alias("day"))
         if _exists(spark, target):
-            rows = rows.join(spark.read.parquet(target).select(key), key, "left_anti")
-        rows.write.mode("append").parquet(target)
+            days = [r.day for r in rows.select("day").distinct().collect()]
+            rows = rows.join(spark.read.parquet(target).where(F.col("day").isin(days)).select(key), key, "left_anti")
+        rows.write.mode("append").partitionBy("day").parquet(target)
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def queue_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The queue as the last run left it; empty before the first one."""
+    runs = sorted(_children(spark, path), key=lambda name: int(name.split("=")[1]))
+    return spark.read.schema(schema).parquet(f"{path}/{runs[-1]}") if runs else spark.createDataFrame([], schema)
+
+
+def next_queue(queue: DataFrame, path: str) -> None:
+    """Writes the queue for the next run beside the ones before, so that a run that fails leaves the last one in place."""
+    runs = [int(name.split("=")[1]) for name in _children(queue.sparkSession, path)]
+    queue.write.parquet(f"{path}/run={max(runs, default=0) + 1}")
+
+
+def stage(df: DataFrame, known: DataFrame, path: str, schema: str, checkpoint: str, key: str = "source_url") -> StreamingQuery:
+    """Adds what is new of a stream of crawled rows to the queue: rows whose key neither known nor the queue has. Rows for another try stay, as no run
+    drops a row that ``next_queue`` doesn't."""
+
+    def write(batch: DataFrame, _epoch: int) -> None:
+        queue = queue_of(batch.sparkSession, path, schema)
+        fresh = batch.dropDuplicates([key]).join(known.select(key), key, "left_anti").join(queue.select(key), key, "left_anti").select(*queue.columns)
+        next_queue(queue.unionByName(fresh), path)
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -59,6 +84,15 @@ def alert_once(pairs: DataFrame, history: DataFrame) -> DataFrame:
     return pairs.join(marks, (pairs["asset_id"] == marks["asset_id"]) & (pairs["other_id"].cast("string") == marks["m"]), "left_anti")
 
 
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished runs in a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return [f.getName() for f in found if f.getName().startswith("run=") and fs.exists(done(f, "_SUCCESS"))]
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

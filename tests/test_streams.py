@@ -42,3 +42,20 @@ def test_alert_once(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "asset_id long, other_id long")
     history = spark.createDataFrame([(1, "2")], "asset_id long, changed_from string")
     assert [tuple(r) for r in streams.alert_once(pairs, history).collect()] == [(1, 3)]
+
+
+def test_queue_is_carried(spark, tmp_path):
+    """New rows are staged once, rows for another try stay over runs, processed ones go."""
+    src, path, schema = tmp_path / "in", str(tmp_path / "queue"), "source_url string, published_s long"
+    src.mkdir()
+    known = spark.createDataFrame([("k",)], "source_url string")
+
+    def run(name, *urls):
+        (src / f"{name}.json").write_text("\n".join(json.dumps({"source_url": u, "published_s": 1}) for u in urls))
+        streams.stage(streams.events(spark, str(src), schema), known, path, schema, str(tmp_path / "c")).awaitTermination()
+        return sorted(r.source_url for r in streams.queue_of(spark, path, schema).collect())
+
+    assert streams.queue_of(spark, path, schema).count() == 0
+    assert run("a", "k", "x", "x", "y") == ["x", "y"]
+    streams.next_queue(streams.queue_of(spark, path, schema).where("source_url <> 'x'"), path)
+    assert run("b", "y", "z") == ["y", "z"]
