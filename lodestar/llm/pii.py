@@ -10,7 +10,7 @@ The trees learn what the strict rules can't see: strict spans serve as positives
 address without ``@``, a telephone number without plus and country code, a card with dots), in the context of the strict span and for each generator that would
 propose the form whole. Negatives are the candidates that the trees would judge, those that overlap no strict span, apart from
 ones whose context or form speaks for personal data (``_unsure``): these have no label. Addresses whose host lost its
-domain are negatives too. Half of all rows by hash fit the trees, of these ``sample_rows`` of least hash; the other half, all of it, sets each
+domain, order numbers of a telephone number's digits and cards a digit short are negatives too. Half of all rows by hash fit the trees, of these ``sample_rows`` of least hash; the other half, all of it, sets each
 generator's threshold: the least score at which precision reaches ``precision`` with ``least_rows`` rows or more. A generator for
 which no score does, or that has fewer than ``least_rows`` held-out negatives, adds nothing. The trees are then written out as one Column expression, so scoring is a
 projection without a shuffle, and no text leaves its row.
@@ -151,10 +151,15 @@ VARIANTS = [
     # As many dots with a domain as without one, so that their number doesn't stand for it.
     ("email", r"^(?:.*[^A-Za-z0-9])?([A-Za-z0-9]+)@.*?([A-Za-z0-9-]+\.[A-Za-z]{2,})$", "$1 (at) $2", 1.0),
     ("email", r"^(?:.*[^A-Za-z0-9])?([A-Za-z0-9]+)@([A-Za-z0-9-]+).*", "$1 (at) $2", 0.0),
+    # Two short words, as in any sentence.
+    ("email", r"^[^A-Za-z]*([A-Za-z]{1,5}).*@([A-Za-z]{1,4}).*", "$1 (at) $2", 0.0),
     ("phone", r"^\+[0-9]{1,3}[ .-]+(?=\()", "", 1.0),
     ("phone", r"^\+[0-9]{1,3}[ .-]+(?=[1-9])", "0", 1.0),
     ("phone", r"^\+[0-9]{1,3}[ .-]*\(0?([0-9]+)\)", "0$1", 1.0),
     ("card", "[ -]", ".", 1.0),
+    # What only looks like them: an order number of the same digits, a number that is a digit short and fails the check sum.
+    ("phone", r"^\+[0-9]{1,3}[ .-]*\(?0?([0-9]{2,4})\)?[ .-]*([0-9]{2,4})[ .-]*([0-9]{2})([0-9]{2})$", "$1$2-$3-$4", 0.0),
+    ("card", "[0-9]$", "", 0.0),
 ]
 
 
@@ -234,6 +239,8 @@ def _variant_rows(text: Column, rules: PiiRules) -> Column:
             if (kind == "email") == (name == "address"):
                 forms = F.transform(f"{WORK}_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["span"].alias("old"), F.regexp_replace(s["span"], pattern, instead).alias("span")))
                 forms = F.filter(forms, lambda s: (s["span"] != s["old"]) & s["span"].rlike(f"^(?:{loose})$"))
+                if kind == "card" and not label:
+                    forms = F.filter(forms, lambda s: luhn_rest(digits(s["span"])) != 0)
                 found.append(F.transform(forms, lambda s: F.struct(F.lit(i).alias("loose"), s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label"), _features(s, text, i, rules).alias("features"))))
     return F.concat(*found)
 

@@ -674,6 +674,22 @@ def test_trees_add_hidden_forms(spark):
     assert text[1000] == "call <PII> now" and text[1001] == "write to <PII> please" and text[1002] == odd[2][1]
 
 
+def test_planted_hidden_forms(spark, sf):
+    """Hidden addresses and national numbers among numbers that only look like them, in documents of the driver: recall and precision."""
+    d = documents(spark, sf.replace("0.001", "0.1"))
+    rng = np.random.default_rng(0)
+    planted, decoys = [], []
+    for k in range(200):
+        n = lambda size: "".join(map(str, rng.integers(0, 10, size)))
+        planted.append((10**7 + k, [f"please write to ann.lee{k} (at) mail{k}.example.org about it", f"call me on ({rng.integers(200, 999)}) {n(3)}-{n(4)} after six"][k % 2]))
+        decoys.append((2 * 10**7 + k, [f"order {n(6)}-{n(2)}-{n(2)} was sent", f"version {k % 9}.{n(2)}.{n(1)} and {n(4)}-0{k % 9 + 1}-1{k % 9}", f"in total {k + 1} 000 000 pieces", f"we met (at) noon{k} and left", f"number 4{n(14)}"][k % 5]))
+    df = d.select("doc_id", "text").unionByName(spark.createDataFrame(planted + decoys, "doc_id long, text string"))
+    got = table(pii.pii(df).where("doc_id >= 10000000"))
+    hits = sum(got[i].n_boosted + got[i].n_phone + got[i].n_email > 0 for i, _ in planted)
+    wrong = sum(got[i].n_boosted > 0 for i, _ in decoys)
+    assert hits >= 0.9 * len(planted) and hits >= 0.95 * (hits + wrong), (hits, wrong)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
