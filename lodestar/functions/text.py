@@ -8,6 +8,7 @@ import html
 import ipaddress
 import re
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -381,9 +382,17 @@ def simhash_text(text: str) -> str:
     return " ".join(kept.split()) or " ".join(folded.split())
 
 
-def simhashes(texts: list[str | None], size: int = 4) -> np.ndarray:
-    """64-bit SimHashes over character grams, as signed numbers; 0 for empty text. Each distinct gram of all texts is hashed once; a text
-    shorter than a gram is one."""
+def blake2b_8(gram: bytes) -> bytes:
+    return hashlib.blake2b(gram, digest_size=8).digest()
+
+
+def md5_8(gram: bytes) -> bytes:
+    return hashlib.md5(gram).digest()[:8]
+
+
+def simhashes(texts: list[str | None], size: int = 4, digest: Callable[[bytes], bytes] = blake2b_8) -> np.ndarray:
+    """64-bit SimHashes over character grams, as signed numbers; 0 for empty text. Each distinct gram of all texts is hashed once, to the eight
+    bytes of digest, highest first; a text shorter than a gram is one."""
     folded = [simhash_text(t) if t else "" for t in texts]
     out = np.zeros(len(folded), dtype=np.int64)
     long = [k for k, t in enumerate(folded) if len(t) >= size]
@@ -399,7 +408,7 @@ def simhashes(texts: list[str | None], size: int = 4) -> np.ndarray:
             # More letters than a number has room for: gram by gram.
             for k in some:
                 grams = [folded[k][i : i + size] for i in range(len(folded[k]) - size + 1)]
-                out[k] = _numbers(_bits(grams).sum(axis=1)[None, :])[0]
+                out[k] = _numbers(_bits(grams, digest).sum(axis=1)[None, :])[0]
             continue
         for j in range(size):
             keys = (keys << np.uint64(width)) | ids[j : j + len(keys)].astype(np.uint64)
@@ -411,12 +420,12 @@ def simhashes(texts: list[str | None], size: int = 4) -> np.ndarray:
         mask = np.uint64((1 << width) - 1)
         places = np.stack([(distinct >> np.uint64(width * (size - 1 - j))) & mask for j in range(size)], axis=1).astype(np.int64)
         grams = letters[places].astype("<u4").tobytes().decode("utf-32-le")
-        votes = _bits([grams[i : i + size] for i in range(0, len(grams), size)])
+        votes = _bits([grams[i : i + size] for i in range(0, len(grams), size)], digest)
         first = np.concatenate([[0], np.cumsum(ends - starts - size + 1)[:-1]])
         out[some] = _numbers(np.stack([np.add.reduceat(votes[b][of], first) for b in range(64)], axis=1))
     short = [k for k, t in enumerate(folded) if 0 < len(t) < size]
     if short:
-        out[short] = _numbers(_bits([folded[k] for k in short]).T)
+        out[short] = _numbers(_bits([folded[k] for k in short], digest).T)
     return out
 
 
@@ -431,9 +440,9 @@ def _slices(lengths: list[int]):
     yield from zip(starts, [*starts[1:], len(lengths)])
 
 
-def _bits(grams: list[str]) -> np.ndarray:
+def _bits(grams: list[str], digest: Callable[[bytes], bytes]) -> np.ndarray:
     """Votes (1 or -1) of each gram's hash, by bit from the lowest."""
-    hashes = np.frombuffer(b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams), dtype=">u8").astype("<u8")
+    hashes = np.frombuffer(b"".join(digest(g.encode()) for g in grams), dtype=">u8").astype("<u8")
     return 2 * np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T.astype(np.int32) - 1
 
 
@@ -451,5 +460,11 @@ def simhash64(texts: pd.Series) -> pd.Series:
     return pd.Series(simhashes(texts.tolist()))
 
 
+@F.pandas_udf(LongType())
+def simhash64_md5(texts: pd.Series) -> pd.Series:
+    """The same over MD5, which SQL engines have too."""
+    return pd.Series(simhashes(texts.tolist(), digest=md5_8))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))

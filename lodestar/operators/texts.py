@@ -71,17 +71,18 @@ def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "part").select("p_name").distinct().select(X.canonical_name("p_name").alias("name")).groupBy("name").agg(F.count("*").alias("spellings"))
 
 
-def simhash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(T.read(spark, sf_dir, "documents")).select("doc_id", X.simhash64("text").alias("simhash"))
+def simhash_docs(spark: SparkSession, sf_dir: str, md5: bool = False) -> DataFrame:
+    """The SimHash of every document; over MD5 if the fixed hash isn't asked for."""
+    return spread(T.read(spark, sf_dir, "documents")).select("doc_id", (X.simhash64_md5 if md5 else X.simhash64)("text").alias("simhash"))
 
 
-def simhash_groups(spark: SparkSession, sf_dir: str, distance: int = 3) -> DataFrame:
+def simhash_groups(spark: SparkSession, sf_dir: str, distance: int = 3, md5: bool = False) -> DataFrame:
     """Pairs a < b of distinct hashes within distance, each with its smallest document and number of documents.
 
     Hashes are made once and stored. Equal hashes are one row first, so copies aren't paired. By the pigeonhole principle two hashes within distance agree in one of distance + 1
     bands, so an equi-join on (band, bits) loses nothing.
     """
-    hashes = stored(simhash_docs(spark, sf_dir).groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "simhashes")
+    hashes = stored(simhash_docs(spark, sf_dir, md5).groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "simhashes")
     bands = distance + 1
     width = 64 // bands
     cut = [F.shiftrightunsigned("simhash", k * width).bitwiseAND(F.lit((1 << (width if k < bands - 1 else 64 - k * width)) - 1 if k < bands - 1 else -1 if k == 0 else (1 << (64 - k * width)) - 1)) for k in range(bands)]

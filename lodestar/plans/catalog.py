@@ -104,6 +104,11 @@ QUERIES = {
     "canonical_names": texts.canonical_names,
     "simhash_docs": texts.simhash_docs,
     "near_dup_pairs": texts.simhash_groups,
+    "simhash_docs_md5": partial(texts.simhash_docs, md5=True),
+    "near_dup_pairs_md5": partial(texts.simhash_groups, md5=True),
+    "item_by_id": lambda s, d: T.items(s, d, "id", "title", "source_url", "category", "created_s").where("id = 7"),
+    "item_by_url": lambda s, d: T.items(s, d, "id", "source_url").where("source_url = 'https://github.com/own23/repo23'").select("id"),
+    "vector_search_keep": partial(ranking.search_topk, category="alpha", status="keep"),
     "exact_dup_groups": texts.exact_dup_groups,
     "entity_doc_freq": texts.entity_doc_freq,
     "entity_names": texts.entity_names,
@@ -128,6 +133,14 @@ _SPREAD = """walk AS (
 _PAGE = """front AS (SELECT id, feed_score, eff_s, row_number() OVER (ORDER BY feed_score DESC NULLS LAST, eff_s DESC, id DESC) - 1 AS place, {domain} AS domain, feed_score IS NOT NULL AS scored
   FROM scored ORDER BY feed_score DESC NULLS LAST, eff_s DESC, id DESC LIMIT 20),
 rows20 AS (SELECT *, min(place) OVER (PARTITION BY domain, scored) AS seen FROM front)""".format(domain=DOMAIN_SQL)
+#: Folded text by what the driver's texts hold; marks behind words and dots before names are put away while all others go.
+_FOLDED = r"""folded AS (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents),
+kept AS (SELECT doc_id, t, """ + "regexp_replace(" * 5 + "regexp_replace(t, '(^|[^\\p{L}\\p{N}_.])\\.(\\p{L})', '\\1 ' || chr(57346) || '\\2', 'g')" + ", '([\\p{L}\\p{N}_\\x{E001}])#', '\\1' || chr(57345), 'g')" * 5 + r""" AS k FROM folded),
+plain AS (SELECT doc_id, trim(regexp_replace(replace(replace(regexp_replace(k, '[^\p{L}\p{N}\p{M}\x{E001}\x{E002}]', ' ', 'g'), chr(57345), '#'), chr(57346), '.'), ' +', ' ', 'g')) AS p, trim(regexp_replace(t, '\s+', ' ', 'g')) AS whole FROM kept),
+texts AS (SELECT doc_id, CASE WHEN p = '' THEN whole ELSE p END AS t FROM plain),
+grams AS (SELECT doc_id, ('0x' || substr(md5(substr(t, spot, 4)), 1, 16))::UBIGINT AS h FROM (SELECT doc_id, t, unnest(range(1, greatest(length(t) - 3, 1) + 1)) AS spot FROM texts WHERE t <> '')),
+votes AS (SELECT doc_id, """ + " + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b}::HUGEINT ELSE 0 END" for b in range(64)) + f""" AS v FROM grams GROUP BY doc_id),
+hashes AS (SELECT d.doc_id, (CASE WHEN coalesce(v, 0) >= {1 << 63} THEN v - {1 << 64} ELSE coalesce(v, 0) END)::BIGINT AS simhash FROM documents d LEFT JOIN votes USING (doc_id))"""
 _REC, _LAT = "feed_score DESC NULLS LAST, eff_s DESC, id DESC", "eff_s DESC, id DESC"
 _BEHIND = f"(eff_s < {CURSOR[0]} OR (eff_s = {CURSOR[0]} AND id < {CURSOR[1]}))"
 _VEC = "emb AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vector FROM embeddings WHERE embedding IS NOT NULL AND vec_id IN (SELECT doc_id FROM documents))"
@@ -291,6 +304,13 @@ ORACLE_SQL = {
       SELECT page_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS content,
         NULL::BIGINT AS published_s, regexp_extract(source_url, '^([a-z]+)://', 1) || '://' || {NETLOC_SQL} || '/favicon.ico' AS image FROM plain""",
     "canonical_names": "SELECT trim(regexp_replace(regexp_replace(lower(p_name), '[-_/&,]+', ' ', 'g'), '\\s+', ' ', 'g')) AS name, count(DISTINCT p_name) AS spellings FROM part GROUP BY 1",
+    "simhash_docs_md5": f"WITH {_FOLDED} SELECT * FROM hashes",
+    "near_dup_pairs_md5": f"""WITH {_FOLDED}, g AS (SELECT simhash, min(doc_id) AS id, count(*) AS n FROM hashes GROUP BY simhash)
+      SELECT x.id AS a, y.id AS b, bit_count(xor(x.simhash, y.simhash))::INTEGER AS distance, x.n AS copies_a, y.n AS copies_b FROM g x JOIN g y ON x.id < y.id AND bit_count(xor(x.simhash, y.simhash)) <= 3""",
+    "item_by_id": f"{VIEWS_SQL} SELECT id, title, source_url, category, created_s FROM items WHERE id = 7",
+    "item_by_url": f"{VIEWS_SQL} SELECT id FROM items WHERE source_url = 'https://github.com/own23/repo23'",
+    "vector_search_keep": f"""{VIEWS_SQL}, {_VEC} SELECT id, round(1 - {_COS.format('vector', '(SELECT vector FROM emb WHERE id = 0)')}, 6) AS distance, title, category FROM emb JOIN items USING (id) JOIN assets ON tech_id = id
+      WHERE category = 'Alpha' AND status = 'Keep' ORDER BY distance, id LIMIT 10""",
     "domains_all": f"""SELECT page_id, {NETLOC_SQL} AS netloc, {DOMAIN_SQL} AS domain, regexp_replace(regexp_replace(lower({NETLOC_SQL}), '^.*@', ''), ':[0-9]*$', '') AS host, {NETLOC_SQL} AS briefing, 'RSS' AS label,
       regexp_extract(source_url, '^([a-z]+)://', 1) || '://' || {NETLOC_SQL} || '/favicon.ico' AS favicon,
       CASE WHEN len(parts) >= 2 THEN parts[1] || '/' || parts[2] END AS slug FROM (SELECT page_id, url AS source_url, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/'), lambda p: p <> '') AS parts FROM pages)""",
