@@ -8,7 +8,7 @@ w = P_e / (2 P_w). The model is frozen after training; score is the log10 probab
 -score / log10(2) / bytes is the code length per byte.
 
 Training counts are of (context, byte) grams and are summed by Spark. Nodes of depth 2 and more are worked out
-in groups of whole pairs of last bytes, of 256**3 grams a pair at most, as flat arrays; depth 1 is a plain aggregate of those, of 256 times 255 nodes at most. Scoring looks up a table of grams: the frequent ones (a share of 1 / 2**heavy_bits or more each, so 2**heavy_bits at most) are
+in groups of whole pairs of last bytes, those of more than SPLIT_GRAMS grams a pair in groups of whole triples, of 65,536 grams each at most; depth 1 is a plain aggregate of those, of 256 times 255 nodes at most. Scoring looks up a table of grams: the frequent ones (a share of 1 / 2**heavy_bits or more each, so 2**heavy_bits at most) are
 broadcast, all others travel as rows to a join; nothing is left out. Words for the unigram base score go the same way.
 
 Null text counts as empty: a stream of one end. Repeated rows are scored alike, row by row. With no training documents
@@ -37,6 +37,8 @@ HELD = 400_000
 COUNTED_BYTES, SCORED_BYTES = 2 << 20, 1 << 20
 #: Mean number of grams that are weighted together.
 GROUP_GRAMS = 50_000
+#: Grams of a pair of last bytes from which it is split.
+SPLIT_GRAMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -213,14 +215,15 @@ def weigh(key: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[np.ndar
     return p, *deeper
 
 
-def model(tally: DataFrame, rules: ContextTree) -> DataFrame:
-    """(key, ctw): log10 probability of each gram's byte in its context, for the grams of tally."""
-    depth = rules.depth
+WEIGHTED = "gram long, node int, n0 double, n1 double, log_pw double, p array<double>"
+
+
+def mixer(depth: int, top: int):
+    """A function of tables of grams that gives rows of grams with their p in the contexts of top to depth bytes, then rows of the nodes of top bytes, which have none."""
 
     def mix(table: pa.Table) -> pa.Table:
-        """Rows of grams with their p, then rows of nodes, which have none."""
         key = table.column("gram").to_numpy()
-        p, level, logs = weigh(key, table.column("n_train").to_numpy(), depth, 2)
+        p, level, logs = weigh(key, table.column("n_train").to_numpy(), depth, top)
         nodes, none = np.concatenate(level.keys), np.zeros(len(key))
         ends = np.full(len(key) + len(nodes) + 1, p.size, dtype=np.int32)
         ends[: len(key)] = np.arange(0, p.size, 8)
@@ -230,10 +233,62 @@ def model(tally: DataFrame, rules: ContextTree) -> DataFrame:
             "p": pa.ListArray.from_arrays(ends, p.ravel()),
         })
 
+    return mix
+
+
+def _with_p(batch: pa.RecordBatch, p: np.ndarray) -> pa.RecordBatch:
+    ends = np.arange(0, p.size + 1, 8, dtype=np.int32)
+    return batch.set_column(batch.schema.get_field_index("p"), "p", pa.ListArray.from_arrays(ends, p.ravel()))
+
+
+def split_pairs(grams_of: DataFrame, depth: int, groups: int) -> DataFrame:
+    """The rows that mixer(depth, 2) gives, of pairs of last bytes with many grams: groups hold whole triples of last bytes, of 65,536 grams each at
+    most, and the nodes of pairs are sums over theirs. The weights of pairs travel by broadcast, a few kilobytes for each pair of SPLIT_GRAMS grams or more."""
+    spark = grams_of.sparkSession
+    triple = F.pmod(F.xxhash64(F.shiftright("gram", 8 * (depth - 2))), F.lit(groups))
+    deep = stored(grams_of.groupBy(triple.alias("of")).applyInArrow(mixer(depth, 3), WEIGHTED), "ctw-triples")
+    sums = deep.where("node > 0").groupBy(F.shiftright("gram", 8).alias("gram"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_pw").alias("log_pw"))
+    sums = stored(sums.withColumn("p", F.lit(None).cast("array<double>")), "ctw-split")
+
+    def weight(batches):
+        for batch in batches:
+            total, _ = weighted(*(batch.column(c).to_numpy() for c in ("n0", "n1", "log_pw")))
+            yield batch.set_column(batch.schema.get_field_index("log_pw"), "log_pw", pa.array(total))
+
+    found = sums.select("gram", "node", "n0", "n1", "log_pw").toArrow()
+    pairs, at = np.unique(found.column("gram").to_numpy(), return_inverse=True)
+    node = found.column("node").to_numpy()
+    n0, n1, w = (np.zeros((len(pairs), 256)) for _ in range(3))
+    n0[at, node], n1[at, node] = found.column("n0").to_numpy(), found.column("n1").to_numpy()
+    w[at, node] = weighted(n0[at, node], n1[at, node], found.column("log_pw").to_numpy())[1]
+    shipped = spark.sparkContext.broadcast((pairs, n0, n1, w))
+
+    def combine(batches):
+        pairs, n0, n1, w = shipped.value
+        for batch in batches:
+            key = batch.column("gram").to_numpy()
+            p = np.array(batch.column("p").flatten()).reshape(-1, 8)
+            row, byte = np.searchsorted(pairs, key >> (8 * (depth - 1))), key & 255
+            for k in range(8):
+                node, bit = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
+                p[:, k] = w[row, node] * estimate(n0[row, node], n1[row, node], bit) + (1 - w[row, node]) * p[:, k]
+            yield _with_p(batch, p)
+
+    return deep.where("node = 0").mapInArrow(combine, WEIGHTED).unionByName(sums.select(deep.columns).mapInArrow(weight, WEIGHTED))
+
+
+def model(tally: DataFrame, rules: ContextTree) -> DataFrame:
+    """(key, ctw): log10 probability of each gram's byte in its context, for the grams of tally."""
+    depth = rules.depth
     some = tally.where(F.substring("key", 1, 1) == F.lit(b"g")).select(gram_of("key"), "n_train")
-    # Pairs of last bytes are dealt to as many groups as keep each near GROUP_GRAMS.
+    # Pairs of last bytes are dealt to as many groups as keep each near GROUP_GRAMS; there are 65,536 pairs at most.
     groups = max(8, some.count() // GROUP_GRAMS)
-    pairs = some.groupBy(F.pmod(F.xxhash64(F.shiftright("gram", 8 * (depth - 1))), F.lit(groups)).alias("of")).applyInArrow(mix, "gram long, node int, n0 double, n1 double, log_pw double, p array<double>")
+    pair = F.shiftright("gram", 8 * (depth - 1))
+    large = [r.pair for r in some.groupBy(pair.alias("pair")).count().where(F.col("count") > SPLIT_GRAMS).collect()] if depth > 2 else []
+    whole = some.where(~pair.isin(large)) if large else some
+    pairs = whole.groupBy(F.pmod(F.xxhash64(pair), F.lit(groups)).alias("of")).applyInArrow(mixer(depth, 2), WEIGHTED)
+    if large:
+        pairs = pairs.unionByName(split_pairs(some.where(pair.isin(large)), depth, groups))
     pairs = stored(pairs, "ctw-pairs")
 
     # Depth 1: sums over the second last byte, so plain aggregates; 256 * 255 rows at most.
