@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import scores, urls, vectors
+from lodestar.operators import reads
 from lodestar.operators.reads import page, slim_items, with_titles
 from lodestar.sources import tables as T
 from lodestar.sources.tables import AS_OF, DAY, WEEK
@@ -58,6 +59,16 @@ def detail_similar(spark: SparkSession, sf_dir: str, anchor: int = 5, k: int = 5
     return near.orderBy("distance", "id").limit(k)
 
 
+def item_detail(spark: SparkSession, sf_dir: str, item: int) -> dict[str, DataFrame]:
+    """The sections of an item's page: neighbours by lineage and by vector, and the timeline of a kept item, or alerts and history of any other."""
+    own = lambda df: df.where(F.col("item_id") == item)
+    out = {"predecessors": own(reads.detail_edges(spark, sf_dir, "pred")), "successors": own(reads.detail_edges(spark, sf_dir, "succ")), "similar": detail_similar(spark, sf_dir, item)}
+    kept = T.assets(spark, sf_dir).where((F.col("tech_id") == item) & (F.col("status") == "Keep"))
+    if kept.isEmpty():
+        return out | {"alerts": reads.detail_log(spark, sf_dir, item, alerts=True), "history": reads.detail_log(spark, sf_dir, item, alerts=False)}
+    return out | {"timeline": reads.timeline(spark, sf_dir, item)}
+
+
 def similar_pairs(spark: SparkSession, sf_dir: str, threshold: float = PAIR) -> DataFrame:
     """All pairs a < b above a cosine."""
     df = embedded(spark, sf_dir)

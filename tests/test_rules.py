@@ -326,3 +326,15 @@ def test_run_line(spark):
     summary = spark.createDataFrame([(150, 100)], "queue_selected long, queue_remaining long")
     tallies = spark.createDataFrame([("rss", 5), ("hackernews", 2), ("github_trending", 9), ("arxiv", 1)], "source string, n long")
     assert tuple(batch.summary_line(summary, tallies).first()) == ("GitHub: 9, HN: 2, arxiv: 1, rss: 5", "150 / 250 (100)")
+
+
+def test_item_detail(spark, sf):
+    """A kept item shows its timeline, any other its alerts and history; neighbours are those of the whole table."""
+    from lodestar.operators import ranking
+
+    kept, other = ranking.item_detail(spark, sf, 20), ranking.item_detail(spark, sf, 2)
+    assert set(kept) == {"predecessors", "successors", "similar", "timeline"} and set(other) == {"predecessors", "successors", "similar", "alerts", "history"}
+    first = kept["timeline"].first()
+    assert first.kind == "handoff" and first.ref in {r.other_id for r in kept["predecessors"].collect()}
+    times = [r.at_s for r in kept["timeline"].collect()][1:]
+    assert times == sorted(times, reverse=True) and all(f.count() >= 0 for f in other.values())
