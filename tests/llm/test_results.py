@@ -428,6 +428,15 @@ def test_context_tree(spark, sf, docs):
         assert got[i].held_out == (i not in learned)
 
 
+def test_split_pairs(spark, sf, monkeypatch):
+    """Frequent pairs of bytes in groups of triples give the same scores."""
+    d = documents(spark, sf)
+    want = table(context_tree.context_tree_score(d))
+    monkeypatch.setattr(context_tree, "SPLIT_GRAMS", 100)
+    got = table(context_tree.context_tree_score(d))
+    assert set(got) == set(want) and all(got[i].score == pytest.approx(r.score, rel=1e-12) for i, r in want.items())
+
+
 # ---------------------------------------------------------------- op7
 
 
@@ -702,6 +711,9 @@ def test_pipeline(spark, sf, docs):
         assert set(rows) <= ids and out.columns == kept.columns
         if name == "op1_quality_rules":
             assert set(rows) == {i for i, r in table(quality_rules.op1_quality_rules(spark, sf)).items() if r.kept}
+        if name == "op4_line_dedup":
+            before = sorted((r.doc_id, r.text) for r in kept.collect())
+            assert rows == {i: t for i, t, runs in whole_runs(before) if not runs or t.strip(" ")}
         if name == "op9_near_dedup":
             before = {r.doc_id: r.text for r in kept.collect()}
             assert set(rows) == {i for i, (_, c) in brute_components(before, 5, 80).items() if i == c}
@@ -710,3 +722,13 @@ def test_pipeline(spark, sf, docs):
         ids, kept = set(rows), spark.createDataFrame(out.collect(), out.schema)
     whole = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in whole} == ids and all(len(r.ids) == r.length for r in whole)
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.default_tokenizer())
+    pieces, places = defaultdict(list), defaultdict(list)
+    for r in sorted(whole, key=lambda r: (r.doc_id, r.piece)):
+        pieces[r.doc_id] += r.ids
+        places[r.sequence_id].append((r.offset, r.length))
+    assert {i: [*model.encode(t, add_special_tokens=False).ids, 1] for i, t in rows.items()} == pieces
+    for contents in places.values():
+        assert sum(n for _, n in contents) <= 4096 and all(a + n == b for (a, n), (b, _) in zip(sorted(contents), sorted(contents)[1:]))
