@@ -35,7 +35,11 @@ from lodestar.llm.common import documents, map_batches, stored, worker_cache
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a task remembers; beyond that it starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
+#: Words that are encoded together, and groups of these at a time: what the tokeniser holds for them goes before the next.
+GROUP_WORDS, GROUPS = 1000, 8
+#: Bytes of text whose words a task splits at a time.
+SPLIT_BYTES = 2 << 20
 #: ASCII marks that the tokeniser takes as a token of their own behind letters.
 MARKS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
@@ -207,7 +211,11 @@ class WordIds:
         return array("I", self.model.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def encode_letters(self, words: list[bytes]) -> None:
-        groups = [words[lo : lo + 1000] for lo in range(0, len(words), 1000)]
+        groups = [words[lo : lo + GROUP_WORDS] for lo in range(0, len(words), GROUP_WORDS)]
+        for lo in range(0, len(groups), GROUPS):
+            self._encode_groups(groups[lo : lo + GROUPS])
+
+    def _encode_groups(self, groups: list[list[bytes]]) -> None:
         for group, got in zip(groups, self.letters.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
             ids = np.array(got.ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -277,7 +285,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
             yield out
 
     schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * with_ids
-    return map_batches(docs, ["doc_id", "text"], schema, work)
+    return map_batches(docs, ["doc_id", "text"], schema, work, SPLIT_BYTES)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
