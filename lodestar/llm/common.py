@@ -24,6 +24,8 @@ cloudpickle.register_pickle_by_value(lodestar)
 
 #: Texts are handled in groups of about this many bytes, whatever a batch holds.
 CHUNK_BYTES = 4 << 20
+#: Most rows of an Arrow batch: texts are long, and Spark holds a batch outside its heap for each task.
+BATCH_ROWS = 2000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +50,11 @@ def map_batches(df: DataFrame, columns: list[str], schema: str, work: Callable[[
 
     work gets dicts of lists, one per column of ``columns``, each with about chunk_bytes of text
     (a longer text comes alone), and yields dicts of columns of ``schema``. Text columns come as
-    UTF-8 bytes. Only ``columns`` are read, so columns of any other name don't matter.
+    UTF-8 bytes. The session's Arrow batches are limited to BATCH_ROWS rows from here on. Only ``columns`` are read, so columns of any other name don't matter.
     """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
     out_schema = StructType.fromDDL(schema)
     arrow_schema = to_arrow_schema(out_schema)
 

@@ -35,7 +35,7 @@ from lodestar.llm.common import documents, map_batches, stored, worker_cache
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a task remembers; beyond that it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 #: Words that are encoded together, and groups of these at a time: what the tokeniser holds for them goes before the next.
 GROUP_WORDS, GROUPS = 1000, 8
 #: Bytes of text whose words a task splits at a time.
@@ -283,6 +283,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
                     ranks[n] += 1
                 row += 1
             yield out
+        model.known.clear()  # an idle worker holds nothing
 
     schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * with_ids
     return map_batches(docs, ["doc_id", "text"], schema, work, SPLIT_BYTES)
