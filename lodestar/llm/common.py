@@ -87,3 +87,28 @@ def _chunks(batches, chunk_bytes: int) -> Iterator[dict]:
 def worker_cache() -> dict:
     """A dict that outlives a task in a reused Python worker, for tokenizers and the like."""
     return sys.modules.setdefault("_lodestar_worker_cache", types.ModuleType("_lodestar_worker_cache")).__dict__
+
+
+def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, and the sums of values by key."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)
+
+
+class Sums:
+    """Sums by key of arrays that come one by one; held is what they take before the next merge."""
+
+    def __init__(self, values: int):
+        self.parts, self.held, self.values = [], 0, values
+
+    def add(self, keys: np.ndarray, *values: np.ndarray) -> None:
+        self.parts.append((keys, *values))
+        self.held += len(keys)
+
+    def taken(self) -> tuple[np.ndarray, ...]:
+        parts, self.parts, self.held = self.parts, [], 0
+        if not parts:
+            return (np.zeros(0, dtype=np.int64),) * (1 + self.values)
+        return summed(*(np.concatenate([p[i] for p in parts]) for i in range(1 + self.values)))
