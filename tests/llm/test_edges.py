@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import context_tree, fingerprint, language_id, line_dedup, near_dedup, packing, pii, quality_rules, secret_scan, segment_sampling
+from lodestar.llm import alignment, context_tree, fingerprint, language_id, lexical_search, line_dedup, near_dedup, packing, pii, quality_rules, secret_scan, segment_sampling, toxicity
 
 OPERATORS = {
     "op1": quality_rules.quality_rules,
@@ -17,6 +17,8 @@ OPERATORS = {
     "op8": fingerprint.edited_fingerprints,
     "op9": near_dedup.near_dedup,
     "op10": pii.pii,
+    "op11": lambda docs: toxicity.toxicity(docs, docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("toxic"))),
+    "op13": alignment.align,
 }
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ["row", "key", "kept", "n", "node", "piece", "rank", "part", "length", "spans", "range", "copy", "found", "component", "removed_chunks", "is_first", "label", "held_out", "a", "b", "d", "t", "pos", "n_words", "first", "at", "text_length"]
@@ -61,6 +63,12 @@ def test_empty_table(spark, name):
     assert OPERATORS[name](spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_search_on_odd_rows(odd):
+    """Documents as items and as documents: each with a term finds itself, or a copy, first."""
+    got = lexical_search.lexical_search(odd, odd.withColumnRenamed("doc_id", "item_id")).where("rank = 1").collect()
+    assert {r.item_id: r.doc_id for r in got} == {1: 1, 2: 1, 6: 6, 7: 7, 8: 8, None: None}
+
+
 def test_stages_on_odd_rows(spark, odd):
     columns = odd.columns
     for name, stage in corpus_pipeline.STAGES:
