@@ -5,12 +5,12 @@ offsets where a token of both ends cut the tokens into groups; the two tokens th
 pair's count is the number of its links in the corpus.
 
 Both tokenizers cut before a space behind something else, so a text falls into units (a space and what follows) whose tokens don't depend on their
-neighbours. A unit's ids, groups and links are found once and remembered.
+neighbours. New units are encoded many at a time, and their groups and links remembered.
 
 The corpus part is a postings cogroup. Documents' pair multiplicities are stored as postings of B's ids. Counts of pairs are
 pre-aggregated in each task and summed; one row per B id holds its partners' counts and the highest. These rows and the postings are dealt by B id and sorted
 by Spark (which spills), each id's counts before its postings, so that a task reads them as one stream: it holds one id's counts (one for each
-id of A at most) and a batch of postings, and emits what each document gains, summed as it goes. A last sum per document ends it. An id with
+id of A at most) and a batch of postings, and emits what each document gains, summed as it goes, in blocks of documents. These blocks are dealt once more and summed per document. An id with
 many postings is dealt over several tasks; its counts go to all of them.
 
 A text that is null or empty, or whose tokens of A or B don't join to the bytes of space and text (for instance one with U+2581, which B takes for a space), has
@@ -33,10 +33,10 @@ from lodestar.llm.common import Sums, documents, map_batches, stored, summed, wo
 
 #: Pairs are held as b * PAIR + a; A has fewer ids than that.
 PAIR = 1 << 16
-#: Units up to this many characters are remembered, at most so many of them; beyond that a task starts anew.
-UNIT_CHARS, UNITS = 64, 400_000
-#: Units that are encoded together.
-GROUP_UNITS = 4000
+#: Units that a worker remembers, and their characters; beyond that it starts anew.
+UNITS, UNIT_CHARS = 500_000, 8_000_000
+#: Characters of units that are encoded as one text, and such texts at a time.
+GROUP_CHARS, GROUPS = 16_000, 8
 #: Postings and counts that a task holds before it sums them.
 HELD = 2_000_000
 #: Bytes of text that become one block of postings.
@@ -85,33 +85,9 @@ def units(text: str) -> list[str]:
     return out
 
 
-class Unit:
-    """What the two tokenizers make of a unit: numbers of tokens and groups, the groups as text, links (b * PAIR + a) as bytes; ok: both join to its bytes."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "text", "links", "ok")
-
-    def __init__(self, data: bytes, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]):
-        self.n_a, self.n_b = len(a), len(b)
-        self.ok = b"".join([bytes_a[i] for i in a]) == data and b"".join([bytes_b[i] for i in b]) == data
-        groups, links = [], []
-        i = j = first_a = first_b = end_a = end_b = 0
-        while self.ok and (i < len(a) or j < len(b)):
-            # The side that is behind takes a token.
-            if end_a <= end_b:
-                end_a += len(bytes_a[a[i]])
-                i += 1
-            else:
-                end_b += len(bytes_b[b[j]])
-                j += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                links.append(b[j - 1] * PAIR + a[i - 1])
-                first_a, first_b = i, j
-        self.n_groups, self.text, self.links = len(groups), ";".join(groups), np.array(links, dtype=np.int32).tobytes()
-
-
 class Aligner:
-    """Both tokenizers, and the units they have met."""
+    """Both tokenizers, and the units they have met, numbered: the arrays hold each one's figures, texts its groups (each closed by ``;``),
+    and links the pairs (b * PAIR + a) of all, n_groups from first_link on."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores dealt out already
@@ -126,21 +102,73 @@ class Aligner:
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
-        self.known: dict[str, Unit] = {}
-
-    def learn(self, wanted: set[str]) -> dict[str, Unit]:
-        """The units of wanted; short ones are remembered."""
-        if len(self.known) + len(wanted) > UNITS:
-            self.known.clear()
-        known, long = self.known, {}
-        new = [u for u in wanted if u not in known]
-        for lo in range(0, len(new), GROUP_UNITS):
-            some = new[lo : lo + GROUP_UNITS]
-            got_a = self.a.encode_batch_fast(some, add_special_tokens=False)
-            got_b = self.b.encode([u[1:] for u in some], num_threads=1)
-            for u, a, b in zip(some, got_a, got_b):
-                (known if len(u) <= UNIT_CHARS else long)[u] = Unit(u.encode(), a.ids, b, self.bytes_a, self.bytes_b)
-        return known | long if long else known
+        self.size_a, self.size_b = (np.array([len(x) for x in own], dtype=np.int64) for own in (self.bytes_a, self.bytes_b))
+        ids = range(max(len(self.bytes_a), len(self.bytes_b)))
+        self.said = {mark: np.array([f"{i}{mark}" for i in ids], dtype=object) for mark in ",|;"}
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.chars = 0
+        self.n_a = self.n_b = self.n_groups = self.first_link = np.zeros(0, dtype=np.int64)
+        self.ok, self.links = np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int32)
+
+    def learn(self, wanted: set[str]) -> None:
+        """Makes the units of wanted known; those met before may go."""
+        if len(self.number) + len(wanted) > UNITS or self.chars > UNIT_CHARS:
+            self.clear()
+        groups: list[list[str]] = []
+        room = 0
+        for u in wanted - self.number.keys():
+            # Others, which hold further spaces or end in white space, could meet the next unit.
+            plain = u.find(" ", 1) < 0 and len(u) > 1 and not u[-1].isspace()
+            if not plain or room < len(u):
+                groups.append([])
+                room = GROUP_CHARS if plain else 0
+            groups[-1].append(u)
+            room -= len(u)
+        got = []
+        for lo in range(0, len(groups), GROUPS):
+            texts = ["".join(g) for g in groups[lo : lo + GROUPS]]
+            ids_a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+            for own in zip(groups[lo : lo + GROUPS], texts, ids_a, self.b.encode([t[1:] for t in texts], num_threads=1)):
+                got += self._cut(*own)
+        n_a, n_b, n_groups, links, ok = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, dtype=np.int64),) * 5
+        self.first_link = np.concatenate([self.first_link, len(self.links) + np.cumsum(n_groups) - n_groups])
+        self.n_a, self.n_b, self.n_groups = np.concatenate([self.n_a, n_a]), np.concatenate([self.n_b, n_b]), np.concatenate([self.n_groups, n_groups])
+        self.links, self.ok = np.concatenate([self.links, links.astype(np.int32)]), np.concatenate([self.ok, ok.astype(bool)])
+
+    def _cut(self, group: list[str], text: str, a: list[int], b: list[int]):
+        """Numbers the units of group, whose joined text has the tokens a and b; yields their figures. Where the tokens don't join to the text, or not at the
+        ends of units, each unit is encoded alone."""
+        ends = np.cumsum([len(u.encode()) for u in group])
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        data = text.encode()
+        fits = b"".join([self.bytes_a[i] for i in a]) == data == b"".join([self.bytes_b[i] for i in b])
+        if len(group) > 1 and not (fits and np.isin(ends, ends_a).all() and np.isin(ends, ends_b).all()):
+            for u in group:
+                yield from self._cut([u], u, self.a.encode(u, add_special_tokens=False).ids, self.b.encode(u[1:], num_threads=1))
+            return
+        for u in group:
+            self.number[u] = len(self.number)
+        self.chars += len(text)
+        if not fits:
+            self.texts.append("")
+            yield np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(1, dtype=bool)
+            return
+        last_a, last_b = np.isin(ends_a, ends_b), np.isin(ends_b, ends_a)  # of their groups
+        cut_a, cut_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        of = lambda at: np.bincount(np.searchsorted(ends, at), minlength=len(group))
+        n_a, n_b = of(ends_a), of(ends_b)
+        # A token of a follows all of b in earlier groups, one of b all of a up to its own.
+        said = np.empty(len(a) + len(b), dtype=object)
+        said[np.arange(len(a)) + np.append(0, cut_b + 1)[np.cumsum(last_a) - last_a]] = np.where(last_a, self.said["|"][a], self.said[","][a])
+        said[np.arange(len(b)) + (cut_a + 1)[np.cumsum(last_b) - last_b]] = np.where(last_b, self.said[";"][b], self.said[","][b])
+        parts, at = said.tolist(), np.append(0, np.cumsum(n_a + n_b)).tolist()
+        self.texts += ["".join(parts[lo:hi]) for lo, hi in zip(at[:-1], at[1:])]
+        yield n_a, n_b, of(ends_a[cut_a]), (b[cut_b] * PAIR + a[cut_a]).astype(np.int32), np.ones(len(group), dtype=bool)
 
 
 def aligner(paths: tuple[str, str]) -> Aligner:
@@ -179,24 +207,26 @@ def aligned(docs: DataFrame, rules: Alignment = Alignment()) -> DataFrame:
         counts = Sums(1)
         for chunk in chunks:
             split = [units(t.decode()) if t else [] for t in chunk["text"]]
-            known = both.learn(set().union(*split))
-            out: dict[str, list] = {k: [] for k in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
-            links, sizes = [], []
-            for own in split:
-                found = [known[u] for u in own]
-                if not found or not all([u.ok for u in found]):
-                    found = []
-                data = b"".join([u.links for u in found])
-                links.append(data)
-                sizes.append(len(data) // 4)
-                for name, value in (("n_a", sum([u.n_a for u in found])), ("n_b", sum([u.n_b for u in found])), ("n_groups", sum([u.n_groups for u in found])), ("n_links", sizes[-1])):
-                    out[name].append(value)
-                out["groups_sha256"].append(hashlib.sha256(";".join([u.text for u in found]).encode()).hexdigest() if found else "")
-            yield rows_of(DOCUMENT, len(split), row=np.arange(row, row + len(split)), doc_id=chunk["doc_id"], **out)
-            # (b, a, document) to the number of links, sorted.
-            keys = np.frombuffer(b"".join(links), dtype=np.int32).astype(np.int64)
-            held, n = np.unique(keys * len(split) + np.repeat(np.arange(len(split)), sizes), return_counts=True)
-            keys, doc = held // len(split), held % len(split)
+            both.learn(set().union(*split))
+            size = len(split)
+            own = np.array([both.number[u] for of in split for u in of], dtype=np.int64)
+            doc = np.repeat(np.arange(size), [len(x) for x in split])
+            bad = np.bincount(doc, weights=~both.ok[own], minlength=size) > 0
+            own, doc = own[~bad[doc]], doc[~bad[doc]]
+            figure = lambda of: np.bincount(doc, weights=of[own], minlength=size).astype(np.int64)  # noqa: B023, E731
+            n_groups = figure(both.n_groups)
+            at = np.searchsorted(doc, np.arange(size + 1)).tolist()
+            texts = [both.texts[i] for i in own.tolist()]
+            said = ["".join(texts[lo:hi]) for lo, hi in zip(at[:-1], at[1:])]
+            yield rows_of(
+                DOCUMENT, size, row=np.arange(row, row + size), doc_id=chunk["doc_id"], n_a=figure(both.n_a), n_b=figure(both.n_b), n_groups=n_groups, n_links=n_groups,
+                groups_sha256=[hashlib.sha256(t[:-1].encode()).hexdigest() if t else "" for t in said],
+            )
+            # Each group ends in a link. (b, a, document) to the number of links, sorted.
+            reps = both.n_groups[own]
+            keys = both.links[np.repeat(both.first_link[own] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())].astype(np.int64)
+            held, n = np.unique(keys * size + np.repeat(doc, reps), return_counts=True)
+            keys, doc = held // size, held % size
             b, offsets = by_b(keys)
             yield rows_of(POSTINGS, len(b), b=b, block=np.full(len(b), row), a=_lists(keys % PAIR, offsets, np.int32), doc=_lists(doc, offsets, np.int32), n=_lists(n, offsets, np.int32))
             counts.add(*summed(keys, n))
@@ -204,8 +234,7 @@ def aligned(docs: DataFrame, rules: Alignment = Alignment()) -> DataFrame:
                 counts.add(*counts.taken())
                 if counts.held > HELD // 2:
                     yield counted(counts)
-            row += len(split)
-        both.known.clear()  # an idle worker holds nothing
+            row += size
         yield counted(counts)
 
     def counted(counts):
@@ -223,12 +252,16 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 
 def _gains(batches):
-    """What documents gain, of a stream that has each B id's counts before its postings."""
-    sums = Sums(2)
+    """What documents gain, of a stream that has each B id's counts before its postings: a row for each block, as arrays."""
+    sums, blocks = Sums(2), set()
 
     def out():
         row, best, total = sums.taken()
-        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(best), pa.array(total)], names=["row", "n_best", "count_sum"])
+        starts = np.array(sorted(blocks), dtype=np.int64)
+        blocks.clear()
+        offsets = np.append(np.searchsorted(row, starts), len(row))
+        doc = row - np.repeat(starts, np.diff(offsets))
+        return pa.RecordBatch.from_arrays([pa.array(starts), _lists(doc, offsets, np.int32), _lists(best, offsets, np.int64), _lists(total, offsets, np.int64)], names=["block", "doc", "n_best", "count_sum"])
 
     now, ids, counts, most = None, None, None, 0
     for batch in batches:
@@ -247,9 +280,34 @@ def _gains(batches):
             assert b[i] == now, "postings without their counts"
             count, n = counts[np.searchsorted(ids, at("a"))], at("n").astype(np.int64)
             sums.add(int(block[i]) + at("doc").astype(np.int64), n * (count == most), n * count)
+            blocks.add(int(block[i]))
             if sums.held > HELD:
                 yield out()
-    yield out()
+    if blocks:
+        yield out()
+
+
+def _gained(batches):
+    """The sums per document, of rows of _gains sorted by block."""
+    now, parts = None, []
+
+    def out():
+        doc, best, total = summed(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
+        return pa.RecordBatch.from_arrays([pa.array(now + doc.astype(np.int64)), pa.array(best), pa.array(total)], names=["row", "n_best", "count_sum"])
+
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        lists = [batch.column(k) for k in ("doc", "n_best", "count_sum")]
+        for i in range(batch.num_rows):
+            if block[i] != now:
+                if parts:
+                    yield out()
+                now, parts = int(block[i]), []
+            parts.append([x[i].values.to_numpy() for x in lists])
+            if len(parts) > 200:
+                parts = [summed(*(np.concatenate([p[k] for p in parts]) for k in range(3)))]
+    if parts:
+        yield out()
 
 
 def corpus_gains(found: DataFrame, rules: Alignment = Alignment()) -> DataFrame:
@@ -266,8 +324,8 @@ def corpus_gains(found: DataFrame, rules: Alignment = Alignment()) -> DataFrame:
     dealt = posted.join(salts, "b").select("b", F.pmod(F.xxhash64("block"), "salts").cast("int").alias("salt"), "kind", "block", "a", "n", "doc", none("long").alias("total"))
     # Counts (2) before postings (1).
     stream = heads.unionByName(dealt).repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("kind"))
-    gains = stream.mapInArrow(_gains, "row long, n_best long, count_sum long")
-    return gains.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    gains = stream.mapInArrow(_gains, "block long, doc array<int>, n_best array<bigint>, count_sum array<bigint>")
+    return gains.repartition("block").sortWithinPartitions("block").mapInArrow(_gained, "row long, n_best long, count_sum long")
 
 
 def align(docs: DataFrame, rules: Alignment = Alignment()) -> DataFrame:
