@@ -1,15 +1,12 @@
-"""Text reads: triage filters, titles, pages, domains, names, near-duplicates and proper names."""
+"""Text reads: triage filters, titles, pages, domains, names and near-duplicates."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as X
 from lodestar.functions import urls
-from lodestar.functions.text import canonical
 from lodestar.sources import tables as T
 from lodestar.sources.shared import spread, stored
 
@@ -105,60 +102,6 @@ def entity_doc_freq(spark: SparkSession, sf_dir: str, ratio: float = 0.5, least_
     return words.groupBy("word").agg(F.count("*").alias("docs")).crossJoin(F.broadcast(n)).where((F.col("all") < least_batch) | (F.col("docs") <= F.col("all") * ratio)).select("word", "docs")  # one row
 
 
-# ---------------------------------------------------------------- proper names
-
-_SENTENCE = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+|\n+")
-_TOKEN = re.compile(r"\.?\w[\w+#]*(?:[.'’-]\w[\w+#]*)*[+#]*")
-_ARTICLES = {"the", "a", "an"}
-_JOINERS = {"of", "for", "de", "von", "van", "der", "la"}
-
-
-def name_candidates(text: str | None, longest: int = 4) -> list[tuple[int, str, bool]]:
-    """(ordinal, surface, starts its sentence) of the runs of capitalised words and of words with capitals or digits inside; short joining
-    words stand only between two capitalised ones; a possessive ending goes."""
-    out = []
-    for sentence in _SENTENCE.split(text or ""):
-        run: list[str] = []
-        pending: list[str] = []
-        start = 0
-        words = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(sentence)]
-        for k, (word, lo, _hi) in enumerate([*words, ("", 0, 0)]):
-            bare = re.sub(r"['’]s$", "", word)
-            joined = not run or not re.search(r"[,;:()\[\]\"“”]", sentence[words[k - 1][2] : lo]) if k < len(words) else False
-            name = bool(bare) and (bare[0].isupper() or bare[0] == "." or (any(c.isupper() for c in bare[1:]) and bare[0].isalpha()))
-            name = name and (bool(run) or bare.lower() not in _ARTICLES)
-            if name and joined and len(run) + len(pending) < longest:
-                if not run:
-                    start = k
-                run += [*pending, bare]
-                pending = []
-            elif run and joined and word.lower() in _JOINERS and len(pending) < 2:
-                pending.append(word)
-            else:
-                if run:
-                    out.append((len(out), " ".join(run), start == 0))
-                run, pending, start = ([bare], [], k) if name else ([], [], 0)
-    return out
-
-
-def entity_names(spark: SparkSession, sf_dir: str, ratio: float = 0.5, least_batch: int = 5) -> DataFrame:
-    """(doc_id, name, surface) of the proper names of all documents: a single word that only ever opens sentences is left out, and so is a
-    name in more than a share of the documents."""
-
-    def find(batches):
-        for pdf in batches:
-            rows = [(d, n, canonical(s), s, " " in s, first) for d, t in zip(pdf["doc_id"], pdf["text"]) for n, s, first in name_candidates(t)]
-            yield type(pdf)(rows, columns=["doc_id", "ordinal", "name", "surface", "many", "first"])
-
-    docs = T.read(spark, sf_dir, "documents")
-    found = spread(docs).select("doc_id", "text").mapInPandas(find, "doc_id long, ordinal int, name string, surface string, many boolean, first boolean").where("name <> ''")
-    per_doc = found.groupBy("doc_id", "name").agg(F.min_by("surface", "ordinal").alias("surface"), F.bool_or(F.col("many") | ~F.col("first")).alias("evident"))
-    n = docs.agg(F.count("*").alias("all"))
-    by_name = per_doc.groupBy("name").agg(F.count("*").alias("docs"), F.bool_or("evident").alias("evident"))
-    good = by_name.crossJoin(F.broadcast(n)).where(F.col("evident") & ((F.col("all") < least_batch) | (F.col("docs") <= F.col("all") * ratio))).select("name")  # one row
-    return per_doc.join(good, "name", "left_semi").select("doc_id", "name", "surface")
-
-
 def log_summary(lines: DataFrame, ok: str, failed: str, counters: dict[str, str] | None = None) -> DataFrame:
     """(line, value) lines of a log: the numbers of the last marker of success and of failure, whether success came last, and, if so, what the first
     line behind that fits each counter's pattern says in its group. Two aggregates; the log isn't sorted."""

@@ -6,7 +6,7 @@ from functools import partial
 
 from lodestar.functions.scores import DOMAIN_SQL, NETLOC_SQL, PRIOR_SQL, TRUST_SQL
 from lodestar.functions.text import REJECTED
-from lodestar.operators import batch, collect, ingest, pages, ranking, reads, texts
+from lodestar.operators import batch, collect, ingest, names, pages, ranking, reads, texts
 from lodestar.plans import scale
 from lodestar.sources import tables as T
 from lodestar.sources.tables import AS_OF, DAY, VIEWS_SQL, WEEK
@@ -111,7 +111,7 @@ QUERIES = {
     "vector_search_keep": partial(ranking.search_topk, category="alpha", status="keep"),
     "exact_dup_groups": texts.exact_dup_groups,
     "entity_doc_freq": texts.entity_doc_freq,
-    "entity_names": texts.entity_names,
+    "entity_names": names.entity_names,
     **batch.QUERIES,
     **collect.QUERIES,
     **scale.QUERIES,
