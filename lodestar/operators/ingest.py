@@ -136,6 +136,32 @@ def asset_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("tech_id", "wanted", F.col("status").alias("old_status"), outcome.alias("outcome"), (outcome == "TRANSITIONED").alias("writes_history"))
 
 
+def outcomes_in_turn(requests: DataFrame, assets: DataFrame, block_s: int = T.DAY) -> DataFrame:
+    """Outcomes of requests (request_id, tech_id, wanted, at_s), any number for an item, each judged by what the one before it left (by time, then id);
+    assets has the statuses before all. CREATED without asset, NOOP if it has the status, else TRANSITIONED, which alone writes history.
+
+    Requests before in the same block of time are found by a window over item and block, earlier ones by what each block left. So an item with
+    a large share of all requests is spread over its blocks, and only one row a block meets in one place."""
+    block = F.floor(F.col("at_s") / block_s).alias("block")
+    rows = requests.select("request_id", "tech_id", "wanted", "at_s", block)
+    left = rows.groupBy("tech_id", "block").agg(F.max_by("wanted", F.struct("at_s", "request_id")).alias("left"))
+    carried = left.withColumn("carried", F.lag("left").over(Window.partitionBy("tech_id").orderBy("block"))).join(assets.select("tech_id", "status"), "tech_id", "left")
+    carried = carried.select("tech_id", "block", F.coalesce("carried", "status").alias("carried"))
+    inside = F.lag("wanted").over(Window.partitionBy("tech_id", "block").orderBy("at_s", "request_id"))
+    df = rows.withColumn("inside", inside).join(carried, ["tech_id", "block"]).withColumn("old_status", F.coalesce("inside", "carried"))
+    outcome = F.when(F.col("old_status").isNull(), "CREATED").when(F.col("old_status") == F.col("wanted"), "NOOP").otherwise("TRANSITIONED")
+    return df.select("request_id", "tech_id", "wanted", "old_status", outcome.alias("outcome"), (outcome == "TRANSITIONED").alias("writes_history"))
+
+
+def asset_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of all events read as requests for items: clicks and purchases keep, the others archive; items that don't exist get none."""
+    e = T.read(spark, sf_dir, "events")
+    wanted = F.when(F.col("event_type").isin("click", "purchase"), "Keep").otherwise("Archived")
+    requests = e.select(F.col("event_id").alias("request_id"), (F.col("event_id") % 1500).alias("tech_id"), wanted.alias("wanted"), T.seconds("ts").alias("at_s"))
+    ids = T.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("tech_id"))
+    return outcomes_in_turn(requests.join(ids, "tech_id", "left_semi"), T.assets(spark, sf_dir))
+
+
 def handoff_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per replacing edge: what archiving the predecessor and keeping the successor does; committed if the edge is no
     loop, or if nothing changes."""

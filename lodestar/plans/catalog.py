@@ -77,6 +77,7 @@ QUERIES = {
     "safe_addresses": ingest.safe_addresses,
     "asset_keep_latest": ingest.asset_keep_latest,
     "asset_transitions": ingest.asset_transitions,
+    "asset_requests": ingest.asset_requests,
     "handoff_outcomes": ingest.handoff_outcomes,
     "event_batch_valid": ingest.event_batch_valid,
     "favicon_backfill": ingest.favicon_backfill,
@@ -265,6 +266,9 @@ ORACLE_SQL = {
     "safe_addresses": f"SELECT page_id, {[ok for _, ok in ingest.ADDRESS_SAMPLES]}[page_id % {len(ingest.ADDRESS_SAMPLES)} + 1] AS safe FROM pages",
     "queue_retained": f"{VIEWS_SQL} SELECT queue_id, queue_id % 3 <> 0 AS valid, queue_id % 2 = 0 AS saved, queue_id % 11 = 0 AS triage_error FROM crawl_queue WHERE (queue_id % 3 <> 0 AND queue_id % 2 <> 0) OR queue_id % 11 = 0",
     "asset_keep_latest": f"{VIEWS_SQL} SELECT asset_id, history_id, changed_to FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY changed_s DESC, history_id DESC) AS n FROM history) WHERE n = 1",
+    "asset_requests": f"""{VIEWS_SQL}, r AS (SELECT event_id AS request_id, event_id % 1500 AS tech_id, CASE WHEN event_type IN ('click', 'purchase') THEN 'Keep' ELSE 'Archived' END AS wanted, ts FROM events WHERE event_id % 1500 IN (SELECT doc_id FROM documents)),
+      o AS (SELECT r.*, coalesce(lag(wanted) OVER (PARTITION BY r.tech_id ORDER BY date_trunc('second', ts), request_id), status) AS old_status FROM r LEFT JOIN assets a ON a.tech_id = r.tech_id)
+      SELECT request_id, tech_id, wanted, old_status, CASE WHEN old_status IS NULL THEN 'CREATED' WHEN old_status = wanted THEN 'NOOP' ELSE 'TRANSITIONED' END AS outcome, old_status IS NOT NULL AND old_status <> wanted AS writes_history FROM o""",
     "asset_transitions": f"""{VIEWS_SQL}, w AS (SELECT doc_id AS tech_id, CASE WHEN doc_id % 3 = 0 THEN 'Keep' ELSE 'Archived' END AS wanted FROM documents)
       SELECT w.tech_id, wanted, status AS old_status, CASE WHEN status IS NULL THEN 'CREATED' WHEN status = wanted THEN 'NOOP' ELSE 'TRANSITIONED' END AS outcome, coalesce(status <> wanted, false) AS writes_history FROM w LEFT JOIN assets USING (tech_id)""",
     "handoff_outcomes": f"""{VIEWS_SQL}, o AS (SELECT pred, succ, CASE WHEN p.status IS NULL THEN 'CREATED' WHEN p.status = 'Archived' THEN 'NOOP' ELSE 'TRANSITIONED' END AS archived,

@@ -5,6 +5,7 @@ The batch rules of lodestar.operators.ingest are used as they are; state is boun
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -73,6 +74,29 @@ def stage(df: DataFrame, known: DataFrame, path: str, schema: str, checkpoint: s
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+OUTCOME_SCHEMA = "request_id long, tech_id long, wanted string, old_status string, outcome string, writes_history boolean"
+
+
+def transitions(requests: DataFrame) -> DataFrame:
+    """Outcomes of a stream of requests (request_id, tech_id, wanted, at_s), as ``ingest.outcomes_in_turn`` gives them for a batch. An item's status
+    is kept as state; of a micro-batch its requests go by time, then id, while those of a later one count as later. A request with null request_id tells
+    the status that an item had before, and has no outcome. One item's requests of one micro-batch are held together, so bound these at the source."""
+
+    def step(key, chunks, state):
+        rows = pd.concat(list(chunks)).sort_values(["at_s", "request_id"], na_position="first")
+        status = state.get[0] if state.exists else None
+        out = []
+        for request, wanted in zip(rows["request_id"].tolist(), rows["wanted"].tolist()):
+            if request == request and request is not None:
+                outcome = "CREATED" if status is None else "NOOP" if status == wanted else "TRANSITIONED"
+                out.append((int(request), key[0], wanted, status, outcome, outcome == "TRANSITIONED"))
+            status = wanted
+        state.update((status,))
+        yield pd.DataFrame(out, columns=["request_id", "tech_id", "wanted", "old_status", "outcome", "writes_history"])
+
+    return requests.groupBy("tech_id").applyInPandasWithState(step, OUTCOME_SCHEMA, "status string", "append", "NoTimeout")
+
+
 def new_since(stored: DataFrame, cursor_s: int) -> DataFrame:
     """How many stored events came after a cursor."""
     return stored.where(F.unix_timestamp("at") > cursor_s).agg(F.count("*").alias("n"))

@@ -59,3 +59,23 @@ def test_queue_is_carried(spark, tmp_path):
     assert run("a", "k", "x", "x", "y") == ["x", "y"]
     streams.next_queue(streams.queue_of(spark, path, schema).where("source_url <> 'x'"), path)
     assert run("b", "y", "z") == ["y", "z"]
+
+
+def test_transitions_keep_state(spark, tmp_path):
+    """Statuses live over micro-batches; the outcomes are those of the batch operator over all requests."""
+    from lodestar.operators import ingest
+
+    src, schema = tmp_path / "in", "request_id long, tech_id long, wanted string, at_s long"
+    src.mkdir()
+    rows = [(i, i * 7 % 5, ["Keep", "Archived", "Keep"][i * i % 3], 100 * (i // 4)) for i in range(40)]
+    before = [(None, 1, "Tracking", 0), (None, 2, "Keep", 0)]
+    for name, some in (("a", before), ("b", rows[:18]), ("c", rows[18:])):
+        (src / f"{name}.json").write_text("\n".join(json.dumps(dict(zip(("request_id", "tech_id", "wanted", "at_s"), r))) for r in some))
+        out = streams.transitions(streams.events(spark, str(src), schema)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("request_id", "tech_id", "wanted", "old_status", "outcome", "writes_history").collect()))
+    requests = spark.createDataFrame(rows, "request_id long, tech_id long, wanted string, at_s long")
+    assets = spark.createDataFrame([(i, w) for _, i, w, _ in before], "tech_id long, status string")
+    assert len(got) == 40 and {r[4] for r in got} == {"CREATED", "NOOP", "TRANSITIONED"}
+    for block in (1, 150, 10**9):
+        assert got == sorted(map(tuple, ingest.outcomes_in_turn(requests, assets, block).collect()))
