@@ -16,7 +16,7 @@ def rows(columns, data):
 def test_matches_sql(spark, sf, name, size):
     d = sf.replace("0.001", size)
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     df = registry.QUERIES[name](spark, d)
     want = con.sql(registry.ORACLE_SQL[name])
