@@ -3,7 +3,8 @@
 A rolling hash runs over the hashes of each two neighbouring lines. A chunk is a longest run of lines that such hashes hold together which
 stand at an earlier place too (lowest doc_id, then position): a chunk boundary falls where the rolling hash stops, or starts, to be a repeated
 one, so that content alone chooses it and lines put in front don't move it. Chunks have two lines or more, as a rolling hash covers
-two, and are removed from all places but the first if they hold ``min_chars`` characters. A boundary rule that looks at the hash
+two, and are removed from all places but the first if they hold ``min_chars`` characters. A line of over ``long_words`` words is a passage
+of its own: it has a key of its own beside the rolling ones and goes alone where it stands earlier, whatever stands around it. A boundary rule that looks at the hash
 alone (0 modulo a number) was tried first: whole chunks between such boundaries miss the ends of each repeated passage and
 most passages of two to four lines, so it can't give whole results.
 
@@ -12,7 +13,7 @@ themselves take the place of hashes. A rolling hash that stands in a share of 1
 are ``heavy`` of these at most), so no task gets all places of a frequent passage.
 
 Null texts have no lines and stay null; empty texts stay empty; a text whose lines all stand elsewhere first becomes empty. Of rows of
-equal doc_id and text one is the first and the others repeat it. Single lines that repeat between other lines stay. An empty table
+equal doc_id and text one is the first and the others repeat it. Single lines of ``long_words`` words at most that repeat between other lines stay. An empty table
 gives no rows. All columns of docs are returned; working columns have a prefix of their own.
 """
 
@@ -30,9 +31,10 @@ WORK = "_lodestar_line_dedup"
 
 @dataclass(frozen=True)
 class LineDedup:
-    """min_chars: fewest characters of a chunk that is removed; heavy: see the module."""
+    """min_chars: fewest characters of a chunk that is removed; long_words: most words of a line that isn't a chunk by itself; heavy: see the module."""
 
     min_chars: int = 40
+    long_words: int = 50
     heavy: int = 2000
 
 
@@ -40,19 +42,29 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def rolling(docs: DataFrame, line_key) -> DataFrame:
-    """(d, t, pos, a, b): the rolling key of the lines pos and pos + 1 of each text, as the keys of both."""
-    keys = f"{WORK}_keys"
-    df = docs.select("doc_id", "text").where(F.col("text").contains("\n")).withColumn(f"{WORK}_lines", F.split("text", "\n", -1))
-    df = df.withColumn(keys, F.transform(f"{WORK}_lines", line_key))
+def is_long(line: Column, words: int) -> Column:
+    """Whether a line has more words than that; looks no further than these."""
+    return line.rlike(rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{words}}}[^\x20\x09-\x0D]")
+
+
+def rolling(docs: DataFrame, line_key, rules: LineDedup = LineDedup()) -> DataFrame:
+    """(d, t, pos, a, b): the rolling key of the lines pos and pos + 1 of each text, as the keys of both; and the key of
+    each long line with that of a line's end, which no line holds, for b."""
+    lines, keys = f"{WORK}_lines", f"{WORK}_keys"
+    long = lambda line: is_long(line, rules.long_words)
+    df = docs.select("doc_id", "text").where(F.col("text").contains("\n") | long(F.col("text"))).withColumn(lines, F.split("text", "\n", -1))
+    df = df.withColumn(keys, F.transform(lines, line_key))
     pairs = F.zip_with(F.slice(keys, 1, F.size(keys) - 1), F.slice(keys, 2, F.size(keys) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return df.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(pairs).alias("pos", "x")).select("d", "t", "pos", "x.a", "x.b")
+    pairs = F.transform(pairs, lambda x, i: F.struct(i.alias("pos"), x["a"].alias("a"), x["b"].alias("b")))
+    at = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: long(F.get(F.col(lines), i)))
+    own = F.transform(at, lambda i: F.struct(i.alias("pos"), F.get(F.col(keys), i).alias("a"), line_key(F.lit("\n")).alias("b")))
+    return df.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.inline(F.concat(pairs, own)))
 
 
 def _with_repeats(docs: DataFrame, line_key, rules: LineDedup) -> DataFrame:
     """docs with WORK_named (first lines of rolling keys that stand in several places), WORK_gone (lines of those that stand
     earlier too, rising), WORK_copies (rows of this doc_id and text; null without repeated keys) and WORK_row."""
-    places = stored(rolling(docs, line_key), "line-places")
+    places = stored(rolling(docs, line_key, rules), "line-places")
     counted = places.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "pos")).alias("first")).where("n > 1")
     repeated = stored(counted, "line-repeated")
     heavy = repeated.where(F.col("n") * rules.heavy >= places.count()).drop("n")
@@ -61,12 +73,15 @@ def _with_repeats(docs: DataFrame, line_key, rules: LineDedup) -> DataFrame:
     # Of three equal lines the middle one belongs to the first place, which stays.
     inside = F.col("first") == F.struct("d", "t", (F.col("pos") - 1).alias("pos"))
     is_first = F.col("first") == F.struct("d", "t", "pos")
-    gone = F.when(is_first, F.array().cast("array<int>")).when(inside, F.array(F.col("pos") + 1)).otherwise(F.array("pos", F.col("pos") + 1))
+    own = F.col("b") == line_key(F.lit("\n"))
+    gone = F.when(is_first, F.array().cast("array<int>")).when(own, F.array("pos")).when(inside, F.array(F.col("pos") + 1)).otherwise(F.array("pos", F.col("pos") + 1))
+    # By the pair that opens a text, or the long line that is all of it.
+    copies = F.greatest(F.count_if((F.col("pos") == 0) & ~F.col("own")), F.count_if((F.col("pos") == 0) & F.col("own")))
     # Sets, so that equal rows add nothing; a group holds no more than the lines of one text.
     named = (
-        met.select("d", "t", "pos", gone.alias("gone"))
+        met.select("d", "t", "pos", gone.alias("gone"), own.alias("own"))
         .groupBy("d", "t")
-        .agg(F.collect_set("pos").alias(f"{WORK}_named"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias(f"{WORK}_gone"), F.count_if(F.col("pos") == 0).alias(f"{WORK}_copies"))
+        .agg(F.collect_set("pos").alias(f"{WORK}_named"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias(f"{WORK}_gone"), copies.alias(f"{WORK}_copies"))
     )
     # The one shuffle of the texts.
     d, t = f"{WORK}_d", f"{WORK}_t"
@@ -79,7 +94,8 @@ def _hashes_collide(marked: DataFrame) -> bool:
     """Whether two lines that repeated keys cover differ in bytes but not by hash."""
     df = marked.where(F.col(f"{WORK}_named").isNotNull()).select("text", f"{WORK}_named").withColumn(f"{WORK}_lines", F.split("text", "\n", -1))
     at = F.array_distinct(F.concat(f"{WORK}_named", F.transform(f"{WORK}_named", lambda i: i + 1)))
-    lines = df.select(F.explode(F.transform(at, lambda i: F.get(F.col(f"{WORK}_lines"), i))).alias("line"))
+    covered = F.concat(F.transform(at, lambda i: F.get(F.col(f"{WORK}_lines"), i)), F.array(F.lit("\n")))
+    lines = df.select(F.explode(covered).alias("line")).where("line IS NOT NULL")
     return not lines.select(_line_hash(F.col("line")).alias("h"), "line").distinct().groupBy("h").count().where("count > 1").isEmpty()
 
 
@@ -140,7 +156,8 @@ firsts AS (
   FROM pairs WHERE b IS NOT NULL WINDOW w AS (PARTITION BY a, b ORDER BY doc_id, pos)),
 gone AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN first_doc = doc_id AND first_pos = pos THEN []::BIGINT[] WHEN first_doc = doc_id AND first_pos = pos - 1 THEN [pos + 1] ELSE [pos, pos + 1] END) AS pos
-  FROM firsts),
+  FROM firsts
+  UNION SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS k FROM lines WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) > 50) WHERE k > 1),
 marked AS (SELECT l.doc_id, l.pos, l.line, g.pos IS NOT NULL AS gone FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos),
 runs AS (SELECT *, CASE WHEN gone THEN pos - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) END AS run FROM marked),
 sized AS (SELECT *, CASE WHEN gone THEN sum(length(line) + 1) OVER (PARTITION BY doc_id, gone, run) - 1 ELSE 0 END AS chars FROM runs),

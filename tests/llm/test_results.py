@@ -242,7 +242,7 @@ def test_no_secrets(docs):
 
 
 def whole_runs(rows):
-    """Brute force: (doc_id, text) in order to the texts without runs of lines whose neighbouring pairs stand earlier."""
+    """Brute force: (doc_id, text) in order to the texts without runs of lines whose neighbouring pairs, or that alone with over 50 words, stand earlier."""
     first, out = {}, []
     for row, (i, text) in enumerate(rows):
         lines = text.split("\n")
@@ -251,6 +251,7 @@ def whole_runs(rows):
             at = first.setdefault(pair, (row, k))
             if at != (row, k):
                 gone |= {k + 1} if at == (row, k - 1) else {k, k + 1}
+        gone |= {k for k, line in enumerate(lines) if len(words(line)) > 50 and first.setdefault(line, (row, k)) != (row, k)}
         k, kept, runs = 0, [], 0
         while k < len(lines):
             end = k
@@ -287,6 +288,22 @@ def test_runs_of_any_length(spark, monkeypatch, collide):
     assert [got[i].text for i in (200, 201, 202, 203)] == ["x" * 50 + "\n" + "x" * 50, None, "", "one line"]
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_long_lines(spark, monkeypatch, collide):
+    """A line of over 50 words goes alone from between other lines, from a text's ends, and as a whole text; one of 50 words stays. Text, n and n + 1 words are told apart however they are spaced."""
+    if collide:
+        monkeypatch.setattr(line_dedup, "_line_hash", lambda line: line_dedup.F.lit(7).cast("long"))
+    over, under = " ".join(f"w{i}" for i in range(51)), "\t" + "  ".join(f"w{i}" for i in range(50)) + " "
+    texts = [f"head\n{over}\ntail", f"other\n{under}\nend", f"third\n{over}\nfourth\n{over}\n", over, f"fifth\n{under}\nsixth", f"{over}\nsixth and\nseventh", over.replace("w50", "w51"), "\n", under, f"{over}\n{over}"]
+    want = [texts[0], texts[1], "third\nfourth\n", "", texts[4], "sixth and\nseventh", texts[6], "\n", under, ""]
+    got = table(line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i].text for i in range(len(texts))] == want
+    assert [t for _, t, _ in whole_runs(list(enumerate(texts)))] == want
+    rows = spark.createDataFrame([(5, over), (5, over), (5, over), (6, "z")], "doc_id long, text string")
+    assert sorted(r.text for r in line_dedup.line_dedup(rows).collect()) == ["", "", over, "z"]
+    assert sorted(r.text for r in line_dedup.line_dedup(rows, drop_emptied=True).collect()) == [over, "z"]
+
+
 def test_runs_of_equal_rows(spark):
     """Rows of equal doc_id and text that nothing else holds: one keeps its text."""
     text = "a first line of some length that counts\nand a second line of it"
