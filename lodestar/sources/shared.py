@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +30,48 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     costs no recomputation, and several readers cost no second run."""
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in getattr(_recording, "lists", []):
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_recording = threading.local()
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """A list that takes the paths of the tables this thread stores meanwhile."""
+    paths: list[str] = []
+    _recording.lists = [*getattr(_recording, "lists", []), paths]
+    try:
+        yield paths
+    finally:
+        _recording.lists = [x for x in _recording.lists if x is not paths]
+
+
+def drop_tables(spark: SparkSession, paths: list[str], reader: DataFrame | None = None) -> None:
+    """Removes those stored tables, but for the ones that reader's plan reads; tables that are gone already are passed over."""
+    if not paths:
+        return
+    read = {part for f in (reader.inputFiles() if reader is not None else ()) for part in f.split("/")}
+    for path in paths:
+        if path.rsplit("/", 1)[1] not in read:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lodestar/{spark.sparkContext.applicationId}"
 
 
 def clear_stored(spark: SparkSession) -> None:
     """Removes all stored tables of this application; results that read them must have been written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_dir(spark))
 
 
 #: Bytes of files up to which a table counts as small.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import scores, urls, vectors
 from lodestar.functions import text as X
 from lodestar.operators import ingest, pages, reads, texts
+from lodestar.sources import shared
 
 
 def one(spark, column):
@@ -333,3 +334,21 @@ def test_item_detail(spark, sf):
     assert first.kind == "handoff" and first.ref in {r.other_id for r in kept["predecessors"].collect()}
     times = [r.at_s for r in kept["timeline"].collect()][1:]
     assert times == sorted(times, reverse=True) and all(f.count() >= 0 for f in other.values())
+
+
+def test_stored_tables_go_unless_read(spark):
+    with shared.recorded() as outer:
+        first = shared.stored(spark.range(3), "first")
+        with shared.recorded() as inner:
+            second = shared.stored(spark.range(4), "second")
+    later = shared.stored(spark.range(5), "later")
+    assert len(outer) == 2 and inner == outer[1:]
+    shared.drop_tables(spark, outer, second.where("id > 0"))
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        first.collect()
+    assert (second.count(), later.count()) == (4, 5)
+    shared.drop_tables(spark, outer)
+    shared.drop_tables(spark, outer)
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        second.collect()
+    assert later.count() == 5
