@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 from itertools import permutations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ import corpus_pipeline
 from lodestar.llm import context_tree, fingerprint, language_id, line_dedup, near_dedup, packing, pii, quality_rules, secret_scan, segment_sampling
 from lodestar.llm.common import documents
 from lodestar.llm.lattice import Arcs, Vocabulary, default_model
+from lodestar.sources.shared import recorded
 
 SPACE = " \t\n\r\x0b\x0c"
 
@@ -737,7 +739,12 @@ def test_pipeline(spark, sf, docs):
         if name == "op10_pii":
             assert not any(passes(k, m[0]) for t in rows.values() for k, p in KINDS.items() for m in re.finditer(p, t))
         ids, kept = set(rows), spark.createDataFrame(out.collect(), out.schema)
-    whole = corpus_pipeline.run(spark, sf).collect()
+    with recorded() as written:
+        whole = corpus_pipeline.run(spark, sf)
+    folders = {p.rsplit("/", 1)[1] for p in written if Path(p.removeprefix("file:")).exists()}
+    # The work of the stages before the last two is gone, and so are their tables.
+    assert {f.rsplit("-", 1)[0] for f in folders} == {"stage-op10_pii", "pieces"}
+    whole = whole.collect()
     assert {r.doc_id for r in whole} == ids and all(len(r.ids) == r.length for r in whole)
     from tokenizers import Tokenizer
 
