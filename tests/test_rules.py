@@ -71,6 +71,13 @@ def test_page():
     assert X.page_fields(None) == (None,) * 4
 
 
+def test_page_cut_references():
+    """A reference without its semicolon is text, in titles, bodies and attributes."""
+    page = "<title>A &amp; B &amp</title><article><h1>A &amp; B &amp</h1><p>R&D &ampx; &quot;q&quot; &lt &#65; &#65</article><meta property='og:image' content='https://a/i?x=1&lt=2&amp;y=3'>"
+    assert X.page_fields(page) == ("A & B &amp", 'A & B &amp\nR&D &ampx; "q" &lt A &#65', None, "https://a/i?x=1&lt=2&y=3")
+    assert X.title_text("<b>A</b> &amp; B &lt") == "A & B &lt"
+
+
 @pytest.mark.parametrize(("name", "want"), [("AT&T", "at t"), ("DALL·E", "dall e"), ("Node.js", "node js"), ("U.S.", "us"), (".NET", ".net"), ("Corp.", "corp"), ("GPT 5.2", "gpt 5.2"), ("C++", "c++"), ("Ｆｕｌｌ", "full"), ("Acme,Inc.", "acme inc"), ("Foo…Bar", "foo bar")])
 def test_canonical(name, want):
     assert X.canonical(name) == want == X.canonical(want)
