@@ -197,6 +197,29 @@ def test_simhash_of_many():
     assert X.simhashes(texts).tolist() == [slow(t) for t in texts]
 
 
+def test_simhash_codes():
+    """Rules over all characters at once against simhash_text, for every neighbourhood of odd characters."""
+    import itertools
+
+    texts = ["".join(t) for n in range(5) for t in itertools.product("a1.+_\u0301 ", repeat=n)] + ["# 日本++.x İß ² ٣.é", "..\n!! ?", None]
+    codes, lengths = X.simhash_codes(texts)
+    joined, at, got = codes.tobytes().decode("utf-32-le"), 0, []
+    for n in lengths:
+        got.append(joined[at : at + n])
+        at += n
+    assert got == [X.simhash_text(t or "") for t in texts]
+
+
+def test_simhash_known_grams():
+    """A gram that an earlier batch had isn't hashed again."""
+    asked, known = [], {}
+    digest = lambda g: (asked.append(g), X.blake2b_8(g))[1]
+    first = X.simhashes(["some words here", "some words"], digest=digest, known=known)
+    assert sorted(asked) == sorted(set(asked))
+    n = len(asked)
+    assert X.simhashes(["some words"], digest=digest, known=known)[0] == first[1] and len(asked) == n
+
+
 def test_near_duplicate_pairs(spark, sf):
     """Pairs by bands against all pairs of hashes."""
     from lodestar.operators import texts
