@@ -220,6 +220,21 @@ def test_simhash_known_grams():
     assert X.simhashes(["some words"], digest=digest, known=known)[0] == first[1] and len(asked) == n
 
 
+@pytest.mark.parametrize("n", [10, 50_000, 3_000_000, 10**9])
+def test_agreeing_masks(n):
+    """Some mask covers no place of any three; masks leave as few random pairs as rows, and are few."""
+    import itertools
+
+    from lodestar.operators.texts import agreeing_masks
+
+    masks = agreeing_masks(n, 3)
+    for places in itertools.combinations(range(0, 64), 3):
+        bits = sum(1 << p for p in places)
+        if not any(m & bits == 0 for m in masks):
+            raise AssertionError(places)
+    assert len(masks) <= 20 and all(n / 2 ** (m % (1 << 64)).bit_count() < 1 for m in masks)
+
+
 def test_near_duplicate_pairs(spark, sf):
     """Pairs by bands against all pairs of hashes."""
     from lodestar.operators import texts
