@@ -378,6 +378,24 @@ def test_piece_counts(spark, sf, docs):
     assert got == dict(want)
 
 
+def test_language_parts():
+    """Units are cut only where no piece reaches across; the sums over their parts are those over whole units; words share parts with others."""
+    v = Vocabulary(default_model())
+    units = ["▁", "▁the***", "▁(the,", "日本▁語", "a", "***", "▁größe…»", "\ue123x", "▁" + "ab-" * 200]
+    parts, first = v.parts(units)
+    assert "".join(parts) == "".join(units) and "▁the" in parts and len(set(parts)) < len(parts)
+    ends = [*first[1:], len(parts)]
+    for unit, a, b in zip(units, first, ends):
+        assert "".join(parts[a:b]) == unit
+        places = np.cumsum([len(x) for x in parts[a:b]])[:-1]
+        assert not any(unit[lo:hi] in v.pieces for c in places for lo in range(max(0, c - v.longest), c) for hi in range(c + 1, min(len(unit), lo + v.longest) + 1))
+    rng = np.random.default_rng(0)
+    p = rng.random((v.size, 2)) ** 4
+    p /= p.sum(axis=0)
+    of = lambda strings: language_id.forward(Arcs(strings, v), p, p.min(axis=0), v.longest)
+    assert np.allclose(np.add.reduceat(of(parts), first), of(units), rtol=1e-10)
+
+
 def test_languages(spark, sf):
     d = sf.replace("0.001", "0.01")
     got = table(language_id.op5_language_id(spark, d))
