@@ -48,7 +48,7 @@ SIGNS = r"[+#＋＃]*+"
 JOIN = rf"(?:[-'’/·‧‐‑‒–−＇／－]{DOT}?|{DOT})"
 TAIL = rf"{W}*+{SIGNS}(?:{JOIN}{W}++{SIGNS}){{0,12}}+"
 #: A dot in front of a name, as far as a name can start where it stands.
-LEAD = rf"(?:(?<![^\s\p{{Z}}\p{{Ps}}\p{{Pi}}\"'{BEGIN}]){DOT})?"
+LEAD = rf"(?:(?={DOT})(?<![^\s\p{{Z}}\p{{Ps}}\p{{Pi}}\"'{BEGIN}]){DOT})?"
 SMALL = r"[\p{Ll}\p{Lm}\p{M}\p{N}]"
 #: Tokens that open a name: with a capital in front, with one inside, or of digits and letters (but no ordinal).
 CAPITAL = rf"{LEAD}[\p{{Lu}}\p{{Lt}}]{TAIL}"
@@ -88,8 +88,8 @@ CLAUSE = "|".join(
 )
 #: How a match starts where a clause starts; a run itself starts with a letter, a digit or a dot.
 _FRONT = rf"^(?:{BEGIN}{FILL}*?(?={DOT}?[\p{{L}}\p{{N}}])|[{MARKS}]{S}*+)"
-#: Ends of sentences, with what closes behind them; the marks stay.
-SENTENCE_END = r"([.])[\"'’”»)\]]*[\s\p{Z}]+|([!?…。！？])[\"'’”»)\]』」]*[\s\p{Z}]*|[^\S\n]*\n\s*"
+#: Ends of sentences, with what closes behind them; the marks stay. Elsewhere one look at a character is enough.
+SENTENCE_END = r"(?=[.!?…。！？\n])(?:([.])[\"'’”»)\]]*[\s\p{Z}]+|([!?…。！？])[\"'’”»)\]』」]*[\s\p{Z}]*|\n\s*)"
 #: Numbers and letters of a list.
 ITEM = rf"^(?:{FILL}*?(?:(?:\p{{Nd}}+(?:\.\p{{Nd}}+){{0,12}}|[ivxlcdm]+|[a-z])[ \t]*(?:[)\]]|[:.\-–—](?!{W}))|[A-Z][ \t]*[)\]])){{1,3}}"
 

@@ -2,9 +2,11 @@
 
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.functions import text as X
 from lodestar.operators import names
 
 # A sentence, names that it must give, and names that it must not give.
@@ -130,3 +132,18 @@ def test_plan(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = names.candidates(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange " not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_sentence_ends_look_once(spark):
+    """Blanks before a line's end begin no match of their own, and change no name."""
+    assert spark.sql("SELECT 1").select(F.regexp_replace(F.lit("a  \n b"), names.SENTENCE_END, "|").alias("t")).first().t == "a  |b"
+    docs = spark.createDataFrame([(1, "We met Ada Lovelace   \n \n near Bath \t\n  Then Charles Babbage came."), (2, "We met Ada Lovelace\nnear Bath\nThen Charles Babbage came.")], "doc_id long, text string")
+    found = [sorted(r.name for r in names.extract_names(docs.where(f"doc_id = {i}")).collect()) for i in (1, 2)]
+    assert found[0] == found[1] and "ada lovelace" in found[0]
+
+
+def test_names_are_folded_once_a_batch(monkeypatch):
+    asked = []
+    monkeypatch.setattr(X, "canonical", lambda n: asked.append(n) or (n and n.lower()))
+    assert list(X.canonical_name.func(pd.Series(["A b", None, "A b", "C"], dtype=object))) == ["a b", None, "a b", "c"]
+    assert asked.count("A b") == 1
